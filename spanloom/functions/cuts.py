@@ -157,8 +157,11 @@ class Dim:
         if isinstance(cut, Column):
             return cut
         if self.discrete:
-            return F.lit(cut).cast(self.type)
-        return F.struct(F.lit(cut[0]).cast(self.type).alias("v"), F.lit(cut[1]).alias("side"))
+            return self._literal(cut)
+        return F.struct(self._literal(cut[0]).alias("v"), F.lit(cut[1]).alias("side"))
+
+    def _literal(self, v) -> Column:
+        return F.lit(v.isoformat() if hasattr(v, "isoformat") else v).cast(self.type)  # by text: years under 1000 have no other safe way
 
     @property
     def cut_type(self) -> str:
