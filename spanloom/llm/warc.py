@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, partitions, stage
+from .shared import new_path, stage
 
 _EPOCH = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -185,8 +185,8 @@ def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     """Writes pages as WARC files to the shared folder, reads them back, assembles captures, and tells of each page what was read."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write(captures_of(pages).repartition(2 * partitions(spark)), path, least_bytes=least_bytes)
-    got = stage(assemble(read(spark, path, with_payload=False)), "captures")
+    write(captures_of(pages), path, least_bytes=least_bytes)
+    got = stage(assemble(stage(read(spark, path, with_payload=False), "records")), "captures")
     flat = got.select(
         "capture_id", F.get("metadata", 0)["fields"]["page-id"].try_cast("long").alias("page_id"), F.col("response.payload_length").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("_of"),
