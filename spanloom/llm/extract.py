@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .shared import slices
+from .shared import slices, stage
 from .urltrust import host_of
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
@@ -200,7 +200,7 @@ def main_text(page: str | None, fixed: frozenset[int] = frozenset(), root: str |
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **how) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    made = templates(pages, url_col=url_col, html_col=html_col, **how)
+    made = stage(templates(pages, url_col=url_col, html_col=html_col, **how), "templates")  # its size is known: Spark broadcasts it if small, else it can split a hot host
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     both = rows.join(made, "host", "left").select("page_id", "html", "url", "host", "fixed", "slots")
     kind = both.schema["page_id"].dataType.simpleString()
