@@ -9,6 +9,8 @@ white space or with runs of it go to the library whole.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,17 @@ _ODD = (
     r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 )
 
+#: Letters of Latin scripts, after a space or not, then a punctuation mark or none.
+_LATIN = re.compile("( ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]?)\\Z")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on.
+_BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
 
 class Encoder:
     """encode(texts): an array of uint32 ids for each text; null counts as empty. Two generations of pieces are kept, `most` of them in all; those met again move to the younger one."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
@@ -52,6 +60,22 @@ class Encoder:
                 out[i] = ids
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new pieces. A Latin word, alone or with one punctuation mark, is one or two pre-tokens: the library's BPE model takes these as they are; the rest go through the whole library."""
+        known, bpe, others = self.known, self.library.model.tokenize, []
+        for w in words:
+            if m := _LATIN.match(w):
+                ids = array("I", [t.id for t in bpe(m[1].encode().decode("latin-1").translate(_BYTES))])
+                if m[2]:
+                    ids.extend(t.id for t in bpe(m[2]))
+                known[w] = ids.tobytes()
+            else:
+                others.append(w)
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+
     def _pieces(self, texts: pa.Array) -> list[np.ndarray]:
         cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
         lists = pc.split_pattern(cut, "\x00")
@@ -68,10 +92,7 @@ class Encoder:
                     unmet.append(w)
                 else:
                     known[w] = ids
-            for at in range(0, len(unmet), 20_000):
-                part = unmet[at : at + 20_000]
-                for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self._learn(unmet)
         blobs = [known[w] for w in words]
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         pool = np.frombuffer(b"".join(blobs), "<u4")
