@@ -306,7 +306,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     chosen = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     chosen = stage(chosen, "kept").withColumnRenamed("doc_id", id_col)
-    some = docs.join(chosen, id_col)
+    some = docs.join(chosen.hint("merge"), id_col)  # the kept ids grow with the documents: one plan at every size
     if chosen.filter("_rows > 1").isEmpty():
         once = some.drop("_rows")
     else:
