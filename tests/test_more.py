@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def test_rules(spark):
 
 def _rows(df):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "~"
         if isinstance(v, float):
             return str(int(v)) if v == int(v) else f"{v:.6g}"
