@@ -59,5 +59,41 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_extract, op4_fingerprint, op5_url_trust, op6_simhash, op7_language, op8_shard, op9_warc, op10_token_files)}
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Every window as a list of words, joined with the document's lists of the same length at every place.
+_DECONTAMINATE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, w[k : k + n - 1] AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM items WHERE len(w) > 0)
+),
+places AS (
+  SELECT r, n, k, w[k : k + n - 1] AS g
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+),
+found AS (SELECT r, n, k, item FROM places JOIN windows USING (n, g)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(digest, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+#: Base32 by 20 bits of the hexadecimal digest at a time.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id, sha1(html) AS x FROM p),
+parts AS (SELECT *, [CAST('0x' || substr(x, 5 * k + 1, 5) AS INTEGER) for k in range(8)] AS v FROM firsts)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1) for s in [15, 10, 5, 0]] for n in v]), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators hash, learn, tokenise or iterate beyond DuckDB's SQL; tests hold them against brute force."""
+    return {"op1_decontaminate": _DECONTAMINATE, "op9_warc": _WARC}

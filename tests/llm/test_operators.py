@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -278,6 +279,18 @@ def test_warc(spark):
     assert len(out) == len(rows)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_counterparts(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    cols = sorted(want.columns)
+    got = queries.queries()[name](spark, DATA)
+    assert sorted(got.columns) == cols
+    assert sorted(map(repr, map(tuple, got.select(cols).collect()))) == sorted(map(repr, want.select(*cols).fetchall()))
+
+
 def test_token_files(spark, docs, odd, none):
     ranks = np.random.default_rng(1).integers(0, 1 << 25, 1001).astype(np.uint32) >> np.random.default_rng(2).integers(0, 25, 1001).astype(np.uint32)
     control, data = tokenfiles.pack_ranks(ranks)
