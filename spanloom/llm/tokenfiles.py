@@ -82,17 +82,24 @@ def blocks_of(content: memoryview, id_of: np.ndarray):
 
 
 def tokenised(docs: DataFrame, *, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, ids binary): 16-bit ids if they all fit (as their length then says), each with the end id."""
+    """(doc_id, n, ids binary): 16-bit ids if they all fit (as their length then says), each with the end id. Each task adds a last row without n: how often each id occurred in it, as 64-bit numbers."""
 
     def run(batches):
         enc = encoder(tokenizer_path(tokenizer))
         end = np.array([end_id], "<u4")
+        total = np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, 1):
                 found = [np.concatenate((x, end)) for x in enc.encode(part.column(1))]
+                got = np.bincount(np.concatenate(found), minlength=len(total))
+                got[: len(total)] += total
+                total = got
                 n = pa.array([len(x) for x in found], pa.int32())
                 data = [(x.astype("<u2") if x.max() <= 0xFFFF else x).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(data, pa.binary())], names=["doc_id", "n", "ids"])
+        if len(total):
+            last = [pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(last, names=["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, ids binary")
 
@@ -101,30 +108,30 @@ def _ids(n: int, data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.uint32)
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
-    """(id, n): how often each id occurs; a task adds up its own counts first, so no more rows than ids leave it."""
+def count_ids(counts: DataFrame) -> DataFrame:
+    """(id, n): how often each id occurs, from the tasks' own counts; a task adds up what it reads, so no more rows than ids leave it."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(_ids(n, data))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            for data in batch.column(0).to_pylist():
+                got = np.frombuffer(data, "<i8")
+                if len(got) < len(total):
+                    got, total = total, got
+                total, less = got.copy(), total
+                total[: len(less)] += less
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return counts.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | None = None, block_ids: int = 1 << 18) -> None:
     """Writes documents in ascending doc_id order, one file a range of ids. The ranks hold at most one entry for each id of the vocabulary, so they are broadcast."""
     spark = docs.sparkSession
-    tokens = stage(tokenised(docs, end_id=end_id, tokenizer=tokenizer), "tokens")
-    counted = count_ids(tokens).collect()  # bounded by the vocabulary
+    staged = stage(tokenised(docs, end_id=end_id, tokenizer=tokenizer), "tokens")
+    tokens = staged.filter("n is not null")
+    counted = count_ids(staged.filter("n is null")).collect()  # bounded by the vocabulary
     order = np.array([r[0] for r in sorted(counted, key=lambda r: (-r[1], r[0]))], "<u4")
     rank_of = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
     rank_of[order] = np.arange(len(order))
