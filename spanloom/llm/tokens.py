@@ -41,6 +41,7 @@ class Encoder:
         self.most = most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks = {c: array("I", [t.id for t in self.library.model.tokenize(c)]).tobytes() for c in ("", *".,;:!?")}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,13 +63,15 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new pieces. A Latin word, alone or with one punctuation mark, is one or two pre-tokens: the library's BPE model takes these as they are; the rest go through the whole library."""
-        known, bpe, others = self.known, self.library.model.tokenize, []
+        known, older, bpe, others = self.known, self.older, self.library.model.tokenize, []
         for w in words:
             if m := _LATIN.match(w):
-                ids = array("I", [t.id for t in bpe(m[1].encode().decode("latin-1").translate(_BYTES))])
-                if m[2]:
-                    ids.extend(t.id for t in bpe(m[2]))
-                known[w] = ids.tobytes()
+                stem, mark = m.groups()
+                ids = (known.get(stem) or older.get(stem)) if mark else None
+                if ids is None:
+                    plain = stem.replace(" ", _BYTES[32]) if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTES)
+                    ids = array("I", [t.id for t in bpe(plain)]).tobytes()
+                known[w] = ids + self.marks[mark]
             else:
                 others.append(w)
         for at in range(0, len(others), 20_000):
