@@ -1,10 +1,12 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 Pages of a host are made by few templates. A page's tags, each with the tags around it and its class names, are tokens;
-so are text blocks outside an article. Tokens with equal vectors of occurrence over a host's pages form a class, and a
+so are text blocks that aren't set apart. Tokens with equal vectors of occurrence over a host's pages form a class, and a
 class that is frequent is part of the template: a skeleton of tags around slots, which nest, with fixed texts between.
 What is left of a page when the template's fixed texts are taken out are its slots; those inside the content part of the
-skeleton are the article, and those inside navigation, adverts, forms and the like are not.
+skeleton are the article, and those inside navigation, adverts, forms and the like are not. This holds in article and
+main elements too; there, two guards keep copies of an article on a host: a text is only fixed if pages that differ in
+their candidate text hold it, and if over half of a page's article would be fixed, all of it stays.
 
 Vectors are never gathered: a token's vector is compared by the sum over its pages of a random number of the page times
 the token's count there, so one aggregation by (host, token) finds classes however many pages a host has, with partial
@@ -135,12 +137,18 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
     return out, tags
 
 
+def candidates(found: list[Block]) -> list[Block]:
+    """Blocks that may be the article: those not set apart, in content elements if any of these is."""
+    open_blocks = [b for b in found if not b.apart]
+    return [b for b in open_blocks if b.content] or open_blocks
+
+
 def _token(kind: str, value: str) -> int:
     return int.from_bytes(xxh64_intdigest(f"{kind}\n{value}").to_bytes(8, "big"), "big", signed=True)
 
 
 def tokens(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, token, kind, value, pages, vector, size): tokens of each host with the sum that stands for their vector of occurrence. kind: t a tag, x a text outside of content."""
+    """(host, token, kind, value, pages, vector, size, least, most): tokens of each host with the sum that stands for their vector of occurrence. kind: t a tag, x a text that may be the article's; least and most: hashes of its pages' candidate texts."""
 
     def run(batches):
         for batch in batches:
@@ -149,20 +157,24 @@ def tokens(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") ->
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found, tags = blocks(page or "")
                     dice = xxh64_intdigest(page or "") >> 24  # 40 bits: sums stay exact
-                    texts = Counter("\n".join(("/".join(b.path), b.text)) for b in found if not b.content)
+                    some = candidates(found)
+                    texts = Counter("\n".join(("/".join(b.path), b.text)) for b in some)
+                    body = _token("b", "\n".join(b.text for b in some))
                     weight: Counter = Counter()
                     for b in found:
                         for k in range(1, len(b.path) + 1):
                             weight["/".join(b.path[:k])] += len(b.text) if not b.apart else 0
-                    rows += [(host, _token("t", p), "t", p, 1, dice * n, weight[p]) for p, n in tags.items()]
-                    rows += [(host, _token("x", p), "x", "", 1, dice * n, 0) for p, n in texts.items()]
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "token", "kind", "value", "pages", "vector", "size"])
+                    rows += [(host, _token("t", p), "t", p, 1, dice * n, weight[p], body) for p, n in tags.items()]
+                    rows += [(host, _token("x", p), "x", "", 1, dice * n, 0, body) for p, n in texts.items()]
+                cols = list(zip(*rows, strict=True)) or [()] * 8
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "token", "kind", "value", "pages", "vector", "size", "body"])
 
-    schema = "host string, token long, kind string, value string, pages long, vector decimal(38,0), size long"
+    schema = "host string, token long, kind string, value string, pages long, vector decimal(38,0), size long, body long"
     each = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(run, schema)
-    return each.groupBy("host", "token", "kind", "value").agg(F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("size").alias("size"))
+    return each.groupBy("host", "token", "kind", "value").agg(
+        F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("size").alias("size"), F.min("body").alias("least"), F.max("body").alias("most"),
+    )
 
 
 def templates(pages: DataFrame, *, least_pages: int = 3, support: float = 0.8, **cols) -> DataFrame:
@@ -171,7 +183,7 @@ def templates(pages: DataFrame, *, least_pages: int = 3, support: float = 0.8, *
     host_pages = pages.select(host_of(F.col(cols.get("url_col", "url"))).alias("host")).groupBy("host").agg(F.count("*").alias("_all"))
     frequent = found.join(host_pages, "host").filter((F.col("pages") >= support * F.col("_all")) & (F.col("_all") >= least_pages))
     classes = frequent.groupBy("host", "vector", "pages").agg(
-        F.count("*").alias("members"), F.count_if(F.col("kind") == "t").alias("tags"), F.collect_list(F.when(F.col("kind") == "x", F.col("token"))).alias("texts"),
+        F.count("*").alias("members"), F.count_if(F.col("kind") == "t").alias("tags"), F.collect_list(F.when((F.col("kind") == "x") & (F.col("least") != F.col("most")), F.col("token"))).alias("texts"),
         F.collect_list(F.when(F.col("kind") == "t", F.struct("value", "size"))).alias("slots"),
     )
     # a valid class has two members at least, one of them a tag: a lone text that is everywhere is content that repeats
@@ -189,13 +201,15 @@ def root_of(slots: list[tuple[str, int]]) -> str | None:
 
 
 def main_text(page: str | None, fixed: frozenset[int] = frozenset(), root: str | None = None) -> str:
-    """The article of a page: blocks in content elements if it has any with text, else those in the template's root slot; never what is set apart or fixed."""
-    found, _ = blocks(page or "")
-    inside = [b for b in found if b.content]
-    if not inside:
-        inside = [b for b in found if root is None or ("/".join(b.path) + "/").startswith(root + "/")] or found
-        inside = [b for b in inside if _token("x", "\n".join(("/".join(b.path), b.text))) not in fixed]
-    return "\n".join(b.text for b in inside if not b.apart)
+    """The article of a page: its candidate blocks without fixed texts; outside of content elements, those in the template's root slot. Over half of a content element's text is never fixed: that is a copy."""
+    some = candidates(blocks(page or "")[0])
+    within = bool(some) and some[0].content
+    if not within:
+        some = [b for b in some if root is None or ("/".join(b.path) + "/").startswith(root + "/")] or some
+    left = [b for b in some if _token("x", "\n".join(("/".join(b.path), b.text))) not in fixed]
+    if within and 2 * sum(len(b.text) for b in left) < sum(len(b.text) for b in some):
+        left = some
+    return "\n".join(b.text for b in left)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **how) -> DataFrame:

@@ -153,6 +153,18 @@ def test_extraction(spark):
     assert extract.extract(made.limit(0)).count() == 0
 
 
+def test_templates_decide_inside_content(spark):
+    page = lambda k: f"<body><article><h1>Title {k}</h1><div>Read all our stories here</div><p>Story {k} is long enough, {k} times.</p></article></body>"
+    copy = "<body><main><p>One</p><p>Two</p></main></body>"
+    apart = "<body><main><nav>menu</nav></main><div>Text {}</div></body>"
+    near = lambda k: f"<body><article><p>A long text that is copied</p><i>v{k}</i></article></body>"
+    rows = [(k, f"http://{h}.org/{k}", h_) for h, make in (("a", page), ("b", lambda k: copy), ("c", apart.format), ("d", near)) for k, h_ in ((100 * ord(h) + k, make(k)) for k in range(5))]
+    out = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(5):
+        assert out[9700 + k] == f"Title {k}\nStory {k} is long enough, {k} times."
+        assert out[9800 + k] == "One\nTwo" and out[9900 + k] == f"Text {k}" and out[10000 + k] == f"A long text that is copied\nv{k}"
+
+
 def _like(a, b):
     x, y = set(fingerprint.digests(a).tolist()), set(fingerprint.digests(b).tolist())
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
