@@ -2,9 +2,9 @@
 
 Pages of a host are made by few templates. A page's tags, each with the tags around it and its class names, are tokens;
 so are text blocks that aren't set apart. Tokens with equal vectors of occurrence over a host's pages form a class, and a
-class that is frequent is part of the template: a skeleton of tags around slots, which nest, with fixed texts between.
-What is left of a page when the template's fixed texts are taken out are its slots; those inside the content part of the
-skeleton are the article, and those inside navigation, adverts, forms and the like are not. This holds in article and
+class with a tag that is on enough pages is part of a template: a skeleton of tags around slots, with fixed texts between.
+What is left of a page when its fixed texts are taken out are its slots, and all of them are the article but those inside
+navigation, adverts, forms and the like; if the page has content elements, only the slots in these. This holds in article and
 main elements too; there, two guards keep copies of an article on a host: a text is only fixed if pages that differ in
 their candidate text hold it, and if over half of a page's article would be fixed, all of it stays.
 
@@ -148,7 +148,7 @@ def _token(kind: str, value: str) -> int:
 
 
 def tokens(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, token, kind, value, pages, vector, size, least, most): tokens of each host with the sum that stands for their vector of occurrence. kind: t a tag, x a text that may be the article's; least and most: hashes of its pages' candidate texts."""
+    """(host, token, kind, value, pages, vector, least, most): tokens of each host with the sum that stands for their vector of occurrence. kind: t a tag, x a text that may be the article's; least and most: hashes of its pages' candidate texts."""
 
     def run(batches):
         for batch in batches:
@@ -160,54 +160,34 @@ def tokens(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") ->
                     some = candidates(found)
                     texts = Counter("\n".join(("/".join(b.path), b.text)) for b in some)
                     body = _token("b", "\n".join(b.text for b in some))
-                    weight: Counter = Counter()
-                    for b in found:
-                        for k in range(1, len(b.path) + 1):
-                            weight["/".join(b.path[:k])] += len(b.text) if not b.apart else 0
-                    rows += [(host, _token("t", p), "t", p, 1, dice * n, weight[p], body) for p, n in tags.items()]
-                    rows += [(host, _token("x", p), "x", "", 1, dice * n, 0, body) for p, n in texts.items()]
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "token", "kind", "value", "pages", "vector", "size", "body"])
-
-    schema = "host string, token long, kind string, value string, pages long, vector decimal(38,0), size long, body long"
+                    rows += [(host, _token("t", p), "t", p, 1, dice * n, body) for p, n in tags.items()]
+                    rows += [(host, _token("x", p), "x", "", 1, dice * n, body) for p, n in texts.items()]
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "token", "kind", "value", "pages", "vector", "body"])
+
+    schema = "host string, token long, kind string, value string, pages long, vector decimal(38,0), body long"
     each = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(run, schema)
     return each.groupBy("host", "token", "kind", "value").agg(
-        F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("size").alias("size"), F.min("body").alias("least"), F.max("body").alias("most"),
-    )
-
-
-def templates(pages: DataFrame, *, least_pages: int = 3, support: float = 0.8, **cols) -> DataFrame:
-    """(host, fixed, slots): one row a host. fixed: texts (as tokens) of classes found on at least `support` of its pages; slots: paths of the skeleton with the text they hold."""
-    found = tokens(pages, **cols)
-    host_pages = pages.select(host_of(F.col(cols.get("url_col", "url"))).alias("host")).groupBy("host").agg(F.count("*").alias("_all"))
-    frequent = found.join(host_pages, "host").filter((F.col("pages") >= support * F.col("_all")) & (F.col("_all") >= least_pages))
-    classes = frequent.groupBy("host", "vector", "pages").agg(
-        F.count("*").alias("members"), F.count_if(F.col("kind") == "t").alias("tags"), F.collect_list(F.when((F.col("kind") == "x") & (F.col("least") != F.col("most")), F.col("token"))).alias("texts"),
-        F.collect_list(F.when(F.col("kind") == "t", F.struct("value", "size"))).alias("slots"),
+        F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.min("body").alias("least"), F.max("body").alias("most"),
     )
-    # a valid class has two members at least, one of them a tag: a lone text that is everywhere is content that repeats
-    valid = classes.filter((F.col("members") >= 2) & (F.col("tags") >= 1))
-    whole = valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("fixed"), F.flatten(F.collect_list("slots")).alias("slots"))
-    return whole.select("host", "fixed", "slots")
 
 
-def root_of(slots: list[tuple[str, int]]) -> str | None:
-    """The innermost slot of the skeleton that holds at least nine tenths of the text that isn't set apart."""
-    total = max((n for _, n in slots), default=0)
-    if not total:
-        return None
-    return max((p for p, n in slots if n >= 0.9 * total), key=lambda p: (p.count("/"), p))
+def templates(pages: DataFrame, *, least_pages: int = 3, **cols) -> DataFrame:
+    """(host, fixed): a row for each host with fixed texts, the texts (as tokens) of classes found on at least `least_pages` of its pages; each layout of a host has classes of its own."""
+    frequent = tokens(pages, **cols).filter(F.col("pages") >= least_pages)
+    text = (F.col("kind") == "x") & (F.col("least") != F.col("most"))
+    classes = frequent.groupBy("host", "vector", "pages").agg(F.count_if(F.col("kind") == "t").alias("tags"), F.collect_list(F.when(text, F.col("token"))).alias("texts"))
+    # a valid class has a tag besides its texts: a lone text that is everywhere is content that repeats
+    valid = classes.filter((F.col("tags") >= 1) & (F.size("texts") > 0))
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("fixed"))
 
 
-def main_text(page: str | None, fixed: frozenset[int] = frozenset(), root: str | None = None) -> str:
-    """The article of a page: its candidate blocks without fixed texts; outside of content elements, those in the template's root slot. Over half of a content element's text is never fixed: that is a copy."""
+def main_text(page: str | None, fixed: frozenset[int] = frozenset()) -> str:
+    """The article of a page: its candidate blocks without fixed texts. Over half of a content element's text is never fixed: that is a copy."""
     some = candidates(blocks(page or "")[0])
-    within = bool(some) and some[0].content
-    if not within:
-        some = [b for b in some if root is None or ("/".join(b.path) + "/").startswith(root + "/")] or some
     left = [b for b in some if _token("x", "\n".join(("/".join(b.path), b.text))) not in fixed]
-    if within and 2 * sum(len(b.text) for b in left) < sum(len(b.text) for b in some):
+    if some and some[0].content and 2 * sum(len(b.text) for b in left) < sum(len(b.text) for b in some):
         left = some
     return "\n".join(b.text for b in left)
 
@@ -216,11 +196,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """(page_id, url, text, n_chars) of every page."""
     made = stage(templates(pages, url_col=url_col, html_col=html_col, **how), "templates")  # its size is known: Spark broadcasts it if small, else it can split a hot host
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    both = rows.join(made, "host", "left").select("page_id", "html", "url", "host", "fixed", "slots")
+    both = rows.join(made, "host", "left").select("page_id", "html", "url", "host", "fixed")
     kind = both.schema["page_id"].dataType.simpleString()
 
     def run(batches):
-        known: dict[str, tuple[frozenset, str | None]] = {}
+        known: dict[str, frozenset] = {}
         for batch in batches:
             for part in slices(batch, 1):
                 texts = []
@@ -229,9 +209,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                     if host not in known:
                         if len(known) > 10_000:
                             known.clear()
-                        slots = [(s["value"], s["size"]) for s in part.column(5)[i].as_py() or ()]
-                        known[host] = (frozenset(part.column(4)[i].as_py() or ()), root_of(slots))
-                    texts.append(main_text(page, *known[host]))
+                        known[host] = frozenset(part.column(4)[i].as_py() or ())
+                    texts.append(main_text(page, known[host]))
                 cols = [part.column(0), part.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 

@@ -165,6 +165,21 @@ def test_templates_decide_inside_content(spark):
         assert out[9800 + k] == "One\nTwo" and out[9900 + k] == f"Text {k}" and out[10000 + k] == f"A long text that is copied\nv{k}"
 
 
+def test_slots_beside_the_largest_and_two_layouts(spark):
+    first = lambda k: f"<body><h1>Title {k}</h1><div class=top>All our news</div><div class=content><p>{f'Words of story {k}. ' * 20}</p><h2>Part {k}</h2><p>More of {k}.</p></div></body>"
+    second = lambda k: f"<body><section><b>Old layout</b><ul class=x><li>Point {k}</ul></section><section class=legal>Rights are ours</section></body>"
+    one_p = lambda k: f"<body><h1>Head {k}</h1><p>{f'Story {k}. ' * 40}</p><blockquote>Said {k}</blockquote></body>"
+    rows = [(k, f"http://a.org/{k}", (first, second)[k % 2](k)) for k in range(10)] + [(k, f"http://b.org/{k}", one_p(k)) for k in range(10, 14)]
+    rows += [(k, f"http://c.org/{k}", "<body><div>Copy</div><p>of one page</p></body>") for k in range(20, 24)]
+    out = {r.page_id: r.text.split("\n") for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(0, 10, 2):
+        assert out[k] == [f"Title {k}", (f"Words of story {k}. " * 20).strip(), f"Part {k}", f"More of {k}."]
+        assert out[k + 1] == [f"Point {k + 1}"]
+    for k in range(10, 14):
+        assert out[k] == [f"Head {k}", (f"Story {k}. " * 40).strip(), f"Said {k}"]
+    assert all(out[k] == ["Copy", "of one page"] for k in range(20, 24))
+
+
 def _like(a, b):
     x, y = set(fingerprint.digests(a).tolist()), set(fingerprint.digests(b).tolist())
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
