@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, langid, packing, simhash
+from spanloom.llm import decontam, langid, packing, similar, simhash
 from spanloom.llm.shared import ship, stage, table
 
 
@@ -19,9 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group whose SimHashes are linked by 4 bits or fewer."""
+    """Keeps the first document of each group that is linked by texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_first(docs, similar.near_copies(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,7 +303,11 @@ def hexed(fp):
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs, same columns: of each component the document with the least id stays; repeated rows of that id count as copies, rows without id stay."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **how), id_col=id_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """docs, same columns, of which groups (doc_id, component_id) name the first of their component; rows without id stay."""
     chosen = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     chosen = stage(chosen, "kept").withColumnRenamed("doc_id", id_col)
     some = docs.join(chosen.hint("merge"), id_col)  # the kept ids grow with the documents: one plan at every size

@@ -345,3 +345,38 @@ def test_pipeline_stages(spark, docs):
         assert not any(tuple(w[k : k + 10]) in items for k in range(len(w) - 9))
     out = corpus.STAGES[-1][1](spark, df, DATA)
     assert {r[0] for r in out.select("doc_id").distinct().collect()} == {r[0] for r in df.select("doc_id").collect()}
+
+
+def test_pipeline_finds_every_near_copy(spark, docs, odd, none):
+    corpus = pytest.importorskip("corpus_pipeline")
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows = list(docs)
+    for k in range(12):  # copies of 0.7 to 0.9, and a large group of copies of one text
+        base = [word() for _ in range(100)]
+        rows.append((10_000 + 10 * k, " ".join(base)))
+        for n in range(1, 6):
+            copy = list(base)
+            for at in r.sample(range(0, 100, 5), n):
+                copy[at] = word()
+            rows.append((10_000 + 10 * k + n, " ".join(copy)))
+    group = [word() for _ in range(200)]
+    for k in range(150):
+        rows.append((20_000 + k, " ".join([*group[:k], word(), *group[k + 1 :]])))
+
+    def grams(t):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [grams(t) for _, t in rows]
+    label = np.arange(len(rows))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        x, y = sets[i], sets[j]
+        if x == y or min(len(x), len(y)) * 5 >= max(len(x), len(y)) * 4 and 5 * len(x & y) >= 4 * len(x | y):
+            label = simhash.forest(len(rows), np.array([i]), np.array([j]), label)
+    want = {min(rows[i][0] for i in np.flatnonzero(label == x)) for x in set(label.tolist())}
+    got = corpus.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(x.doc_id for x in got.collect()) == sorted(want)
+    kept = corpus.near_copies(spark, odd, DATA)
+    assert kept.columns == odd.columns and kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 0").count() == 1 and kept.filter("doc_id = 1").count() == 0
+    assert corpus.near_copies(spark, none, DATA).count() == 0
