@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from contextlib import suppress
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -13,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark (the folder may be in any store that Spark reads)."""
     ship(spark)
@@ -58,6 +67,7 @@ def partitions(spark: SparkSession) -> int:
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, for clusters on which it isn't installed."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))  # rows differ in size by orders of magnitude
     sc = spark.sparkContext
     if getattr(sc, "_spanloom_shipped", False):
         return
@@ -74,7 +84,28 @@ def ship(spark: SparkSession) -> None:
     sc._spanloom_shipped = True
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 8 << 20):
+_kept: dict[Any, Any] = {}
+
+
+def keep(key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker keeps for its later tasks: one thing at a time. Another key drops what another operator has left and gives its memory back to the system."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Drops what the worker keeps; tasks that need much memory but keep nothing begin with this."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 2 << 20):
     """Parts of a batch of about `most` bytes of text at most (one row at least), so that memory follows neither row count nor text length."""
     col = batch.column(text)
     size, begin = 0, 0
@@ -88,5 +119,13 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 8 << 20):
         yield batch.slice(begin)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, that no column of df has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import keep
+
 # Anything beyond single spaces and single line feeds, and the byte that marks the cuts.
 _ODD = (
     r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -31,13 +33,12 @@ _BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not i
 class Encoder:
     """encode(texts): an array of uint32 ids for each text; null counts as empty. Two generations of pieces are kept, `most` of them in all; those met again move to the younger one."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.most = most
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -109,14 +110,9 @@ class Encoder:
         return [ids[a:b] for a, b in zip(token_ends[:-1], token_ends[1:], strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file; what it has learnt stays for the worker's later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder for a file; what it has learnt stays for the worker's later tasks of this kind."""
+    return keep(("encoder", path), lambda: Encoder(path))
 
 
 def tokenizer_path(path: str | None) -> str:
