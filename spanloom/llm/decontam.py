@@ -8,21 +8,22 @@ bounded size that is broadcast; further blocks are further passes, staged in bet
 
 Cases: null or wordless texts have no hits. Items that are null or wordless match nothing. Repeated items count once by
 id; a null id counts as an item written as the empty string. Repeated rows are judged one by one. Columns beyond the
-named ones are carried through untouched, except that names this operator adds must not be among them.
+named ones are carried through untouched; in mark() columns named like its results give way to these, clean() adds none.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, stage
+from .shared import free_name, release, slices, stage
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -140,27 +141,24 @@ class Automaton:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator[Automaton]:
-    """Automata of at most `most` words each (one item at least); items come to the driver one partition at a time and only a block is held."""
+    """Automata of some `most` words each; items come to the driver one partition at a time and only a block is held. A longer item goes in stretches that overlap by a window less one word, so that each of its windows is in one."""
     block: list[tuple[str, list[bytes]]] = []
     size = 0
     for row in items.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         seq = words(row[1])
-        if not seq:
-            continue
-        if block and size + len(seq) > most:
-            yield Automaton(block, window)
-            block, size = [], 0
-        block.append((row[0] or "", seq))
-        size += len(seq)
+        for at in range(0, max(1, len(seq) - window + 1), most):
+            part = seq[at : at + most + window - 1]
+            if not part:
+                continue
+            if block and size + len(part) > most:
+                yield Automaton(block, window)
+                block, size = [], 0
+            block.append((row[0] or "", part))
+            size += len(part)
     yield Automaton(block, window)
 
 
-_MARKS = T.StructType(
-    [
-        T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))),
-        T.StructField("hit_items", T.ArrayType(T.StringType())),
-    ]
-)
+_SPANS, _ITEMS = T.ArrayType(T.ArrayType(T.LongType())), T.ArrayType(T.StringType())
 
 
 def _merge(spans: list) -> list[tuple[int, int]]:
@@ -175,20 +173,27 @@ def _merge(spans: list) -> list[tuple[int, int]]:
 
 def mark(
     docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, block_words: int = 200_000,
+    window: int = 10, block_words: int = 100_000,
 ) -> DataFrame:
     """docs with n_words, hit_spans (word positions [begin, end) inside occurrences of windows, merged) and hit_items (sorted ids)."""
+    names = ("n_words", "hit_spans", "hit_items")
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c.lower() not in names])
     sc = docs.sparkSession.sparkContext
+    return _marked(rows, (sc.broadcast(a) for a in _blocks(items, item_id, item_text, window, block_words)), text_col, names)
+
+
+def _marked(docs: DataFrame, blocks: Iterable, text_col: str, named: tuple[str, str, str]) -> DataFrame:
+    """docs with the three columns of marks, joined over all blocks."""
     at = docs.columns.index(text_col)
     out, first = docs, True
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), *_MARKS.fields])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in zip(named, (T.LongType(), _SPANS, _ITEMS), strict=True)]])
     arrow_marks = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
-    for auto in _blocks(items, item_id, item_text, window, block_words):
+    for shared in blocks:
         if not first:
             out = stage(out, "decontam")
-        shared = sc.broadcast(auto)
 
         def run(batches, shared=shared, first=first):
+            release()
             auto = shared.value
             for batch in batches:
                 for part in slices(batch, at):
@@ -221,8 +226,19 @@ def report(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def without(text: str, spans: list) -> str:
+    """text without spans of its words, cut from first to last word and joined by a line feed."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    keep, begin = [], 0
+    for a, b in spans:
+        keep.append(text[begin : places[a][0]])
+        begin = places[b - 1][1]
+    keep.append(text[begin:])
+    return "\n".join(x.strip() for x in keep if x.strip())
+
+
 def cut(text: str, auto: Automaton, coverage: float) -> str | None:
-    """text without its hit spans, cut from first to last word and joined by a line feed until nothing hits; None if more than `coverage` of its words are hit."""
+    """text without its hit spans, until nothing hits; None if more than `coverage` of its words are hit."""
     first = True
     while True:
         seq = words(text)
@@ -231,30 +247,25 @@ def cut(text: str, auto: Automaton, coverage: float) -> str | None:
             return text
         if first and sum(b - a for a, b in spans) > coverage * len(seq):
             return None
-        first = False
-        places = [m.span() for m in _WORD.finditer(text)]
-        keep, begin = [], 0
-        for a, b in spans:
-            keep.append(text[begin : places[a][0]])
-            begin = places[b - 1][1]
-        keep.append(text[begin:])
-        text = "\n".join(x.strip() for x in keep if x.strip())
+        first, text = False, without(text, spans)
 
 
 def clean(
     docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = 10, coverage: float = 0.5, block_words: int = 200_000,
+    window: int = 10, coverage: float = 0.5, block_words: int = 100_000,
 ) -> DataFrame:
-    """docs, same columns, with hit spans removed from the texts; documents of which more than `coverage` is hit go. Clean rows keep their exact text."""
+    """docs, same columns, with hit spans removed from the texts; documents of which more than `coverage` is hit go. Clean rows keep their exact text.
+
+    What is hit is judged over all blocks together, then cut, and what was cut is judged again over all blocks until nothing hits, so the outcome doesn't depend on the blocks.
+    """
     sc = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
-    schema, out, first = docs.schema, docs, True
-    for auto in _blocks(items, item_id, item_text, window, block_words):
-        if not first:
-            out = stage(out, "decontam")
-        shared, first = sc.broadcast(auto), False
+    blocks = [sc.broadcast(a) for a in _blocks(items, item_id, item_text, window, block_words)]
+    if len(blocks) == 1:  # the rounds of a text are one call
+        (shared,) = blocks
 
-        def run(batches, shared=shared):
+        def once(batches):
+            release()
             for batch in batches:
                 for part in slices(batch, at):
                     old = part.column(at).to_pylist()
@@ -262,10 +273,30 @@ def clean(
                     keep = [x is None or y is not None for x, y in zip(old, new, strict=True)]
                     cols = part.columns
                     cols[at] = pa.array(new, part.column(at).type)
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names).filter(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays(cols, names=part.schema.names).filter(pa.array(keep))
 
-        out = out.mapInArrow(run, schema)
-    return out
+        return docs.mapInArrow(once, docs.schema)
+    named = tuple(free_name(docs, n) for n in ("n_words", "hit_spans", "hit_items"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    left, out, first = docs, [], True
+
+    def apart(batches):
+        for batch in batches:
+            for part in slices(batch, at):
+                cols = part.columns[: len(part.columns) - 3]
+                cols[at] = pa.array([without(t, s) for t, s in zip(cols[at].to_pylist(), part.column(len(cols) + 1).to_pylist(), strict=True)], cols[at].type)
+                yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[: len(cols)])
+
+    while True:
+        marked = stage(_marked(left, blocks, text_col, named), "decontam")
+        hit = F.aggregate(named[1], F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+        out.append(marked.filter(F.size(named[1]) == 0).select(*columns))
+        some = marked.filter(F.size(named[1]) > 0)
+        if first:
+            some = some.filter(hit <= F.lit(coverage) * F.col(named[0]))
+        if some.isEmpty():
+            return reduce(DataFrame.union, out)
+        left, first = stage(some.mapInArrow(apart, docs.schema), "decontam-cut"), False
 
 
 def digest(names: list[str]) -> str:
