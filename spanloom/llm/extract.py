@@ -3,19 +3,28 @@
 Pages of a host are made by few templates. A page's tags, each with the tags around it and its class names, are tokens;
 so are text blocks that aren't set apart. Tokens with equal vectors of occurrence over a host's pages form a class, and a
 class with a tag that is on enough pages is part of a template: a skeleton of tags around slots, with fixed texts between.
-What is left of a page when its fixed texts are taken out are its slots, and all of them are the article but those inside
-navigation, adverts, forms and the like; if the page has content elements, only the slots in these. This holds in article and
-main elements too; there, two guards keep copies of an article on a host: a text is only fixed if pages that differ in
-their candidate text hold it, and if over half of a page's article would be fixed, all of it stays.
+Fixed texts go, on all pages. The slots that are left nest in the template's containers (div, section, cells and the like,
+by their places among their siblings). On pages without content elements (article, main) the template tells the article
+from the rest: the containers with more than half of all text of a layout form a chain; beside the chain, containers
+that are made alike on all pages, with the same number of blocks each time, are fields of the template (menus, adverts,
+notices, footers), while those whose number of blocks varies are slots for text and stay, unless half of their text is
+links. Headings, paragraphs and lists that stand in the chain itself stay. On pages with content elements the slots in
+these are the article, whatever their names. Two guards keep copies of an article on a host: a text is only fixed if pages
+that differ in their candidate text hold it, and if over half of a content element would be fixed, all of it stays.
+Elements that HTML sets apart by meaning (nav, aside, footer, forms, scripts, comments as articles in articles, what is
+hidden) are no article; of class names only whole names that mean adverts or comments count, and on containers only.
 
 Vectors are never gathered: a token's vector is compared by the sum over its pages of a random number of the page times
 the token's count there, so one aggregation by (host, token) finds classes however many pages a host has, with partial
-sums before the shuffle. Its outcome is a few rows a host. Pages are read twice and not shuffled, unless the table of
-templates is too large for Spark to broadcast by its own size limit.
+sums before the shuffle. Its outcome is a few rows a host: fixed texts and containers of layouts, no more than some pages
+have elements. Pages are read twice and not shuffled, unless the table of templates is too large for Spark to broadcast by
+its own size limit.
 
 Cases: null and empty pages give an empty text. Pages cut off in the middle, unclosed and stray tags are read like
-browsers do, up to the end. Pages without a host are a host of their own. Repeated rows are pages of their own. A host of
-fewer than `least_pages` pages has no fixed texts: only tags and class names speak.
+browsers do, up to the end; quotes that don't begin a value mean nothing. Time and memory are linear in a page's length and
+depth. Pages without a host are a host of their own. Repeated rows are pages of their own. A host of fewer than
+`least_pages` pages has no fixed texts, and a layout of fewer pages is judged by the page at hand alone. Columns of the
+pages that are named like the results give way to these.
 """
 
 from __future__ import annotations
@@ -29,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .shared import slices, stage
+from .shared import release, slices, stage
 from .urltrust import host_of
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# a quote only begins a value after an equals sign; possessive, so that no page is read twice
+_ATTRIBUTE = r"""[\s/]++|[^\s=>/][^\s=>/]*+(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|="""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>{_ATTRIBUTE})*+)(?:>|\Z)|[^<]++|<", re.S)
+_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""", re.I)
 
 # HTML's elements by kind.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -45,150 +56,225 @@ INLINE = {
 APART = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "object", "svg", "canvas", "video", "audio", "map", "head", *RAW}
 CONTENT = {"article", "main"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of class names, ids and roles that mark what is not the article.
-NOISE = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo",
-    "cookie", "cookies", "disqus", "discussion", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
-    "pagination", "pager", "popup", "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "sidebars", "social", "sponsor",
-    "sponsored", "subscribe", "subscription", "toolbar", "widget",
-}
-_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Elements that hold parts of a page; body and html are the root.
+CONTAINERS = {"div", "section", "center", "table", "tbody", "tr", "td", "main", "article", "header"}
+#: Whole class names, ids and roles of containers that hold adverts or what readers write.
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "comment", "comments", "contentinfo", "disqus_thread", "navigation", "replies", "search", "sponsored"}
 
 
 class Block:
-    """A text block: its words, the signatures of the elements around it, and whether one of these is content, or set apart."""
+    """A text block: its words, a number for the elements around it, its container, whether it is in a content element or set apart, and how much of it is links."""
 
-    __slots__ = ("apart", "content", "path", "text")
+    __slots__ = ("apart", "container", "content", "links", "path", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], content: bool, apart: bool):
-        self.text, self.path, self.content, self.apart = text, path, content, apart
+    def __init__(self, text: str, path: int, container: int, content: bool, apart: bool, links: int):
+        self.text, self.path, self.container, self.content, self.apart, self.links = text, path, container, content, apart, links
 
 
 def _signature(name: str, attributes: str) -> tuple[str, bool]:
     """An element as tag.class#id, and whether its names or attributes set it apart."""
-    if not attributes.strip():
-        return name, name in APART
     sig, apart = name, name in APART
-    for m in _NAMED.finditer(attributes):
+    for m in _NAMED.finditer(attributes) if attributes and not attributes.isspace() else ():
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key in ("class", "id", "role"):
             sig += {"class": ".", "id": "#", "role": "@"}[key] + re.sub(r"\d+", "0", value.strip())
-            apart |= name not in ("html", "body", *CONTENT) and any(w.lower() in NOISE for w in _WORDS.findall(value))
+            apart |= name in CONTAINERS | {"ul", "ol", "ins"} and any(w in NAMES for w in value.lower().split())
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             apart |= name not in ("html", "body")
     return sig, apart
 
 
-def blocks(page: str) -> tuple[list[Block], Counter]:
-    """The page's text blocks in order, and counts of its structural tokens (element paths)."""
-    out: list[Block] = []
-    tags: Counter = Counter()
-    stack: list[tuple[str, str, bool, bool]] = []  # name, signature, in content, apart
-    held: list[str] = []
-
-    def flush() -> None:
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            held.clear()
-            if text:
-                top = stack[-1] if stack else ("", "", False, False)
-                out.append(Block(text, tuple(s[1] for s in stack if s[0] not in INLINE), top[2], top[3]))
-
-    at = 0
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        token = m[0]
-        if m[2] is None:
-            if token[0] != "<" or token == "<":
-                held.append(token)
-            continue
-        name = m[2].lower()
-        if token[-1] != ">":
-            break  # cut off inside a tag
-        if m[1]:
+def _child(parent: int, sig: str) -> int:
+    """The number of an element's path, from that of the path around it."""
+    return xxh64_intdigest(sig, parent)
+
+
+class Page:
+    """blocks: text blocks in order. tags: counts of element paths, by number. containers: (parent, number of the path with places among siblings, signature); the first is the root."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.tags: Counter = Counter()
+        self.containers: list[tuple[int, int, str]] = [(-1, 0, "")]
+        stack: list[tuple[str, int, int, bool, bool, str]] = []  # name, path, container, in content, apart, nearest content element
+        places: Counter = Counter()
+        depth: Counter = Counter()  # open elements by name
+        held: list[str] = []
+        linked = 0
+
+        def flush() -> None:
+            nonlocal linked
+            if held:
+                text = " ".join(html.unescape("".join(held)).split())
+                held.clear()
+                if text:
+                    _, path, container, content, apart, _ = stack[-1] if stack else ("", 0, 0, False, False, "")
+                    self.blocks.append(Block(text, path, container, content, apart, min(linked, len(text))))
+            linked = 0
+
+        at = 0
+        while m := _TOKEN.match(page, at):
+            at = m.end()
+            token = m[0]
+            if m[2] is None:
+                if token[0] != "<" or token == "<":
+                    held.append(token)
+                    if depth["a"]:
+                        linked += len(token)
+                continue
+            name = m[2].lower()
+            if token[-1] != ">":
+                break  # cut off inside a tag
+            if m[1]:
+                if name not in INLINE:
+                    flush()
+                if depth[name]:
+                    while True:
+                        gone = stack.pop()[0]
+                        depth[gone] -= 1
+                        if gone == name:
+                            break
+                continue
             if name not in INLINE:
                 flush()
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
-            continue
-        if name not in INLINE:
-            flush()
-            while stack and stack[-1][0] in INLINE:  # a block ends inline elements that were left open
-                stack.pop()
-            if name in CLOSES and stack and stack[-1][0] in CLOSES[name]:
-                stack.pop()
-        elif name == "br":
-            held.append(" ")
-        sig, apart = _signature(name, m[3])
-        _, _, content, above = stack[-1] if stack else ("", "", False, False)
-        if name == "header" and not content:  # a site's header; an article's own holds its title
-            apart = True
-        if name not in INLINE or apart:
-            tags["/".join([s[1] for s in stack if s[0] not in INLINE] + [sig])] += 1
-        if name in RAW:
-            end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
-            if apart and name in INLINE:
-                flush()
-            stack.append((name, sig, content or name in CONTENT, above or apart))
-    flush()
-    return out, tags
-
-
-def candidates(found: list[Block]) -> list[Block]:
-    """Blocks that may be the article: those not set apart, in content elements if any of these is."""
-    open_blocks = [b for b in found if not b.apart]
-    return [b for b in open_blocks if b.content] or open_blocks
-
-
-def _token(kind: str, value: str) -> int:
-    return int.from_bytes(xxh64_intdigest(f"{kind}\n{value}").to_bytes(8, "big"), "big", signed=True)
+                while stack and (stack[-1][0] in INLINE or name in CLOSES and stack[-1][0] in CLOSES[name]):  # a block ends inline elements left open, a paragraph the one before
+                    depth[gone := stack.pop()[0]] -= 1
+                    if gone not in INLINE:
+                        break
+            elif name == "br":
+                held.append(" ")
+            sig, apart = _signature(name, m[3])
+            _, path, container, content, above, article = stack[-1] if stack else ("", 0, 0, False, False, "")
+            if name == "header" and not content or name == "article" and article == "article":  # a site's header; comments are articles in an article
+                apart = True
+            if name not in INLINE or apart:
+                path = _child(path, sig)
+                self.tags[path] += 1
+            if name in CONTAINERS:
+                places[container, sig] += 1
+                self.containers.append((container, _child(self.containers[container][1], f"{sig} {places[container, sig]}"), sig))
+                container = len(self.containers) - 1
+            if name in RAW:
+                end = re.compile(rf"</{name}[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            elif name not in VOID:  # a slash at the end closes nothing in HTML
+                if apart and name in INLINE:
+                    flush()
+                stack.append((name, path, container, content or name in CONTENT, above or apart, name if name in CONTENT else article))
+                depth[name] += 1
+        flush()
+
+    @property
+    def layout(self) -> int:
+        """A number for the kinds of the page's outermost containers."""
+        return xxh64_intdigest("\n".join(sorted({sig for parent, _, sig in self.containers if parent == 0})))
+
+    def candidates(self) -> list[Block]:
+        """Blocks that may be the article: those not set apart, in content elements if any of these is."""
+        some = [b for b in self.blocks if not b.apart]
+        return [b for b in some if b.content] or some
+
+    def masses(self) -> list[tuple[int, int, int, int, int]]:
+        """(path, parent's path, characters, characters of links, blocks) of each container with candidate text in it or below, the root first."""
+        sums = [[0, 0, 0] for _ in self.containers]
+        for b in self.candidates():
+            one = sums[b.container]
+            one[0] += len(b.text)
+            one[1] += b.links
+            one[2] += 1
+        for k in range(len(sums) - 1, 0, -1):  # containers come after what is around them
+            up = sums[self.containers[k][0]]
+            for i in range(3):
+                up[i] += sums[k][i]
+        paths = [c[1] for c in self.containers]
+        return [(paths[k], paths[c[0]] if k else 0, *sums[k]) for k, c in enumerate(self.containers) if sums[k][0] or not k]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def fields_of(rows: list[tuple[int, int, int, int, bool]]) -> frozenset[int]:
+    """The paths of containers that are fields of a layout: beside its chain of main containers, and made alike on all pages or mostly links. rows: (path, parent, characters, link characters, alike), the root's path is 0."""
+    total = sum(r[2] for r in rows if r[0] == 0)
+    chain = {r[0] for r in rows if 2 * r[2] > total} | {0}
+    ends = chain & {r[1] for r in rows if r[0] in chain and r[0]}  # those with a further member below
+    return frozenset(r[0] for r in rows if r[0] not in chain and (r[1] in ends and r[4] or r[1] in chain and 2 * r[3] > r[2]))
+
+
+def _token(kind: str, *values: object) -> int:
+    return _signed(xxh64_intdigest("\n".join((kind, *map(str, values)))))
 
 
 def tokens(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, token, kind, value, pages, vector, least, most): tokens of each host with the sum that stands for their vector of occurrence. kind: t a tag, x a text that may be the article's; least and most: hashes of its pages' candidate texts."""
+    """Tokens of each host with the sum that stands for their vector of occurrence, aggregated: (host, token, kind, layout, parent, pages, vector, least, most, chars, links).
+
+    kind: t a tag, x a text that may be the article's, c a container of a layout. least and most: of hashes of the pages' candidate texts; of a container's numbers of blocks.
+    """
+    names = ["host", "token", "kind", "layout", "parent", "pages", "vector", "least", "chars", "links"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
+        release()
         for batch in batches:
             for part in slices(batch, 1):
                 rows: list[tuple] = []
-                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found, tags = blocks(page or "")
-                    dice = xxh64_intdigest(page or "") >> 24  # 40 bits: sums stay exact
-                    some = candidates(found)
-                    texts = Counter("\n".join(("/".join(b.path), b.text)) for b in some)
-                    body = _token("b", "\n".join(b.text for b in some))
-                    rows += [(host, _token("t", p), "t", p, 1, dice * n, body) for p, n in tags.items()]
-                    rows += [(host, _token("x", p), "x", "", 1, dice * n, body) for p, n in texts.items()]
-                cols = list(zip(*rows, strict=True)) or [()] * 7
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.decimal128(38, 0), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "token", "kind", "value", "pages", "vector", "body"])
-
-    schema = "host string, token long, kind string, value string, pages long, vector decimal(38,0), body long"
+                for host, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    page = Page(text or "")
+                    dice = xxh64_intdigest(text or "") >> 24  # 40 bits: sums stay exact
+                    some = page.candidates()
+                    texts = Counter(_token("x", b.path, b.text) for b in some)
+                    body = _token("b", *[b.text for b in some])
+                    rows += [(host, _signed(p), "t", 0, 0, 1, dice * n, body, 0, 0) for p, n in page.tags.items()]
+                    rows += [(host, p, "x", 0, 0, 1, dice * n, body, 0, 0) for p, n in texts.items()]
+                    if not any(b.content for b in some):
+                        layout = _signed(page.layout)
+                        rows += [(host, _signed(p), "c", layout, _signed(up), 1, 0, n, chars, links) for p, up, chars, links, n in page.masses()]
+                cols = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    schema = "host string, token long, kind string, layout long, parent long, pages long, vector decimal(38,0), least long, chars long, links long"
     each = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col)).mapInArrow(run, schema)
-    return each.groupBy("host", "token", "kind", "value").agg(
-        F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.min("body").alias("least"), F.max("body").alias("most"),
+    return each.groupBy("host", "token", "kind", "layout", "parent").agg(
+        F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.min("least").alias("least"), F.max("least").alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
     )
 
 
 def templates(pages: DataFrame, *, least_pages: int = 3, **cols) -> DataFrame:
-    """(host, fixed): a row for each host with fixed texts, the texts (as tokens) of classes found on at least `least_pages` of its pages; each layout of a host has classes of its own."""
-    frequent = tokens(pages, **cols).filter(F.col("pages") >= least_pages)
+    """(host, fixed, layouts) of each host that has any: fixed texts (as tokens) of classes found on at least `least_pages` of its pages, and the layouts of as many pages with their containers."""
+    frequent = stage(tokens(pages, **cols).filter(F.col("pages") >= least_pages), "tokens")
     text = (F.col("kind") == "x") & (F.col("least") != F.col("most"))
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.count_if(F.col("kind") == "t").alias("tags"), F.collect_list(F.when(text, F.col("token"))).alias("texts"))
+    classes = frequent.filter("kind <> 'c'").groupBy("host", "vector", "pages").agg(F.count_if(F.col("kind") == "t").alias("tags"), F.collect_list(F.when(text, F.col("token"))).alias("texts"))
     # a valid class has a tag besides its texts: a lone text that is everywhere is content that repeats
     valid = classes.filter((F.col("tags") >= 1) & (F.size("texts") > 0))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("fixed"))
-
-
-def main_text(page: str | None, fixed: frozenset[int] = frozenset()) -> str:
-    """The article of a page: its candidate blocks without fixed texts. Over half of a content element's text is never fixed: that is a copy."""
-    some = candidates(blocks(page or "")[0])
-    left = [b for b in some if _token("x", "\n".join(("/".join(b.path), b.text))) not in fixed]
-    if some and some[0].content and 2 * sum(len(b.text) for b in left) < sum(len(b.text) for b in some):
-        left = some
+    fixed = valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("fixed"))
+    rows = frequent.filter("kind = 'c'").select("host", "layout", F.struct("token", "parent", "chars", "links", (F.col("least") == F.col("most")).alias("alike")).alias("c"))
+    layouts = rows.groupBy("host", "layout").agg(F.collect_list("c").alias("containers")).groupBy("host").agg(F.collect_list(F.struct("layout", "containers")).alias("layouts"))
+    return fixed.join(layouts, "host", "full_outer")
+
+
+Known = tuple[frozenset[int], dict[int, frozenset[int]]]  # fixed texts; fields by layout
+
+
+def main_text(text: str | None, known: Known = (frozenset(), {})) -> str:
+    """The article of a page: its candidate blocks without fixed texts and fields. Over half of a content element's text is never fixed: that is a copy."""
+    page = Page(text or "")
+    some = page.candidates()
+    fixed, layouts = known
+    left = [b for b in some if _token("x", b.path, b.text) not in fixed]
+    if not some:
+        return ""
+    if some[0].content:
+        if 2 * sum(len(b.text) for b in left) < sum(len(b.text) for b in some):
+            left = some
+    else:
+        fields = layouts.get(_signed(page.layout))
+        if fields is None:  # a layout of its own
+            fields = fields_of([(_signed(p), _signed(up), chars, links, True) for p, up, chars, links, _ in page.masses()])
+        apart = [False] * len(page.containers)
+        for k, (parent, path, _) in enumerate(page.containers):
+            apart[k] = k > 0 and (apart[parent] or _signed(path) in fields)
+        left = [b for b in left if not apart[b.container]]
     return "\n".join(b.text for b in left)
 
 
@@ -196,11 +282,16 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """(page_id, url, text, n_chars) of every page."""
     made = stage(templates(pages, url_col=url_col, html_col=html_col, **how), "templates")  # its size is known: Spark broadcasts it if small, else it can split a hot host
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    both = rows.join(made, "host", "left").select("page_id", "html", "url", "host", "fixed")
+    both = rows.join(made, "host", "left").select("page_id", "html", "url", "host", "fixed", "layouts")
     kind = both.schema["page_id"].dataType.simpleString()
 
+    def known_of(fixed, layouts) -> Known:
+        by_layout = {x["layout"]: fields_of([(c["token"], c["parent"], c["chars"], c["links"], c["alike"]) for c in x["containers"]]) for x in layouts or ()}
+        return frozenset(fixed or ()), by_layout
+
     def run(batches):
-        known: dict[str, frozenset] = {}
+        release()
+        known: dict[str, Known] = {}
         for batch in batches:
             for part in slices(batch, 1):
                 texts = []
@@ -209,7 +300,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                     if host not in known:
                         if len(known) > 10_000:
                             known.clear()
-                        known[host] = frozenset(part.column(4)[i].as_py() or ())
+                        known[host] = known_of(part.column(4)[i].as_py(), part.column(5)[i].as_py())
                     texts.append(main_text(page, known[host]))
                 cols = [part.column(0), part.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
