@@ -19,11 +19,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .shared import partitions
+from .shared import partitions, release
 
 #: Cells of the sketch that is kept as the fingerprint, and code points of a piece.
 CELLS, PIECE = 24, 48
@@ -71,9 +71,9 @@ class Sketches:
         np.bitwise_xor.at(self.check, at, np.repeat(_mix(keys, 99), 3))
 
     def text(self, i: int) -> str:
-        """A sketch as a string: of each cell a 16-bit count, 64-bit digest and 16-bit check sum, in hexadecimal."""
+        """A sketch as a string: of each cell a 32-bit count, 64-bit digest and 16-bit check sum, in hexadecimal."""
         part = slice(i * self.size, (i + 1) * self.size)
-        cells = np.zeros(self.size, [("n", ">i2"), ("k", ">u8"), ("c", ">u2")])
+        cells = np.zeros(self.size, [("n", ">i4"), ("k", ">u8"), ("c", ">u2")])
         cells["n"], cells["k"], cells["c"] = self.count[part], self.key[part], self.check[part] & np.uint64(0xFFFF)
         return f"{self.size:x}-{cells.tobytes().hex()}"
 
@@ -147,40 +147,59 @@ def _judge(rows: list[tuple[int | None, str]], after: list[str]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
 
-def _search(bounds: list[int], x, a: int = 0, b: int | None = None):
-    """The number of bounds below x, as a balanced tree of comparisons."""
-    b = len(bounds) if b is None else b
-    if a == b:
-        return F.lit(a)
-    m = (a + b) // 2
-    return F.when(x <= bounds[m], _search(bounds, x, a, m)).otherwise(_search(bounds, x, m + 1, b))
+def _after(bounds: list[tuple[int, int]], doc: Column, c: Column) -> Column:
+    """How many bounds (id, checksum) a row lies after, ids falling and checksums rising: a binary search in literal arrays."""
+    if not bounds:
+        return F.lit(0)
+    ids, sums = F.lit([b for b, _ in bounds]).cast("array<bigint>"), F.lit([c for _, c in bounds]).cast("array<bigint>")
 
+    def step(at: Column, k: Column) -> Column:
+        b = F.get(ids, at + k - 1)
+        return F.when((at + k <= len(bounds)) & ((doc < b) | (doc == b) & (c > F.get(sums, at + k - 1))), at + k).otherwise(at)
 
-def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4 << 20, most_ranges: int = 2048) -> DataFrame:
-    """Fingerprints of each document and of its edited text, with likenesses. Texts are shuffled once, into ranges of ids; each range also gets the first document of the range after it."""
+    return F.aggregate(F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))]), F.lit(0), step)
+
+
+def ranges_of(quantiles: list[int], total: int, nulls: int, n: int) -> tuple[list[tuple[int, int]], int]:
+    """Bounds (id, last checksum) between ranges of ids in falling order, and the number of ranges for rows without id. An id that is several quantiles gets as many ranges, by checksum."""
+    times: dict[int, int] = {}
+    for q in quantiles:
+        times[q] = times.get(q, 0) + 1
+    bounds = []
+    for q in sorted(times, reverse=True):
+        bounds += [(q, (1 << 32) * k // times[q] - 1) for k in range(1, times[q] + 1)]
+    return bounds, max(1, n * nulls // max(total, 1))
+
+
+def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4 << 20, range_bytes: int = 64 << 20) -> DataFrame:
+    """Fingerprints of each document and of its edited text, with likenesses. Texts are shuffled once, into ranges of ids of some `range_bytes`, each a task of its own; each range also gets the first document of the range after it."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = min(most_ranges, 2 * partitions(spark))
-    bounds = sorted({int(x) for x in rows.select("doc_id").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
-    ranged = rows.withColumn("_range", F.coalesce(len(bounds) - _search(bounds, F.col("doc_id")), F.lit(len(bounds) + 1)).cast("int"))
-    # a range's first document: the largest id, then the least checksum
-    head = F.max(F.struct("doc_id", (-F.crc32("text")).alias("c")))
-    firsts = [(r[0], r[1]["doc_id"], -r[1]["c"]) for r in ranged.groupBy("_range").agg(head).orderBy("_range").collect()]  # one row a range
-    if not firsts:
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("null")).first()
+    if not size["n"]:
         return spark.createDataFrame([], _SCHEMA)
-    before = {firsts[k][0]: firsts[k - 1][0] for k in range(len(firsts))}  # the range that ends before this one; the last ends before the first
-    known = [x for _, x, _ in firsts if x is not None]
-    is_first = F.col("doc_id").isin(known) | F.col("doc_id").isNull()
-    table = F.array(*[F.lit(before.get(k, -1)).cast("int") for k in range(len(bounds) + 2)])
-    # extra rows go to the end of the range before: of all rows with that id each reader takes the one that sorts first
-    places = F.when(is_first, F.array(F.struct(F.col("_range"), F.lit(0).alias("_extra")), F.struct(F.get(table, F.col("_range")).alias("_range"), F.lit(1).alias("_extra")))).otherwise(
-        F.array(F.struct(F.col("_range"), F.lit(0).alias("_extra")))
-    )
-    spread = ranged.withColumn("_p", F.explode(places)).select(F.col("_p._range").alias("_range"), F.col("_p._extra").alias("_extra"), "doc_id", "text")
-    order = ["_range", "_extra", F.col("doc_id").desc_nulls_last(), F.crc32("text")]
-    laid = spread.repartition(n, "_range").sortWithinPartitions(*order)
+    n = max(2 * partitions(spark), -(-size["b"] // range_bytes))
+    quantiles = rows.select("doc_id").filter("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n)
+    bounds, without = ranges_of([int(q) for q in quantiles], size["n"], size["null"], n)
+    # rows without id come last, in ranges by checksum
+    last = F.floor(F.col("_c") * F.lit(without) / F.lit(1 << 32)).cast("int") + len(bounds) + 1
+    ranged = rows.withColumn("_c", F.crc32("text")).withColumn("_range", F.when(F.col("doc_id").isNull(), last).otherwise(_after(bounds, F.col("doc_id"), F.col("_c"))).cast("int"))
+    # a range's first document: the largest id, then the least checksum
+    head = F.max(F.struct("doc_id", (-F.col("_c")).alias("c")))
+    firsts = {r[0]: (r[1]["doc_id"], -r[1]["c"]) for r in ranged.groupBy("_range").agg(head).collect()}  # one row a range
+    there = sorted(firsts)
+    before = {r: there[k - 1] for k, r in enumerate(there)}  # the range that ends before this one; the last ends before the first
+    every = range(len(bounds) + without + 1)
+    ids, sums, to = (F.lit([f(r) for r in every]).cast(f"array<{t}>") for f, t in ((lambda r: firsts.get(r, (0, 0))[0] or 0, "bigint"), (lambda r: firsts.get(r, (0, -1))[1], "bigint"), (lambda r: before.get(r, -1), "int")))
+    is_first = (F.coalesce("doc_id", F.lit(0)) == F.get(ids, F.col("_range"))) & (F.col("_c") == F.get(sums, F.col("_range")))
+    # extra rows go to the end of the range before: of all rows with that id and checksum each reader takes the one that sorts first
+    own, extra = (F.struct(r.alias("_range"), F.lit(k).alias("_extra")) for k, r in enumerate((F.col("_range"), F.get(to, F.col("_range")))))
+    spread = ranged.withColumn("_p", F.explode(F.when(is_first, F.array(own, extra)).otherwise(F.array(own))))
+    laid = spread.select(F.col("_p._range").alias("_range"), F.col("_p._extra").alias("_extra"), "doc_id", "text", "_c").repartitionById(len(every), "_range")
+    laid = laid.sortWithinPartitions("_range", "_extra", F.col("doc_id").desc_nulls_last(), "_c").select("_range", "_extra", "doc_id", "text")
 
     def run(batches):
+        release()
         now, held, size, ended = None, [], 0, False
         for batch in batches:
             cols = [batch.column(k) for k in range(4)]
