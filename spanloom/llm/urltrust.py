@@ -7,8 +7,8 @@ Blocked seeds are the hosts that a block rule for whole hosts fits (one for a pa
 trusted seeds those with a page that an allow rule fits; a host that is both is neither.
 
 Each round joins ranks with edges by host and adds up by host, with partial sums before the shuffle, so a popular host
-costs a row for each task; rounds are tables in the shared folder. Rounds end when ranks change by less than `change` in
-all, or there is nothing to flow.
+costs a row for each task; rounds are tables in the shared folder. Rounds end only when ranks change by less than `change`
+in all, or there is nothing to flow.
 
 Cases: null urls and urls without :// have an empty host and path, no rule, and the verdict of the empty host, which has
 no links: allow. Null pages have no links. Repeated rows are judged one by one, and their links count each time.
@@ -80,16 +80,19 @@ def edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") ->
 _FOLD = str.maketrans(_UPPER, _LOWER)
 
 
-def pagerank(graph: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 30, change: float = 1e-6) -> DataFrame:
-    """(host, rank): personalised PageRank over (src, dst, weight), weights of a src adding up to 1, restarting at seeds (host). Rank that meets a host without links restarts too, by the final scaling to 1."""
+def pagerank(graph: DataFrame, seeds: DataFrame, *, damping: float = 0.85, change: float = 1e-6, steps: int = 4) -> DataFrame:
+    """(host, rank): personalised PageRank over (src, dst, weight), weights of a src adding up to 1, restarting at seeds (host). Rank that meets a host without links restarts too, by the final scaling to 1. A round is `steps` steps in one plan; each step changes at most `damping` times what the one before changed, so rounds end by themselves: 90 steps or so reach 1e-6 at 0.85."""
     count = seeds.count()
     if not count:
         return seeds.select("host", F.lit(0.0).alias("rank"))
     start = seeds.select("host", F.lit((1 - damping) / count).alias("rank"))
     now = stage(seeds.select("host", F.lit(1.0 / count).alias("rank")), "ranks")
-    for _ in range(rounds):
-        moved = now.join(graph, now.host == graph.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("weight") * damping).alias("rank"))
-        nxt = stage(moved.union(start).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
+    while True:
+        nxt = now
+        for _ in range(steps):
+            moved = nxt.join(graph, nxt.host == graph.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("weight") * damping).alias("rank"))
+            nxt = moved.union(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+        nxt = stage(nxt, "ranks")
         gap = now.select("host", (-F.col("rank")).alias("rank")).union(nxt).groupBy("host").agg(F.sum("rank").alias("d")).agg(F.sum(F.abs("d"))).first()[0]
         unstage(now)
         now = nxt
