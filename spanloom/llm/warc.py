@@ -3,13 +3,13 @@
 A capture is a request, a response (or a revisit, if an equal payload is archived already) and a metadata record. Request
 and metadata name the response in WARC-Concurrent-To. Records are written by Spark's text writer, whose commits survive
 lost executors: a record ends in CR LF CR LF, and the writer's line end is the last of these bytes. Payloads may be any
-bytes. Files are read whole, by Spark, and cut by Content-Length, so nothing in a payload can look like a record.
+bytes. Files are of bounded size, read whole, by Spark, and cut by Content-Length, so nothing in a payload can look like a record.
 
 Assembly: a record that names another joins that one's capture, over at most two steps (metadata that names a request
 that names the response); then one nested row is emitted per capture.
 
 Cases: a null payload is empty; a null url leaves out WARC-Target-URI; repeated rows of one page_id are captures of their
-own, told apart by a running number; a null page_id is kept as null. Records without a response are captures with a null response.
+own, told apart by a digest and a running number; a null page_id is kept as null. Page ids come back as whole numbers. Records without a response are captures with a null response.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import new_path, stage
@@ -69,7 +69,9 @@ def records(captures: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     digest = F.concat(F.lit("sha1:"), base32(F.col("_sha")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("_n").cast("string"), F.lit("\r\n\r\n"))
     host = F.regexp_extract(F.coalesce("_uri", F.lit("")), r"^[^:]*://([^/?#]*)", 1)
-    ask = F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
+    target = F.regexp_extract(F.coalesce("_uri", F.lit("")), r"^[^:]*://[^/?#]*([^#]*)", 1)
+    asked_for = F.when(target.startswith("/"), target).otherwise(F.concat(F.lit("/"), target))
+    ask = F.concat(F.lit("GET "), asked_for, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n"))
     page = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     uri, about = ("WARC-Target-URI", F.col("_uri")), ("WARC-Concurrent-To", response)
     payload = ("WARC-Payload-Digest", digest)
@@ -83,18 +85,25 @@ def records(captures: DataFrame, *, least_bytes: int = 0) -> DataFrame:
 
 
 def captures_of(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, _copy): _copy counts rows of equal id, url and payload checksum, as only such need telling apart."""
+    """(page_id, url, payload, _copy): _copy is empty where an id is there once; rows that share an id, or have none, are told apart by a digest of url and payload, and equal rows by a running number."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
-    ids = pages.select(F.col(id_col).alias("page_id")).groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1 or page_id is null")
+    ids = stage(rows.groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1 or page_id is null").select("page_id"), "repeated")
     if ids.isEmpty():
-        return rows.withColumn("_copy", F.lit(0))
-    w = Window.partitionBy("page_id").orderBy("url", F.crc32("payload"))
-    return rows.withColumn("_copy", F.row_number().over(w) - 1)
+        return rows.withColumn("_copy", F.lit(""))
+    many = ids.withColumnRenamed("page_id", "_id")
+    same = F.col("page_id").eqNullSafe(F.col("_id"))
+    digest = F.sha1(F.concat_ws("\n", F.coalesce("url", F.lit("\t")), "payload").cast("binary"))
+    # equal rows are counted and made again, so no task holds the rows of an id
+    told = rows.join(many, same, "left_semi").withColumn("_digest", digest).groupBy("page_id", "_digest").agg(F.first("url").alias("url"), F.first("payload").alias("payload"), F.count("*").alias("_n"))
+    again = told.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("page_id", "url", "payload", F.concat_ws("/", "_digest", "_k").alias("_copy"))
+    return rows.join(many, same, "left_anti").withColumn("_copy", F.lit("")).unionByName(again)
 
 
-def write(captures: DataFrame, path: str, **how) -> None:
-    """Writes gzip-compressed WARC files to a folder."""
-    records(captures, **how).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+def write(captures: DataFrame, path: str, *, file_bytes: int = 64 << 20, **how) -> None:
+    """Writes gzip-compressed WARC files to a folder, of some `file_bytes` each before compression."""
+    size = captures.agg(F.sum(F.octet_length("payload")).alias("b"), F.count("*").alias("n")).first()
+    many = max(1, file_bytes * size["n"] // max(1, (size["b"] or 0) + 1200 * size["n"]))  # files are read whole
+    records(captures, **how).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", many).text(path)
 
 
 def parse(content: bytes):
@@ -193,4 +202,7 @@ def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     )
     wanted = flat.filter("_of is not null").select(F.col("_of").alias("capture_id")).distinct()
     first = flat.join(wanted, "capture_id", "left_semi").select(F.col("capture_id").alias("_of"), F.col("page_id").alias("refers_to"))
-    return flat.join(first, "_of", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kind = flat.schema["page_id"].dataType
+    rest = flat.filter("_of is null").withColumn("refers_to", F.lit(None).cast(kind)).select(*columns)  # responses refer to nothing and need no join
+    return rest.unionByName(flat.filter("_of is not null").join(first, "_of", "left").select(*columns))
