@@ -6,7 +6,7 @@ sequence) with multiplicities. A document's piece takes its place by its rank am
 distributed work is one count and one ranking, however many documents there are.
 
 Cases: a null text is an empty one and gives the end id alone. Repeated rows are packed one by one. An empty table gives
-an empty result. Columns other than the named ones are left behind.
+an empty result. Document ids are whole numbers (others are an error when cast). Columns other than the named ones are left behind.
 """
 
 from __future__ import annotations

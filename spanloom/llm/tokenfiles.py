@@ -9,7 +9,7 @@ A file is a run of blocks. A block is, little-endian:
   the data bytes (each id's rank, lowest byte first), then one line feed, which the writer puts between rows.
 Decoding looks the lengths of four ids up in a table of 256 rows and gathers bytes, all in numpy.
 
-Cases: null texts count as empty and hold the end id alone; equal doc_ids stay in order of their text's checksum; null
+Document ids are whole numbers (others are an error when cast). Cases: null texts count as empty and hold the end id alone; equal doc_ids stay in order of their text's checksum; null
 doc_ids come first; an empty table gives no files and no rows.
 """
 
@@ -126,8 +126,8 @@ def count_ids(counts: DataFrame) -> DataFrame:
     return counts.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | None = None, block_ids: int = 1 << 18) -> None:
-    """Writes documents in ascending doc_id order, one file a range of ids. The ranks hold at most one entry for each id of the vocabulary, so they are broadcast."""
+def write(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | None = None, block_ids: int = 1 << 18, file_bytes: int = 64 << 20) -> None:
+    """Writes documents in ascending doc_id order, one file a range of ids (and checksums, where an id repeats) of some `file_bytes` at most. The ranks hold at most one entry for each id of the vocabulary, so they are broadcast."""
     spark = docs.sparkSession
     staged = stage(tokenised(docs, end_id=end_id, tokenizer=tokenizer), "tokens")
     tokens = staged.filter("n is not null")
@@ -153,8 +153,8 @@ def write(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str | None
         if held:
             yield _rows(block(names, held, shared.value))
 
-    n = partitions(spark)
-    ranged = tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
+    n = max(partitions(spark), -(-2 * sum(r[1] for r in counted) // file_bytes))  # files are read whole
+    ranged = tokens.withColumn("_c", F.crc32("ids")).repartitionByRange(n, "doc_id", "_c").sortWithinPartitions("doc_id", "_c").drop("_c")
     ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/blocks")
 
 
@@ -193,8 +193,8 @@ def read(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
 def with_starts(rows: DataFrame) -> DataFrame:
     """Adds start: ids of all documents before. Sums are taken within files; across files one row a file is summed up."""
     tokens = stage(rows, "token-rows")
-    files = tokens.groupBy("file").agg(F.sum("n_tokens").alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
-    across = Window.orderBy(F.col("_high").asc_nulls_first(), "_low", "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = tokens.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
+    across = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("int"), "file")  # the writer numbers the ranges.rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     local = tokens.withColumn("_start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
