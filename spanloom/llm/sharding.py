@@ -7,7 +7,7 @@ shard's capacity is the mean load rounded up or down, so that loads differ by on
 A sequential process would place documents one by one. Here only the loads of arcs (the stretch before a point: at most
 shards x nodes numbers) reach the driver, which lets whole stretches of ranks overflow at once; a document then finds its
 shard by its arc and its rank there. Ranks come from counts of fine cells of the ring, so that neither a window nor a
-task holds more than a cell's rows. Adding or removing documents changes capacities by few rows and moves few of them.
+task holds more than a cell's rows; the fullest cells of more than `cell_rows` rows are ranked in parts. Adding or removing documents changes capacities by few rows and moves few of them.
 
 Cases: null texts have size 8 and checksum 0; null ids share one place; repeated rows are separate rows of the same
 place. An empty table gives an empty result.
@@ -82,6 +82,7 @@ def flow(loads: dict[int, int], ring: list[tuple[int, int]], shards: int) -> lis
 
 def shard(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, nodes: int = 64, cells: int | None = None,
+    cell_rows: int = 1 << 17, most_split: int = 256,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row; slots of a shard run from 0 without gaps."""
     spark = docs.sparkSession
@@ -93,15 +94,23 @@ def shard(
     ).withColumn("_place", place(F.col("doc_id")))
     # the arc of a place: how many points lie before it, found by halving
     rows = rows.withColumn("_arc", _search([p for p, _ in ring], F.col("_place")) % len(ring)).withColumn("_cell", F.shiftright("_place", 32 - n.bit_length() + 1).cast("int"))
-    counted = rows.groupBy("_arc", "_cell").agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_sub", F.lit(0))
+    counted = rows.groupBy("_arc", "_cell", "_sub").agg(F.count("*").alias("_n"))
+    full = [(r[0], r[1], r[2]) for r in counted.filter(F.col("_n") > cell_rows).orderBy(F.desc("_n")).limit(most_split).select("_arc", "_cell", "_n").collect()]
+    if full:  # rows that share an id, or have none, share a place: such cells are ranked in parts by checksum
+        parts = F.lit(1)
+        for arc, cell, many in full:
+            parts = F.when((F.col("_arc") == arc) & (F.col("_cell") == cell), F.lit(-(-many // cell_rows))).otherwise(parts)
+        rows = rows.withColumn("_sub", F.pmod("text_crc32", parts).cast("int"))
+        counted = rows.groupBy("_arc", "_cell", "_sub").agg(F.count("*").alias("_n"))
     loads = {r[0]: r[1] for r in counted.groupBy("_arc").agg(F.sum("_n")).collect()}  # at most shards x nodes
     ranges = sorted(flow(loads, ring, shards))
     # the arc after the last point begins the ring anew: its cells of small places come after those of large ones
     turn = F.when(F.col("_arc") == 0, F.col("_cell") <= ((ring[0][0] if ring else 0) >> (32 - n.bit_length() + 1))).otherwise(F.lit(False))
-    before = Window.partitionBy("_arc").orderBy(turn, "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.select("_arc", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_arc", "_cell").orderBy("_place", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(bases, ["_arc", "_cell"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    before = Window.partitionBy("_arc").orderBy(turn, "_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.select("_arc", "_cell", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_arc", "_cell", "_sub").orderBy("_place", "doc_id", "text_crc32", "size")
+    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(bases, ["_arc", "_cell", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     # (arc, rank) as one number finds its range by halving too; there are at most shards x nodes + shards of those
     starts = [(arc << 40) | a for arc, a, *_ in ranges]
     at = _search(starts, F.shiftleft(F.col("_arc").cast("long"), 40) + F.col("_rank") + 1) - 1
