@@ -28,40 +28,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .shared import partitions, slices, stage, unstage
+from .shared import free_name, partitions, release, slices, stage, unstage
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """Bit i is set if it is set in over half the XXH64 of the text's shingles, repeats included."""
+def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 of the text's word shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxh64_intdigest(joined, seed)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        begins = (ends - sizes)[: len(words) - width + 1].tolist()
-        hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_bits = 2 * bits.sum(0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+        return np.array([xxh64_intdigest(joined, seed)], "<u8")
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    begins = (ends - sizes)[: len(words) - width + 1].tolist()
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins, ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half the hashes."""
+    if not len(hashes):
+        return 0
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The majority over the text's word shingles; zero without words."""
+    return majority(shingle_hashes(text, width, seed))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed 64-bit numbers."""
+    """(doc_id, text_key, fp): fingerprints as signed 64-bit numbers, and a hash of the text that tells rows of one id apart."""
 
     def run(batches):
+        release()
         for batch in batches:
-            for part in slices(batch, 1):
-                fps = np.array([fingerprint(x, width, seed) for x in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            for part in slices(batch, 2):
+                fps = np.array([fingerprint(x, width, seed) for x in part.column(2).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -288,13 +300,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, distance: int = 4, bucket: int = 2048,
 ) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id reachable through links of at most `distance` differing bits."""
+    """(doc_id, text_key, fp, group, component_id): component_id is the least doc_id reachable through links of at most `distance` differing bits; group names the component even where ids repeat."""
     marked = stage(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, seed=seed), "fingerprints")
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes, distance=distance, bucket=bucket))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(stage(named, "named"), "fp").select("doc_id", "fp", "component_id")
+    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
+    named = rooted.join(rooted.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "group", "component_id")
+    return marked.join(stage(named, "named"), "fp").select("doc_id", "text_key", "fp", "group", "component_id")
 
 
 def hexed(fp):
@@ -302,17 +314,21 @@ def hexed(fp):
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs, same columns: of each component the document with the least id stays; repeated rows of that id count as copies, rows without id stay."""
-    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **how), id_col=id_col)
-
-
-def keep_first(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """docs, same columns, of which groups (doc_id, component_id) name the first of their component; rows without id stay."""
-    chosen = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    chosen = stage(chosen, "kept").withColumnRenamed("doc_id", id_col)
-    some = docs.join(chosen.hint("merge"), id_col)  # the kept ids grow with the documents: one plan at every size
-    if chosen.filter("_rows > 1").isEmpty():
-        once = some.drop("_rows")
+    """docs, same columns: of each component one row stays, that of the least id (of its texts, that of the least hash); rows without id stay."""
+    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **how), id_col=id_col, text_col=text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, same columns, with one row of each group of groups (doc_id, text_key, group); rows without id stay. Of rows with equal id and text any one may be the one that stays."""
+    same = groups.filter("doc_id is not null").groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    chosen = stage(same.groupBy("group").agg(F.min(F.struct("doc_id", "text_key", "n")).alias("f")).select("f.*"), "kept")
+    names = {c: free_name(docs, f"_{c}") for c in chosen.columns}
+    named = chosen.select(*[F.col(c).alias(n) for c, n in names.items()])
+    on = (F.col(f"`{id_col}`") == F.col(names["doc_id"])) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(names["text_key"]))
+    some = docs.join(named.hint("merge"), on)  # the kept ids grow with the documents: one plan at every size
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if chosen.filter("n > 1").isEmpty():
+        once = some.select(*columns)
     else:
-        once = some.filter("_rows = 1").drop("_rows").union(some.filter("_rows > 1").drop("_rows").dropDuplicates([id_col]))
-    return once.select(*docs.columns).union(docs.filter(F.col(id_col).isNull()))
+        once = some.filter(F.col(names["n"]) == 1).select(*columns).union(some.filter(F.col(names["n"]) > 1).dropDuplicates([id_col]).select(*columns))
+    return once.union(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -1,42 +1,37 @@
-"""Near copies by Jaccard similarity of word shingles, exactly: prefix filter, verified pairs, components.
-
-Texts with the same set of shingles are one node. Of two sets with similarity s or more, the first n - ceil(s n) + 1
-members of each, in any order common to all, share one; so each node makes an index row for each of these, and only rows
-that share a shingle go on. The order puts shingles that are frequent in a sample last: it changes the cost, not the
-pairs. Neighbours in a part of the buckets are verified first, so that large groups of copies are one component early;
-then all pairs whose components differ are. A pair is passed over only by bounds that hold for it: the sizes; the places
-of the first shared member in both orders, as no more than what follows can be common; and a parity of the members in each
-of 1,024 classes, as sets differ by at least as many members as parities. The rest is verified against the whole sets.
+"""Near copies by SimHash and by Jaccard similarity of word shingles: linked fingerprints first, then an exact pass for the rest.
+
+Texts with the same set of shingles are one node. Fingerprints of nodes are linked as in simhash.py, and linked nodes whose
+sets have the similarity s are joined, so that large groups of copies are one component early. As texts of similarity 0.8
+often differ in more bits than can be probed, a prefix filter finds all other pairs: of two sets with similarity s or more,
+the first n - ceil(s n) + 1 members of each, in any order common to all, share one; so each node makes an index row for
+each of these, and only rows that share a shingle go on. The order puts shingles that are frequent in a sample last: it
+changes the cost, not the pairs. Pairs whose components differ are verified. A pair is passed over only by bounds that hold
+for it: the sizes; the places of the first shared member in both orders, as no more than what follows can be common; and a
+parity of the members in each of 1,024 classes, as sets differ by at least as many members as parities. The rest is
+verified against the whole sets.
 
 Cases: null and wordless texts are one node, which is like no other. Texts of fewer words than a shingle are one shingle.
-Rows without an id take no part.
+Rows without an id take no part. Rows that share an id are told apart by a hash of their text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .shared import partitions, slices, stage
-from .simhash import _LOWER, components
+from .shared import partitions, release, slices, stage, unstage
+from .simhash import components, links, majority, shingle_hashes
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """The sorted distinct XXH64 of the text's word shingles, as signed numbers."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.int64)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    last = ends[min(width, len(words)) - 1 :].tolist()
-    hashes = [xxh64_intdigest(joined[a:b]) for a, b in zip((ends - sizes).tolist(), last, strict=False)]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+    """The sorted distinct hashes of the text's word shingles, as signed numbers."""
+    return np.unique(shingle_hashes(text, width).view(np.int64))
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -54,8 +49,8 @@ def _frequent(docs: DataFrame, text_col: str, width: int, rows: int = 4000, most
     def run(batches):
         for batch in batches:
             for part in slices(batch, 0):
-                for x in part.column(0).to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array(shingles(x, width))], names=["s"])
+                found = [shingles(x, width) for x in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["s"])
 
     n = docs.count()
     some = docs.select(text_col).sample(min(1.0, rows / max(n, 1)), seed=1)
@@ -71,10 +66,32 @@ def parities(found: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle: a megabyte, whatever the number of rows.
+FILTER = 1 << 23
+
+
+def _filter_of(wanted: DataFrame) -> list[int]:
+    """Words of 64 bits: those of the hashes of wanted ids are set. With very many ids it lets all rows pass, and the join behind it decides."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    words = wanted.groupBy(F.shiftright(h, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {FILTER}), 64) as int))")).alias("b")).collect()
+    out = [0] * (FILTER >> 6)
+    for r in words:
+        out[r["w"]] = r["b"]
+    return out
+
+
+def _in_filter(doc_id: Column, words: list[int]) -> Column:
+    h = F.pmod(F.xxhash64(doc_id), F.lit(FILTER))
+    table = F.lit(np.array(words, np.int64))
+    return F.call_function("getbit", F.get(table, F.shiftright(h, 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+
+
 def _cross(group, key, n, pos, label, num: int, den: int):
     """Pairs of a group (rows sorted by group and n) with different labels whose sizes allow the similarity."""
     end = np.searchsorted(group, group, "right")
     at, lag = np.arange(len(group)), 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     while len(at):
         lag += 1
         at = at[at + lag < end[at]]
@@ -83,41 +100,51 @@ def _cross(group, key, n, pos, label, num: int, den: int):
         b = a + lag
         a = a[np.minimum(n[a] - pos[a], n[b] - pos[b]) * (num + den) >= (n[a] + n[b]) * num]
         if len(a):
-            x, y = key[a], key[a + lag]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+            held.append((np.maximum(key[a], key[a + lag]), np.minimum(key[a], key[a + lag])))
+            size += len(a)
+        if held and (size > 100_000 or not len(at)):
+            x, y = np.unique(np.concatenate([np.stack(p, 1) for p in held]), axis=0).T  # a pair shares many shingles
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], names=["a", "b"])
+            held, size = [], 0
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """(doc_id, component_id) of rows with an id: component_id is the least doc_id reachable through texts of at least that similarity (a fraction)."""
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5), distance: int = 4) -> DataFrame:
+    """(doc_id, text_key, group, component_id) of rows with an id: component_id is the least doc_id reachable through texts of at least that similarity (a fraction), group names the component."""
     num, den = similarity
     spark = docs.sparkSession
-    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     frequent, rank = _frequent(docs, "text", width)
 
     def index(batches):
+        release()
         for batch in batches:
-            for part in slices(batch, 1):
-                sets = [shingles(x, width) for x in part.column(1).to_pylist()]
-                keys = pa.array([xxh64_intdigest(s.tobytes()) for s in sets], pa.uint64()).to_numpy().view(np.int64)
-                heads = pa.array([prefix(s, frequent, rank, num, den) for s in sets], pa.list_(pa.int64()))
-                bits = pa.array([parities(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), heads, bits], names=["doc_id", "key", "n", "head", "bits"])
-
-    id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("head", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]
-    marked = stage(docs.mapInArrow(index, T.StructType([id_field, *fields])), "shingled")
-    nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits")), "shingle-sets")
+            for part in slices(batch, 2):
+                rows = []
+                for x in part.column(2).to_pylist():
+                    hashes = shingle_hashes(x, width)
+                    s = np.unique(hashes.view(np.int64))
+                    rows.append((xxh64_intdigest(s.tobytes()), majority(hashes), len(s), prefix(s, frequent, rank, num, den), parities(s)))
+                keys, fps, sizes, heads, bits = zip(*rows, strict=True)
+                numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (heads, bits)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, pa.array(sizes, pa.int64()), *lists], names=["doc_id", "text_key", "key", "fp", "n", "head", "bits"])
+
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, long) for c in ("text_key", "key", "fp", "n")], T.StructField("head", longs), T.StructField("bits", longs)]
+    marked = stage(docs.mapInArrow(index, T.StructType(fields)), "shingled")
+    nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "head", "bits")]), "shingle-sets")
     by = Window.partitionBy("s").orderBy("n", "key")
-    rows = nodes.select(F.posexplode("head").alias("pos", "s"), "key", "n").withColumns({"prev": F.lag("key").over(by), "prev_n": F.lag("n").over(by), "prev_pos": F.lag("pos").over(by), "next": F.lead("key").over(by)})
+    rows = nodes.select(F.posexplode("head").alias("pos", "s"), "key", "n").withColumns({"prev": F.lag("key").over(by), "next": F.lead("key").over(by)})
     shared = stage(rows.filter("prev is not null or next is not null"), "shared-shingles")
 
     def whole(batches):
+        release()
         for batch in batches:
             for part in slices(batch, 1):
-                for want, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    s = shingles(text, width)
-                    if np.uint64(xxh64_intdigest(s.tobytes())).view(np.int64) == want:  # repeated ids may have other texts
-                        yield pa.RecordBatch.from_arrays([pa.array([want]), pa.array([s], pa.list_(pa.int64()))], names=["key", "members"])
+                sets = [shingles(x, width) for x in part.column(1).to_pylist()]
+                keys = pa.array(np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+                rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "members"])
+                yield rows.filter(pc.equal(keys, part.column(0)))  # repeated ids may have other texts
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         x, y = (nodes.select(F.col("key").alias(k), F.col("n").alias(f"_n{k}"), F.col("bits").alias(f"_bits{k}"), F.col("least").alias(f"_least{k}")) for k in "ab")
@@ -125,13 +152,22 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         # sets of n and m members with c in common differ by n + m - 2 c, and c (num + den) >= (n + m) num
         some = stage(pairs.distinct().join(x, "a").join(y, "b").filter(differ * (num + den) <= (F.col("_na") + F.col("_nb")) * (den - num)).select("a", "b", "_leasta", "_leastb"), "near-candidates")
         wanted = some.select(F.col("a").alias("key"), F.col("_leasta").alias("doc_id")).union(some.select("b", "_leastb")).distinct()
-        sets = stage(docs.join(wanted, "doc_id").select("key", "text").mapInArrow(whole, "key long, members array<long>").dropDuplicates(["key"]), "shingle-members")
+        texts = docs.filter(_in_filter(F.col("doc_id"), _filter_of(wanted))).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "key", "text_key"])  # dealt by id already
+        sets = stage(texts.select("key", "text").mapInArrow(whole, "key long, members array<long>"), "shingle-members")
         x, y = (sets.select(F.col("key").alias(k), F.col("members").alias(f"_{k}")) for k in "ab")
         common = F.size(F.array_intersect("_a", "_b"))
-        return stage(some.select("a", "b").join(x, "a").join(y, "b").filter(common * (num + den) >= (F.size("_a") + F.size("_b")) * num).select("a", "b"), label)
-
-    chain = shared.filter(f"prev is not null and pmod(xxhash64(s), 4) = 0 and n * {num} <= prev_n * {den} and least(n - pos, prev_n - prev_pos) * {num + den} >= (n + prev_n) * {num}")
-    edges = verified(chain.select(F.greatest("key", "prev").alias("a"), F.least("key", "prev").alias("b")), "near-neighbours")
+        out = stage(some.select("a", "b").join(x, "a").join(y, "b").filter(common * (num + den) >= (F.size("_a") + F.size("_b")) * num).select("a", "b"), label)
+        unstage(sets)
+        unstage(some)
+        return out
+
+    # SimHash: fingerprints within `distance` bits by the generalised pigeonhole, one node for each; nodes of one fingerprint with that node
+    prints = stage(nodes.filter("n > 0").groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
+    near = links(prints.select("fp"), distance=distance)
+    ends = [prints.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in "ab"]
+    linked = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("x"), F.col("_b").alias("y"))
+    same = nodes.join(prints, "fp").filter("key <> first").select(F.col("key").alias("x"), F.col("first").alias("y"))
+    edges = verified(linked.union(same).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "near-neighbours")
     roots = stage(components(edges), "near-roots")
 
     def cross(batches):
@@ -152,5 +188,5 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     edges = edges.union(verified(dealt.mapInArrow(cross, "a long, b long"), "near-pairs"))
     roots = stage(components(edges), "near-roots")
     rooted = nodes.join(roots, nodes.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
-    return marked.select("doc_id", "key").join(stage(named, "near-named"), "key").select("doc_id", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", F.col("root").alias("group"), "component_id")
+    return marked.select("doc_id", "text_key", "key").join(stage(named, "near-named"), "key").select("doc_id", "text_key", "group", "component_id")
