@@ -251,18 +251,6 @@ def test_links_of_dense_balls_in_chunks(spark):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, want.values()))
 
 
-def test_forward_sums_all_segmentations():
-    keys = np.array(sorted(langid._key(p) for p in (b"a", b"b", b"ab", b"ba", b"aba")), np.uint64)
-    probs = np.random.default_rng(0).random((5, 2))
-    p = {int(k): x for k, x in zip(keys, probs, strict=True)}
-
-    def total(w):
-        return 1.0 if not w else sum(p[langid._key(w[:k])] * total(w[k:]) for k in range(1, len(w) + 1) if langid._key(w[:k]) in p)
-
-    words = [bytes(w) for w in itertools.product(b"ab", repeat=5)]
-    assert np.allclose(np.exp(langid.forward(words, keys, probs)), [total(w) for w in words])
-
-
 def test_languages(spark, odd):
     lang = {r.doc_id: r.lang for r in table(spark, DATA, "documents").collect()}
     out = queries.op7_language(spark, DATA).collect()
