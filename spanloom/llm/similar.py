@@ -7,7 +7,7 @@ the first n - ceil(s n) + 1 members of each, in any order common to all, share o
 each of these, and only rows that share a shingle go on. The order puts shingles that are frequent in a sample last: it
 changes the cost, not the pairs. Pairs whose components differ are verified. A pair is passed over only by bounds that hold
 for it: the sizes; the places of the first shared member in both orders, as no more than what follows can be common; and a
-parity of the members in each of 1,024 classes, as sets differ by at least as many members as parities. The rest is
+parity of the members in each of 1,024 classes or four a member, as sets differ by at least as many members as parities. The rest is
 verified against the whole sets.
 
 Cases: null and wordless texts are one node, which is like no other. Texts of fewer words than a shingle are one shingle.
@@ -60,14 +60,22 @@ def _frequent(docs: DataFrame, text_col: str, width: int, rows: int = 4000, most
     return hashes[order], (len(got) - order).astype(np.int64)
 
 
-def parities(found: np.ndarray) -> list[int]:
-    """Bit k of 1,024: whether the number of members equal to k modulo 1,024 is odd."""
-    odd = np.bincount(found & 1023, minlength=1024) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+def parities(found: np.ndarray) -> list[list[int]]:
+    """Whether the numbers of members in classes are odd, as bits of 64-bit words: for 1,024 classes and for each power of two up to four classes a member."""
+    size = 1024
+    while size < 4 * len(found):
+        size *= 2
+    odd = (np.bincount(found & (size - 1), minlength=size) & 1).astype(np.uint8)
+    out = [odd]
+    while size > 1024:
+        size //= 2
+        odd = odd[:size] ^ odd[size:]
+        out.append(odd)
+    return [np.packbits(x, bitorder="little").view("<i8").tolist() for x in reversed(out)]
 
 
-#: Bits of the filter that keeps texts nobody asks for out of a shuffle: a megabyte, whatever the number of rows.
-FILTER = 1 << 23
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle: half a megabyte, whatever the number of rows.
+FILTER = 1 << 22
 
 
 def _filter_of(wanted: DataFrame) -> list[int]:
@@ -82,7 +90,7 @@ def _filter_of(wanted: DataFrame) -> list[int]:
 
 def _in_filter(doc_id: Column, words: list[int]) -> Column:
     h = F.pmod(F.xxhash64(doc_id), F.lit(FILTER))
-    table = F.lit(np.array(words, np.int64))
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded into one constant
     return F.call_function("getbit", F.get(table, F.shiftright(h, 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
 
 
@@ -126,11 +134,11 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     rows.append((xxh64_intdigest(s.tobytes()), majority(hashes), len(s), prefix(s, frequent, rank, num, den), parities(s)))
                 keys, fps, sizes, heads, bits = zip(*rows, strict=True)
                 numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
-                lists = [pa.array(x, pa.list_(pa.int64())) for x in (heads, bits)]
+                lists = [pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, pa.array(sizes, pa.int64()), *lists], names=["doc_id", "text_key", "key", "fp", "n", "head", "bits"])
 
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, long) for c in ("text_key", "key", "fp", "n")], T.StructField("head", longs), T.StructField("bits", longs)]
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, long) for c in ("text_key", "key", "fp", "n")], T.StructField("head", longs), T.StructField("bits", T.ArrayType(longs))]
     marked = stage(docs.mapInArrow(index, T.StructType(fields)), "shingled")
     nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "head", "bits")]), "shingle-sets")
     by = Window.partitionBy("s").orderBy("n", "key")
@@ -148,7 +156,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         x, y = (nodes.select(F.col("key").alias(k), F.col("n").alias(f"_n{k}"), F.col("bits").alias(f"_bits{k}"), F.col("least").alias(f"_least{k}")) for k in "ab")
-        differ = F.aggregate(F.zip_with("_bitsa", "_bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+        finest = F.least(F.size("_bitsa"), F.size("_bitsb")) - 1
+        differ = F.aggregate(F.zip_with(F.get("_bitsa", finest), F.get("_bitsb", finest), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
         # sets of n and m members with c in common differ by n + m - 2 c, and c (num + den) >= (n + m) num
         some = stage(pairs.distinct().join(x, "a").join(y, "b").filter(differ * (num + den) <= (F.col("_na") + F.col("_nb")) * (den - num)).select("a", "b", "_leasta", "_leastb"), "near-candidates")
         wanted = some.select(F.col("a").alias("key"), F.col("_leasta").alias("doc_id")).union(some.select("b", "_leastb")).distinct()
