@@ -359,6 +359,95 @@ def vertices(box: list[Span]) -> list[tuple]:
     return list(itertools.product(*[(s.lo, s.hi) for s in box]))
 
 
+# --- boundaries and changed ends; spans of Python values or Columns ---
+def close_if_open(bound):
+    """An open boundary as the closed one at its value; others as they are."""
+    return bound.v if isinstance(bound, Open) else bound
+
+
+def is_closed_or_unbounded(bound) -> bool:
+    return not isinstance(bound, Open)
+
+
+def starting(s: Span, start) -> Span:
+    """The extent with another start: a value, Open(value) or BOTTOM."""
+    return Span(s.dim, _like(s, s.dim.start(start)), s.hi)
+
+
+def starting_after(s: Span, v) -> Span:
+    return starting(s, Open(v))
+
+
+def from_bottom(s: Span) -> Span:
+    return starting(s, BOTTOM)
+
+
+def ending(s: Span, end) -> Span:
+    """The extent with another end: a value, Open(value) or TOP."""
+    return Span(s.dim, s.lo, _like(s, s.dim.end(end)))
+
+
+def ending_before(s: Span, v) -> Span:
+    return ending(s, Open(v))
+
+
+def to_top(s: Span) -> Span:
+    return ending(s, TOP)
+
+
+def at_start(s: Span) -> Span:
+    """The extent's first point, if it starts closed."""
+    d = s.dim
+    return Span(d, s.lo, d.succ(s.lo) if d.discrete else d._cut(d.column(s.lo)["v"] if isinstance(s.lo, Column) else s.lo[0], 1))
+
+
+def at_end(s: Span) -> Span:
+    """The extent's last point, if it ends closed."""
+    d = s.dim
+    return Span(d, d.pred(s.hi) if d.discrete else d._cut(d.column(s.hi)["v"] if isinstance(s.hi, Column) else s.hi[0], 0), s.hi)
+
+
+def _like(s: Span, cut):
+    """A literal cut as a Column where the extent is one of Columns."""
+    return s.dim.column(cut) if isinstance(s.lo, Column) or isinstance(s.hi, Column) else cut
+
+
+def after_start(a: Span, b: Span):
+    """Whether a starts after b starts."""
+    return a.lo > b.lo
+
+
+def after_or_at_start(a: Span, b: Span):
+    return a.lo >= b.lo
+
+
+def before_end(a: Span, b: Span):
+    """Whether a ends before b ends."""
+    return a.hi < b.hi
+
+
+def before_or_at_end(a: Span, b: Span):
+    return a.hi <= b.hi
+
+
+def has_same_start(x: list[Span], y: list[Span]):
+    return _all(a.lo == b.lo for a, b in zip(x, y, strict=True))
+
+
+def has_same_end(x: list[Span], y: list[Span]):
+    return _all(a.hi == b.hi for a, b in zip(x, y, strict=True))
+
+
+def is_unbounded(box: list[Span]):
+    """Whether a box is everything."""
+    return _all(s.dim.is_first(s.lo) & s.dim.is_last(s.hi) for s in box)
+
+
+def is_bounded(box: list[Span]):
+    """Whether a box is bounded on all sides."""
+    return _all(not_(s.dim.is_first(s.lo)) & not_(s.dim.is_last(s.hi)) for s in box)
+
+
 # --- relations and algebra of boxes (lists of Spans), on Python values and Columns alike ---
 Box = list
 
@@ -481,6 +570,36 @@ def excluding(x: Box, y: Box) -> list[list[Span]]:
     return out
 
 
+def remainder(a: Span, b: Span) -> Column:
+    """excluding for Columns, in one dimension: an array of (lo, hi), none, one or two."""
+    ends = ((a.lo, least(a.hi, b.lo)), (greatest(a.lo, b.hi), a.hi))
+    return F.filter(F.array(*[F.struct(x.alias("lo"), y.alias("hi")) for x, y in ends]), lambda p: p["lo"] < p["hi"])
+
+
+def along(a: Span, b: Span) -> Column:
+    """separate for Columns, in one dimension: an array of one to three (lo, hi)."""
+    ends = ((a.lo, least(a.hi, b.lo)), (greatest(a.lo, b.lo), least(a.hi, b.hi)), (greatest(a.lo, b.hi), a.hi))
+    return F.filter(F.array(*[F.struct(x.alias("lo"), y.alias("hi")) for x, y in ends]), lambda p: p["lo"] < p["hi"])
+
+
+def where(test: Column, s: Span) -> Span:
+    """The extent where the test holds, else null cuts: for what may not be there."""
+    return Span(s.dim, F.when(test, s.lo), F.when(test, s.hi))
+
+
+def gap_where(a: Span, b: Span) -> Span:
+    """gap for Columns, in one dimension: null cuts where there is none."""
+    s = Span(a.dim, least(a.hi, b.hi), greatest(a.lo, b.lo))
+    return where(s.lo < s.hi, s)
+
+
+def points_where(s: Span) -> Column:
+    """points for Columns, in one discrete dimension: an array, empty if unbounded."""
+    d = s.dim
+    none = F.array().cast(f"array<{d.type}>")
+    return F.when(d.is_first(s.lo) | d.is_last(s.hi), none).otherwise(F.sequence(s.lo, d.pred(s.hi)))
+
+
 def separate(x: Box, y: Box) -> list[Box]:
     """x in pieces along the faces of y, at most three a dimension."""
     import itertools
@@ -541,6 +660,16 @@ class Probe:
     def reflected(self) -> Probe:
         return Probe(reflected(self.span, self.center), self.center)
 
+    def super_element(self) -> Probe:
+        """The probe joined with its reflection: it holds its centre."""
+        other = self.reflected().span
+        return Probe(Span(self.span.dim, least(self.span.lo, other.lo), greatest(self.span.hi, other.hi)), self.center)
+
+
+def containing_center(probes: list[Probe]) -> list[Probe]:
+    """super_element in each dimension of a box of probes."""
+    return [p.super_element() for p in probes]
+
 
 def dilated(s: Span, p: Probe) -> Span:
     """Minkowski sum with the probe; an unbounded side of the probe makes that side unbounded."""

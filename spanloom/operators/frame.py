@@ -8,13 +8,15 @@ unless said otherwise. Two workhorses carry most operators:
 * coalesce: adjacent rows of equal value are merged by a window (gaps and islands), one dimension after the other; after
   cells this gives a unique canonical form.
 
-Keys make every step an equi-join, a window or an aggregation by key; they are what scales. Without keys a frame is one
-structure, meant for small data. `hot` cuts the first dimension at given values, which become part of the key while cells
-are made, so that one large structure is worked on in many tasks.
+Keys make every step an equi-join, a window or an aggregation by key. Without keys a frame is one structure: its rows are
+dealt by ranges of the first dimension where cells are made or islands found, and meet in bins where they are joined. `hot`
+cuts the first dimension at given values, which become part of the key while cells are made, so that one large structure
+of a key is worked on in many tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
@@ -22,7 +24,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.cuts import BOTTOM, TOP, Box, Dim, Probe, Span, contains, contains_point, dilated, displaced, eroded, intersects, padded, reflected, scaled, touches, unbounded
+from ..functions.cuts import BOTTOM, TOP, Box, Dim, Probe, Span, connected, contains, contains_point, dilated, displaced, eroded, intersects, padded, reflected, scaled, touches, unbounded
 
 
 def _col(name: str) -> Column:
@@ -96,6 +98,11 @@ class IntervalFrame:
         """A shape with a constant value."""
         return IntervalFrame(self.df.withColumn(name, F.lit(value)), self.dims, (*self.values, name), self.keys)
 
+    def with_monoid_value(self, value, *, aggregate: Callable[[Column], Column] = F.sum, identity: Any = 0, name: str = "value") -> Monoid:
+        """A shape with a constant value that adds up where regions meet."""
+        f = self.with_value(value, name)
+        return Monoid(f.df, f.dims, f.values, f.keys, aggregate=aggregate, identity=identity)
+
     def collect_with_value(self, value: Column, align_to: IntervalFrame | None = None, name: str = "value") -> IntervalFrame:
         """A value computed from the row's box where it isn't null, perhaps on another frame's grid."""
         base = self if align_to is None else self.decompressed(align_to)
@@ -208,12 +215,18 @@ class IntervalFrame:
             out, grid, keys = self._dealt(out), self._dealt(grid), [*keys, "_part"]
         for d in self.dims:
             ends = grid.select(*keys, F.explode(F.array(d.lo, d.hi)).alias("_from")).distinct()
-            order = Window.partitionBy(*keys).orderBy("_from") if keys else Window.orderBy("_from")
-            segments = ends.withColumn("_to", F.lead("_from").over(order)).filter("_to is not null")
             rest = [c for c in out.columns if c not in (d.lo, d.hi)]
-            other = segments.select(*[_col(k).alias(f"_k_{k}") for k in keys], "_from", "_to")
-            on = [_col(k).eqNullSafe(_col(f"_k_{k}")) for k in keys] + [_col(d.lo) <= F.col("_from"), F.col("_to") <= _col(d.hi)]
-            out = out.join(other, reduce(lambda a, b: a & b, on)).select(*rest, F.col("_from").alias(d.lo), F.col("_to").alias(d.hi))
+            covers = [_col(d.lo) <= F.col("_from"), F.col("_to") <= _col(d.hi)]
+            if keys:
+                segments = ends.withColumn("_to", F.lead("_from").over(Window.partitionBy(*keys).orderBy("_from"))).filter("_to is not null")
+                other = segments.select(*[_col(k).alias(f"_k_{k}") for k in keys], "_from", "_to")
+                covers = [_col(k).eqNullSafe(_col(f"_k_{k}")) for k in keys] + covers
+            else:
+                other = _segments(ends, d)
+                if (bins := _bins(d, (grid, d.lo, d.hi))) is not None:
+                    out, other, meet = _binned(out, (d.lo, d.hi), other, ("_from", "_to"), d, bins)
+                    covers += meet
+            out = out.join(other, reduce(lambda a, b: a & b, covers)).select(*rest, F.col("_from").alias(d.lo), F.col("_to").alias(d.hi))
         return out.drop("_part")
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
@@ -250,13 +263,26 @@ class IntervalFrame:
         df = self.df
         for d in self.dims:
             same = [*self.keys, *self.values, *[c for x in self.dims if x is not d for c in (x.lo, x.hi)]]
-            by = Window.partitionBy(*same) if same else Window.partitionBy(F.lit(0))
-            reach = F.max(d.hi).over(by.orderBy(d.lo, d.hi).rowsBetween(Window.unboundedPreceding, -1))
-            marked = df.withColumn("_new", F.when(reach >= _col(d.lo), 0).otherwise(1))
-            island = F.sum("_new").over(by.orderBy(d.lo, d.hi).rowsBetween(Window.unboundedPreceding, 0))
-            df = marked.withColumn("_island", island).groupBy(*same, "_island").agg(F.min(d.lo).alias(d.lo), F.max(d.hi).alias(d.hi)).select(*self.columns)
+            df = self._islands(df, d, same).groupBy(*same, "_island").agg(F.min(d.lo).alias(d.lo), F.max(d.hi).alias(d.hi)).select(*self.columns)
         return self._with(df)
 
+    def _islands(self, df: DataFrame, d: Dim, same: list[str], name: str = "_island") -> DataFrame:
+        """df with the number of each row's island among rows of equal `same`: rows that overlap or touch in a dimension. Without keys, and in one dimension, rows are dealt by ranges of their starts, and only what each range reaches and how many islands begin in it is carried over."""
+        cuts = None if self.keys or len(self.dims) > 1 else _quantiles(df, d, d.lo)
+        if cuts is None:
+            order = Window.partitionBy(*same, *([] if same else [F.lit(0)])).orderBy(d.lo, d.hi)
+            reach = F.max(d.hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
+            marked = df.withColumn("_new", F.when(reach >= _col(d.lo), 0).otherwise(1))
+            return marked.withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+        dealt = df.withColumn("_part", _part_of(d, d.lo, cuts))
+        inside = Window.partitionBy(*same, "_part").orderBy(d.lo, d.hi)
+        with_top = _carried(dealt, same, F.max(d.hi), F.max, "_top")
+        reach = F.greatest(F.max(d.hi).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_top"))
+        marked = with_top.withColumn("_new", F.when(reach >= _col(d.lo), 0).otherwise(1))
+        numbered = marked.withColumn(name, F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        both = _carried(numbered, same, F.sum("_new"), F.sum, "_before")
+        return both.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_top", "_new", "_before")
+
     compress_all = coalesce
 
     def compress(self, value) -> IntervalFrame:
@@ -276,23 +302,15 @@ class IntervalFrame:
         return self._split(self.df).groupBy(*self.keys, *self.bounds).count().filter("count > 1").isEmpty()
 
     # --- joins ---
-    def _joined(self, that: IntervalFrame, how: str = "inner", bins: int | None = None) -> DataFrame:
-        """Overlap join: equal keys, overlapping boxes; that's columns are prefixed by `_r_`. Without keys, rows meet in bins of the first dimension, each pair in its first common bin only."""
+    def _joined(self, that: IntervalFrame, how: str = "inner", test: Callable[[Box, Box], Column] = intersects) -> DataFrame:
+        """Overlap join (or another test that implies meeting ends): equal keys, boxes that pass; that's columns are prefixed by `_r_`. Without keys, rows meet in bins of the first dimension."""
         right = that.df.select(*[_col(c).alias(f"_r_{c}") for c in that.columns])
-        on = [_col(k).eqNullSafe(_col(f"_r_{k}")) for k in self.keys] + [intersects(self.box(), self.box("_r_"))]
+        on = [_col(k).eqNullSafe(_col(f"_r_{k}")) for k in self.keys] + [test(self.box(), self.box("_r_"))]
         left = self.df
-        if not self.keys and how == "inner":
-            d = self.dims[0]
-            both = left.select(d.lo, d.hi).union(that.df.select(d.lo, d.hi))
-            number = lambda c: d.minus(F.when(d.is_first(c), F.lit(None)).when(d.is_last(c), F.lit(None)).otherwise(c), d.column(d.start(_origin(d))))
-            r = both.select(number(_col(d.lo)).alias("a"), number(_col(d.hi)).alias("b")).agg(F.min(F.least("a", "b")).alias("a"), F.max(F.greatest("a", "b")).alias("b"), F.percentile_approx(F.col("b") - F.col("a"), 0.9).alias("w"), F.count("*").alias("n")).first()
-            if r["a"] is not None and r["b"] is not None and float(r["b"]) > float(r["a"]):
-                low, span = float(r["a"]), float(r["b"]) - float(r["a"])
-                n = max(1, min(bins or 4096, int(span / max(float(r["w"] or 0), span / max(1, r["n"])))))
-                at = lambda c, other: F.least(F.greatest(F.floor((F.coalesce(number(c).cast("double"), F.lit(other)) - low) / (span / n)), F.lit(0)), F.lit(n - 1)).cast("int")
-                left = left.withColumn("_b0", at(_col(d.lo), low)).withColumn("_bin", F.explode(F.sequence("_b0", at(_col(d.hi), low + span))))
-                right = right.withColumn("_rb0", at(_col(f"_r_{d.lo}"), low)).withColumn("_rbin", F.explode(F.sequence("_rb0", at(_col(f"_r_{d.hi}"), low + span))))
-                on += [F.col("_bin") == F.col("_rbin"), F.col("_bin") == F.greatest("_b0", "_rb0")]
+        d = self.dims[0]
+        if not self.keys and how == "inner" and (bins := _bins(d, (left, d.lo, d.hi), (that.df, d.lo, d.hi))) is not None:
+            left, right, meet = _binned(left, (d.lo, d.hi), right, (f"_r_{d.lo}", f"_r_{d.hi}"), d, bins)
+            on += meet
         return left.join(right, reduce(lambda a, b: a & b, on), how)
 
     def zip(self, that: IntervalFrame, *, suffix: str = "_2") -> IntervalFrame:
@@ -566,6 +584,15 @@ class IntervalFrame:
         rows = self._with(df).carrying(df)
         return rows._with(rows.df.limit(0)).set_many(rows, order=F.struct(*[f"_o{k}" for k in range(len(self.dims))]))
 
+    def reflected_in(self, name: str, pivot) -> IntervalFrame:
+        """Reflected along one dimension."""
+        return self._moved(lambda s: reflected(s, pivot) if s.dim.name == name else s)
+
+    def scaled_in(self, name: str, center, by: float) -> IntervalFrame:
+        """Scaled along one dimension."""
+        origin = lambda d: center if d.name == name else _origin(d)
+        return self.scaled(tuple(origin(d) for d in self.dims), tuple(by if d.name == name else 1 for d in self.dims))
+
     def measured(self, name: str = "measure") -> DataFrame:
         """Rows with the measure of their box (null if unbounded)."""
         from ..functions.cuts import measure
@@ -694,9 +721,7 @@ class Shape(IntervalFrame):
         return self._touching(that, touches) or self.intersects_shape(that)
 
     def _touching(self, that: IntervalFrame, test) -> bool:
-        right = that.df.select(*[_col(c).alias(f"_r_{c}") for c in self.columns])
-        on = [_col(k).eqNullSafe(_col(f"_r_{k}")) for k in self.keys] + [test(self.box(), self.box("_r_"))]
-        return not self.df.join(right, reduce(lambda a, b: a & b, on)).isEmpty()
+        return not self._joined(that, test=test).isEmpty()
 
     def relation_with(self, that: Shape) -> str:
         """RCC-8 between two regions: counts of cells in neither, either and both decide, and whether edges meet."""
@@ -713,35 +738,43 @@ class Shape(IntervalFrame):
         inner, outer, names = (self, that, ("TPP", "NTPP")) if b else (that, self, ("TPPi", "NTPPi"))
         return names[0] if inner.touches_shape(outer.complement()) else names[1]
 
-    def components(self, *, rounds: int = 50) -> DataFrame:
-        """Rows with `component`, the least row number reachable through rows that touch: labels spread along touching pairs until none changes, each round a checkpoint or staged table."""
+    def components(self) -> DataFrame:
+        """Rows with `component`, a number for each connected part of a key. In one dimension islands are the parts: windows alone. In several, labels spread along touching pairs and jump to the labels of their labels, so rounds grow with the logarithm of a chain's length; each round is a table in the shared folder."""
         from ..sources.staging import stage
 
-        w = Window.partitionBy(*self.keys) if self.keys else Window.partitionBy(F.lit(0))
-        rows = stage(self.df.withColumn("component", F.row_number().over(w.orderBy(*self.bounds)).cast("bigint")), "regions")
-        left = rows.select(*[_col(c).alias(f"_l_{c}") for c in self.columns], F.col("component").alias("i"))
-        right = rows.select(*[_col(c).alias(f"_r_{c}") for c in self.columns], F.col("component").alias("j"))
-        on = [_col(f"_l_{k}").eqNullSafe(_col(f"_r_{k}")) for k in self.keys] + [touches(self.box("_l_"), self.box("_r_"))]
-        keys = [_col(f"_l_{k}").alias(k) for k in self.keys]
-        pairs = stage(left.join(right, reduce(lambda a, b: a & b, on)).select(*keys, "i", "j"), "touching")
-        labels = rows.select(*self.keys, F.col("component").alias("i"), F.col("component").alias("c"))
-        for _ in range(rounds):
-            seen = labels.select(*self.keys, F.col("i").alias("j"), F.col("c").alias("d"))
-            near = pairs.join(seen, [*self.keys, "j"]).groupBy(*self.keys, "i").agg(F.min("d").alias("d"))
-            new = stage(labels.join(near, [*self.keys, "i"], "left").select(*self.keys, "i", "c", F.least("c", F.coalesce("d", "c")).alias("n")), "labels")
-            labels = new.select(*self.keys, "i", F.col("n").alias("c"))
+        if len(self.dims) == 1:
+            return self._islands(self.df, self.dims[0], list(self.keys), name="component")
+        number = F.xxhash64(*self.keys, *self.bounds)  # rows of a key are different boxes
+        rows = stage(self.df.dropDuplicates().withColumn("component", number), "regions")
+        met = Shape(rows, self.dims, (), self.keys)._joined(Shape(rows, self.dims, (), self.keys), test=connected)
+        pairs = stage(met.select(F.xxhash64(*self.keys, *self.bounds).alias("a"), F.xxhash64(*[_col(f"_r_{c}") for c in self.columns]).alias("b")).filter("a <> b"), "touching")
+        labels = stage(rows.select(F.col("component").alias("i"), F.col("component").alias("c")), "labels")
+        while True:
+            near = pairs.join(labels, pairs.b == labels.i).groupBy("a").agg(F.min("c").alias("n"))
+            least = labels.join(near, labels.i == near.a, "left").select("i", "c", F.least("c", F.coalesce("n", "c")).alias("n"))
+            hop = labels.select(F.col("i").alias("_i"), F.col("c").alias("_c"))
+            # the label's own label, and what its neighbours lent it
+            lent = least.groupBy(F.col("c").alias("_l")).agg(F.min("n").alias("_m"))
+            new = least.join(hop, F.col("n") == F.col("_i")).join(lent, F.col("i") == F.col("_l"), "left").select("i", "c", F.least("n", "_c", F.coalesce("_m", "n")).alias("n"))
+            new = stage(new, "labels")
+            labels = new.select("i", F.col("n").alias("c"))
             if new.filter("n <> c").isEmpty():
                 break
-        else:
-            raise RuntimeError("regions didn't settle; give more rounds")
-        return rows.join(labels.withColumnRenamed("i", "component"), [*self.keys, "component"]).select(*self.columns, F.col("c").alias("component"))
+        return rows.join(labels, F.col("component") == F.col("i")).select(*self.columns, F.col("c").alias("component"))
 
-    def contiguous_subshapes(self) -> list[Shape]:
-        """Connected parts, for regions without keys."""
-        from ..sources.staging import stage
+    def contiguous_subshapes(self) -> Shape:
+        """The connected parts as one table of regions: `component` is a further key."""
+        return Shape(self.components(), self.dims, (), (*self.keys, "component"))
+
+    def flat_map(self, rows: Column) -> Shape:
+        """Each box becomes the structs of an array (bounds by name), perhaps overlapping."""
+        df = self.df.select(*self.keys, F.explode(rows).alias("_r")).select(*self.keys, *[F.col("_r")[n].alias(n) for n in self.bounds])
+        return Shape(df, self.dims, (), self.keys).recompress_all()
 
-        rows = stage(self.components(), "components")
-        return [Shape(rows.filter(F.col("component") == r[0]), self.dims) for r in rows.select("component").distinct().orderBy("component").collect()]
+    def collect(self, defined: Column, dims: dict[Dim, tuple[Column, Column]] | None = None) -> Shape:
+        """Boxes where the test holds, perhaps with new cuts."""
+        out = Shape(self.df.filter(defined), self.dims, (), self.keys)
+        return (out.map_intervals(dims, coalesce=False) if dims else out).recompress_all()
 
     def is_contiguous(self) -> bool:
         return self.components().select("component").distinct().count() == 1
@@ -888,6 +921,87 @@ def timeline(df: DataFrame, dim: Dim, start: Column, value: Column, keys: Iterab
     return IntervalFrame(out, (dim,), (name,), keys).coalesce()
 
 
+#: Rows of a keyless table that one task may work on.
+ONE_TASK = 20_000
+
+
+def _number(d: Dim, c: Column) -> Column:
+    """A cut as a number, null if unbounded."""
+    bounded = F.when(d.is_first(c) | d.is_last(c), F.lit(None)).otherwise(c)
+    return d.minus(bounded, d.column(d.start(_origin(d)))).cast("double")
+
+
+def _quantiles(df: DataFrame, d: Dim, cut: str) -> list[float] | None:
+    """Numbers that deal a keyless table's cuts into as many ranges as a shuffle has partitions; None for a table so small that one task does."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n == 1:
+        return None
+    r = df.select(_number(d, _col(cut)).alias("x")).agg(F.count("x").alias("n"), F.percentile_approx("x", [k / n for k in range(1, n)], 100 * n).alias("q")).first()
+    return sorted(set(r["q"])) if r["n"] > ONE_TASK else None
+
+
+def _part_of(d: Dim, cut: str, cuts: list[float]) -> Column:
+    """The number of the range that a cut falls into, in order; unbounded ones come first and last."""
+    x = _number(d, _col(cut))
+    return F.when(d.is_first(_col(cut)), F.lit(0)).when(x.isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= x)))
+
+
+def _carried(dealt: DataFrame, same: list[str], each: Column, total: Callable[[Column], Column], name: str) -> DataFrame:
+    """dealt with what an aggregate of all earlier ranges (`_part`) of equal `same` comes to: one row a range is gathered."""
+    by = [*same, "_part"]
+    sums = dealt.groupBy(*by).agg(each.alias(name)).select(*[_col(c).alias(f"_c_{c}") for c in by], name)
+    order = Window.partitionBy(*[f"_c_{c}" for c in same], *([] if same else [F.lit(0)])).orderBy("_c__part")
+    before = sums.withColumn(name, total(F.col(name)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return dealt.join(before, reduce(lambda a, b: a & b, [_col(c).eqNullSafe(_col(f"_c_{c}")) for c in by]), "left").drop(*[f"_c_{c}" for c in by])
+
+
+def _segments(ends: DataFrame, d: Dim) -> DataFrame:
+    """(_from, _to) between neighbouring cuts of a keyless table."""
+    cuts = _quantiles(ends, d, "_from")
+    if cuts is None:
+        return ends.withColumn("_to", F.lead("_from").over(Window.partitionBy(F.lit(0)).orderBy("_from"))).filter("_to is not null")
+    dealt = ends.withColumn("_part", _part_of(d, "_from", cuts))
+    own = dealt.withColumn("_to", F.lead("_from").over(Window.partitionBy("_part").orderBy("_from")))
+    firsts = dealt.groupBy("_part").agg(F.min("_from").alias("_first"))  # one row a range
+    after = firsts.select(F.col("_part").alias("_p"), F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy("_part")).alias("_next"))
+    return own.join(after, F.col("_part") == F.col("_p"), "left").select("_from", F.coalesce("_to", "_next").alias("_to")).filter("_to is not null")
+
+
+def _bins(d: Dim, *tables: tuple[DataFrame, str, str]) -> tuple[float, float, int] | None:
+    """Where bins of a dimension begin, the width of the narrowest and the number of levels, each four times as wide; None if nothing is bounded."""
+    both = reduce(DataFrame.union, [t.select(_number(d, _col(lo)).alias("a"), _number(d, _col(hi)).alias("b")) for t, lo, hi in tables])
+    r = both.agg(F.min(F.least("a", "b")).alias("a"), F.max(F.greatest("a", "b")).alias("b"), F.percentile_approx(F.col("b") - F.col("a"), 0.5).alias("w"), F.count("*").alias("n")).first()
+    if r["a"] is None or r["b"] <= r["a"]:
+        return None
+    span = r["b"] - r["a"]
+    width = max(r["w"] or 0, span / max(1, r["n"]), span / (1 << 24))
+    return r["a"], width, max(1, math.ceil(math.log(span / width, 4)) + 1)
+
+
+def _binned(left: DataFrame, a: tuple[str, str], right: DataFrame, b: tuple[str, str], d: Dim, bins: tuple[float, float, int]) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """Both tables in bins as wide as the wider of two rows, and the equalities to join them by: a row is at home on the level whose bins are as wide as it is, and a guest on the wider levels where rows of the other table are at home. Each pair meets once, in its first common bin."""
+    low, width, levels = bins
+
+    def level(lo: str, hi: str) -> Column:
+        x, y = _number(d, _col(lo)), _number(d, _col(hi))
+        fit = F.ceil(F.log(4.0, F.greatest(y - x, F.lit(width)) / width)).cast("int")
+        return F.when(x.isNull() | y.isNull(), F.lit(levels)).otherwise(F.least(F.lit(levels), F.greatest(F.lit(0), fit)))
+
+    rows = [left.withColumn("_l_level", level(*a)), right.withColumn("_s_level", level(*b))]
+    homes = [[r[0] for r in t.select(n).distinct().collect()] for t, n in zip(rows, ("_l_level", "_s_level"), strict=True)]  # a number a level
+
+    def placed(t: DataFrame, n: str, lo: str, hi: str, home: int, guest: int, others: list[int], least: int) -> DataFrame:
+        at = lambda x, k: F.when(k == levels, F.lit(0)).otherwise(F.floor(F.coalesce(_number(d, _col(x)) - low, F.lit(0.0)) / (F.lit(width) * F.pow(F.lit(4.0), k)))).cast("bigint")
+        visits = F.filter(F.lit(others or [-1]).cast("array<int>"), lambda k: k >= F.col(f"{n}_level") + least)
+        stays = F.concat(F.array(F.struct(F.lit(home).alias("role"), F.col(f"{n}_level").alias("at"))), F.transform(visits, lambda k: F.struct(F.lit(guest).alias("role"), k.alias("at"))))
+        out = t.withColumn(f"{n}_stay", F.explode(stays)).withColumn(f"{n}_first", at(lo, F.col(f"{n}_stay.at")))
+        return out.withColumn(f"{n}_bin", F.explode(F.sequence(F.col(f"{n}_first"), at(hi, F.col(f"{n}_stay.at")))))
+
+    x = placed(rows[0], "_l", *a, 1, 2, homes[1], 1)
+    y = placed(rows[1], "_s", *b, 2, 1, homes[0], 0)
+    return x, y, [F.col("_l_bin") == F.col("_s_bin"), F.col("_l_stay") == F.col("_s_stay"), F.col("_l_bin") == F.greatest("_l_first", "_s_first")]
+
+
 def _short(df: DataFrame, most: int = 8) -> DataFrame:
     """df, staged if its plan reads more than `most` tables: a split uses its input once for each dimension and once more, so plans of chained writes would grow by powers."""
     from ..sources.staging import stage

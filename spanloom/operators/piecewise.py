@@ -67,6 +67,90 @@ class FunctionFrame:
         """g after each piece; pieces keep their identity."""
         return self._new(self.frame, {k: (lambda *x, f=f: g(f(*x))) for k, f in self.pieces.items()})
 
+    # --- rows of pieces ---
+    def piece_of(self, f: Piece) -> int | None:
+        """The number of a piece, None if it isn't one."""
+        return next((k for k, g in self.pieces.items() if g is f), None)
+
+    def filter(self, test: Column) -> FunctionFrame:
+        """Rows by a test of their bounds and piece numbers."""
+        return self._new(self.frame.filter(test))
+
+    def collect(self, change: Callable[[Piece], Piece | None]) -> FunctionFrame:
+        """Other pieces for those that change gives one for; rows of the others go."""
+        new = {k: g for k, f in self.pieces.items() if (g := change(f)) is not None}
+        return self._new(self.frame.filter(F.col("piece").isin(list(new))), new)
+
+    def map_intervals(self, dims: dict[Dim, tuple[Column, Column]]) -> FunctionFrame:
+        return self._new(self.frame.map_intervals(dims))
+
+    def map(self, dims: dict[Dim, tuple[Column, Column]], g: Callable[[Column], Column]) -> FunctionFrame:
+        return self.map_values(g).map_intervals(dims)
+
+    def replace(self, old_start: tuple, box: Box | Span, f: Piece) -> FunctionFrame:
+        """Deletes the row that starts there, then sets another."""
+        return self.remove_by_key(*old_start).set(box, f)
+
+    def remove_by_key(self, *start) -> FunctionFrame:
+        return self._new(self.frame.remove_by_key(*start))
+
+    def remove_many(self, boxes: IntervalFrame) -> FunctionFrame:
+        return self._new(self.frame.remove_many(boxes))
+
+    def remove_piece(self, f: Piece) -> FunctionFrame:
+        return self._new(self.frame.remove_value(self.piece_of(f)))
+
+    def set_many(self, rows: list[tuple[Box | Span, Piece]]) -> FunctionFrame:
+        return reduce(lambda a, r: a.set(*r), rows, self)
+
+    def set_if_no_conflict(self, box: Box | Span, f: Piece) -> FunctionFrame | None:
+        return None if self.frame.intersects_box(box) else self.set(box, f)
+
+    def difference(self, that: IntervalFrame | FunctionFrame) -> FunctionFrame:
+        return self._new(self.frame.difference(that.frame if isinstance(that, FunctionFrame) else that))
+
+    def clip(self, box: Box | Span) -> FunctionFrame:
+        return self._new(self.frame.clip(box))
+
+    def symmetric_difference(self, that: FunctionFrame) -> FunctionFrame:
+        """Where exactly one of both is defined, that one."""
+        return self.difference(that).merge(that.difference(self), lambda a, b: a)
+
+    def compress_all(self) -> FunctionFrame:
+        return self._new(self.frame.coalesce())
+
+    def recompress_all(self, *grid: IntervalFrame) -> FunctionFrame:
+        return self._new(self.frame.recompress_all(*grid))
+
+    def diff_actions_from(self, old: FunctionFrame) -> DataFrame:
+        """Differences by start; pieces are compared by number, so both must come from one frame of pieces."""
+        return self.frame.diff_actions_from(old.frame)
+
+    # --- look-ups, those of the frame of pieces ---
+    def get_all(self) -> DataFrame:
+        return self.frame.get_all()
+
+    def get_intersecting(self, box: Box | Span) -> FunctionFrame:
+        return self._new(self.frame.get_intersecting(box))
+
+    def is_defined_at(self, *point) -> bool:
+        return self.frame.is_defined_at(*point)
+
+    def intersects_box(self, box: Box | Span) -> bool:
+        return self.frame.intersects_box(box)
+
+    def domain(self):
+        return self.frame.domain()
+
+    def bounding_interval(self) -> DataFrame:
+        return self.frame.bounding_interval()
+
+    def is_empty(self) -> bool:
+        return self.frame.is_empty()
+
+    def size(self) -> int:
+        return self.frame.size()
+
     def fuse(self, that: FunctionFrame, op: Callable[[Column, Column], Column], frame: IntervalFrame) -> FunctionFrame:
         """Pieces of pairs of numbers (piece, piece_2) combined by op."""
         width = max(that.pieces, default=0) + 1

@@ -129,12 +129,11 @@ class Versioned:
         return f.drop_dimension(VERSION.name)
 
     def approve_all(self, box: Box | Span) -> Versioned:
-        """Makes all unapproved rows that meet a box current, then what is removed but not yet approved so."""
+        """Makes all unapproved rows that meet a box current; what is removed but not yet approved so goes too, inside the box only."""
         rows = self._waiting().get_intersecting(box)
         out = self.set_many(rows)
-        gone = self.frame.filter(F.col(VERSION.hi) == UNAPPROVED).drop_dimension(VERSION.name).get_intersecting(box)
-        still = out.selected(UNAPPROVED)
-        removed = gone.difference(still)
+        gone = out.frame.filter(F.col(VERSION.hi) == UNAPPROVED).drop_dimension(VERSION.name).clip(box)
+        removed = gone.difference(out.selected(UNAPPROVED))
         whole = removed.extrude(0, interval(VERSION, self.current, TOP))
         return out._do(out.frame.difference(whole))
 
@@ -163,6 +162,45 @@ class Versioned:
     def slice_at(self, name: str, point) -> Versioned:
         return self._do(self.frame.slice_at(name, point))
 
+    # --- row by row, over all versions ---
+    def filter(self, test: Column) -> Versioned:
+        return self._do(self.frame.filter(test))
+
+    def map_values(self, **exprs: Column) -> Versioned:
+        return self._do(self.frame.map_values(**exprs))
+
+    def map_intervals(self, dims: dict[Dim, tuple[Column, Column]]) -> Versioned:
+        """New cuts of the data's dimensions; versions stay."""
+        return self._do(self.frame.map_intervals(self._kept(dims)))
+
+    def map(self, dims: dict[Dim, tuple[Column, Column]], **exprs: Column) -> Versioned:
+        return self._do(self.frame.map(self._kept(dims), **exprs))
+
+    def _kept(self, dims: dict[Dim, tuple[Column, Column]]) -> dict[Dim, tuple[Column, Column]]:
+        return {VERSION: (F.col(VERSION.lo), F.col(VERSION.hi)), **dims}
+
+    def collect(self, defined: Column, **exprs: Column) -> Versioned:
+        return self._do(self.frame.collect(defined, **exprs))
+
+    def flat_map(self, rows: Column) -> Versioned:
+        """Each row becomes the structs of an array (bounds, with those of the version, and values by name)."""
+        return self._do(self.frame.flat_map(rows))
+
+    def compress(self, value) -> Versioned:
+        return self._do(self.frame.compress(value))
+
+    def compress_all(self) -> Versioned:
+        return self._do(self.frame.coalesce())
+
+    def recompress_all(self, *grid: IntervalFrame) -> Versioned:
+        return self._do(self.frame.recompress_all(*grid))
+
+    def apply_diff_actions(self, actions: DataFrame) -> Versioned:
+        return self._do(self.frame.apply_diff_actions(actions))
+
+    def sync_with(self, that: Versioned) -> Versioned:
+        return self._do(self.frame.sync_with(that.frame))
+
 
 @dataclass(frozen=True)
 class Variable:

@@ -98,6 +98,44 @@ def actions_json(actions: DataFrame, frame: IntervalFrame) -> DataFrame:
     return actions.select(*frame.keys, text.alias("json"))
 
 
+def actions_from_json(rows: DataFrame, dims: list[Dim], value_type: str = "string", *, json_col: str = "json", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Difference actions from their JSON texts, as IntervalFrame.apply_diff_actions takes them."""
+    parsed = rows.withColumns({"_row": F.get_json_object(json_col, "$.validData"), "_key": F.from_json(F.get_json_object(json_col, "$.key"), "array<string>"), "_action": F.get_json_object(json_col, "$.action")})
+    whole = from_json(parsed.withColumnRenamed(json_col, "_text"), dims, value_type, json_col="_row", keys=("_action", "_key", *keys)).df
+    starts = [F.coalesce(d.lo, _cut(d, F.get(F.col("_key"), k), False)).alias(d.lo) for k, d in enumerate(dims)]
+    return whole.select(F.col("_action").alias("action"), *keys, *[c for d, a in zip(dims, starts, strict=True) for c in (a, F.col(d.hi))], "value")
+
+
+def multi_json(multi) -> DataFrame:
+    """A frame of sets: values are JSON arrays."""
+    return to_json(multi)
+
+
+def multi_from_json(rows: DataFrame, dims: list[Dim], element_type: str = "string", **how):
+    from ..operators.frame import Multi
+
+    return from_json(rows, dims, f"array<{element_type}>", **how).as_kind(Multi)
+
+
+def monoid_from_json(rows: DataFrame, dims: list[Dim], value_type: str, *, aggregate=F.sum, identity: Any = 0, **how):
+    """A monoid's rows; its aggregate and identity are no data and are given."""
+    from ..operators.frame import Monoid
+
+    f = from_json(rows, dims, value_type, **how)
+    return Monoid(f.df, f.dims, f.values, f.keys, aggregate=aggregate, identity=identity)
+
+
+def variable_json(variable) -> DataFrame:
+    """A variable's history as one JSON array."""
+    return whole_json(variable.frame)
+
+
+def variable_from_json(rows: DataFrame, value_type: str = "string"):
+    from ..operators.versioned import Variable
+
+    return Variable.from_history(from_whole_json(rows, [Variable.TIME], value_type))
+
+
 def versioned_json(versioned) -> DataFrame:
     """A versioned frame as one JSON object: initialVersion, currentVersion, versionTimestamps, data."""
     head = json.dumps({"initialVersion": versioned.initial, "currentVersion": versioned.current, "versionTimestamps": {str(v): [str(t), c] for v, t, c in versioned.log}})[:-1]
@@ -137,17 +175,25 @@ class Step:
 
     @classmethod
     def parse(cls, text: str) -> list[Step]:
-        """`name`, `name[2]`, `name[1:4]`, `[:]`; ~1 is a slash and ~0 a tilde within names."""
-        m = re.fullmatch(r"([^\[\]]*)((?:\[\d*(?::\d*)?\])*)", text)
+        """`name`, `name[2]`, `name[1:4]`, `[:]`, `[*]`, a bare index `2`; ~1 is a slash and ~0 a tilde within names."""
+        m = re.fullmatch(r"([^\[\]]*)((?:\[(?:\d*(?::\d*)?|\*)\])*)", text)
         if not m:
             raise ValueError(f"no path component: {text}")
+        if text.isdecimal():
+            return [cls(None, int(text), int(text) + 1)]
         out = [cls(m[1].replace("~1", "/").replace("~0", "~"))] if m[1] else []
         for part in re.findall(r"\[([^\]]*)\]", m[2]):
-            a, colon, b = part.partition(":")
+            a, colon, b = (":" if part == "*" else part).partition(":")
             out.append(cls(None, int(a or 0), (int(b) if b else None) if colon else int(a) + 1))
         return out
 
-    def matches(self, at: str | int) -> bool:
+    def matches(self, at: str | int | Step) -> bool:
+        """A key, an index, or another step: equal keys, or slices with an index in common."""
+        if isinstance(at, Step):
+            if self.key is not None or at.key is not None:
+                return self.key == at.key
+            ends = [e for e in (self.end, at.end) if e is not None]
+            return not ends or max(self.begin, at.begin) < min(ends)
         if isinstance(at, str):
             return self.key == at
         return self.key is None and self.begin <= at and (self.end is None or at < self.end)
@@ -157,7 +203,19 @@ def parse_path(text: str) -> list[Step]:
     return [s for part in text.split("/") if part for s in Step.parse(part)]
 
 
-def compare(path: list[Step], at: list[str | int]) -> str:
+def path_text(path: list[Step]) -> str:
+    """The path as it is parsed."""
+    def one(s: Step) -> str:
+        if s.key is not None:
+            return s.key.replace("~", "~0").replace("/", "~1")
+        if s.begin == 0 and s.end is None:
+            return "[*]"
+        return f"[{s.begin}]" if s.end == s.begin + 1 else f"[{s.begin}:{'' if s.end is None else s.end}]"
+
+    return "/".join(map(one, path))
+
+
+def compare(path: list[Step], at: list[str | int | Step]) -> str:
     """Whether a place is on the way to the path ("prefix"), at it or inside ("match"), or elsewhere ("otherwise")."""
     if not all(s.matches(x) for s, x in zip(path, at, strict=False)):
         return "otherwise"
