@@ -7,7 +7,7 @@ the first n - ceil(s n) + 1 members of each, in any order common to all, share o
 each of these, and only rows that share a shingle go on. The order puts shingles that are frequent in a sample last: it
 changes the cost, not the pairs. Pairs whose components differ are verified. A pair is passed over only by bounds that hold
 for it: the sizes; the places of the first shared member in both orders, as no more than what follows can be common; and a
-parity of the members in each of 1,024 classes or four a member, as sets differ by at least as many members as parities. The rest is
+parity of the members in each of 1,024 classes or four a member (coarser ones in the buckets), as sets differ by at least as many members as parities. The rest is
 verified against the whole sets.
 
 Cases: null and wordless texts are one node, which is like no other. Texts of fewer words than a shingle are one shingle.
@@ -94,12 +94,46 @@ def _in_filter(doc_id: Column, words: list[int]) -> Column:
     return F.call_function("getbit", F.get(table, F.shiftright(h, 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
 
 
-def _cross(group, key, n, pos, label, num: int, den: int):
-    """Pairs of a group (rows sorted by group and n) with different labels whose sizes allow the similarity."""
+def sketch(bits: list[list[int]], n: int) -> list[int]:
+    """The parities of the fewest classes, 256 at least, that are as many as members."""
+    size = 256
+    while size < n:
+        size *= 2
+    out = np.array(bits[max(0, (size // 1024).bit_length() - 1)], np.int64)
+    while len(out) > size // 64:
+        out = _half(out)
+    return out.tolist()
+
+
+def _half(words: np.ndarray) -> np.ndarray:
+    """Parities of half as many classes."""
+    w = words.shape[-1] // 2
+    return words[..., :w] ^ words[..., w:]
+
+
+def _differ(a: np.ndarray, b: np.ndarray, words: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """In how many classes the parities of rows a[i] and b[i] differ; the finer sketch of two is halved until it is as coarse as the other. words: all rows' sketches on end."""
+    out = np.zeros(len(a), np.int64)
+    for pair in np.unique(size[a].astype(np.int64) << 32 | size[b]).tolist():
+        x, y = pair >> 32, pair & 0xFFFFFFFF
+        at = np.flatnonzero((size[a] == x) & (size[b] == y))
+        for part in np.array_split(at, len(at) * (x + y) // (1 << 20) + 1):
+            left, right = (words[first[r[part]][:, None] + np.arange(w)] for r, w in ((a, x), (b, y)))
+            while left.shape[1] > right.shape[1]:
+                left = _half(left)
+            while right.shape[1] > left.shape[1]:
+                right = _half(right)
+            out[part] = np.bitwise_count((left ^ right).view(np.uint64)).sum(1)
+    return out
+
+
+def _cross(group, key, n, pos, label, words, size, num: int, den: int):
+    """Pairs of a group (rows sorted by group and n) with different labels whose sizes and sketches allow the similarity."""
     end = np.searchsorted(group, group, "right")
+    first = np.cumsum(size) - size
     at, lag = np.arange(len(group)), 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+    waiting = 0
     while len(at):
         lag += 1
         at = at[at + lag < end[at]]
@@ -107,13 +141,15 @@ def _cross(group, key, n, pos, label, num: int, den: int):
         a = at[label[at] != label[at + lag]]
         b = a + lag
         a = a[np.minimum(n[a] - pos[a], n[b] - pos[b]) * (num + den) >= (n[a] + n[b]) * num]
+        if len(a):
+            a = a[_differ(a, a + lag, words, first, size) * (num + den) <= (n[a] + n[a + lag]) * (den - num)]
         if len(a):
             held.append((np.maximum(key[a], key[a + lag]), np.minimum(key[a], key[a + lag])))
-            size += len(a)
-        if held and (size > 100_000 or not len(at)):
+            waiting += len(a)
+        if held and (waiting > 100_000 or not len(at)):
             x, y = np.unique(np.concatenate([np.stack(p, 1) for p in held]), axis=0).T  # a pair shares many shingles
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], names=["a", "b"])
-            held, size = [], 0
+            held, waiting = [], 0
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5), distance: int = 4) -> DataFrame:
@@ -131,16 +167,17 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 for x in part.column(2).to_pylist():
                     hashes = shingle_hashes(x, width)
                     s = np.unique(hashes.view(np.int64))
-                    rows.append((xxh64_intdigest(s.tobytes()), majority(hashes), len(s), prefix(s, frequent, rank, num, den), parities(s)))
-                keys, fps, sizes, heads, bits = zip(*rows, strict=True)
+                    bits = parities(s)
+                    rows.append((xxh64_intdigest(s.tobytes()), majority(hashes), len(s), prefix(s, frequent, rank, num, den), bits, sketch(bits, len(s))))
+                keys, fps, sizes, heads, bits, rough = zip(*rows, strict=True)
                 numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
-                lists = [pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, pa.array(sizes, pa.int64()), *lists], names=["doc_id", "text_key", "key", "fp", "n", "head", "bits"])
+                lists = [pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.list_(pa.int64()))), pa.array(rough, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *numbers, pa.array(sizes, pa.int64()), *lists], names=["doc_id", "text_key", "key", "fp", "n", "head", "bits", "sketch"])
 
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, long) for c in ("text_key", "key", "fp", "n")], T.StructField("head", longs), T.StructField("bits", T.ArrayType(longs))]
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, long) for c in ("text_key", "key", "fp", "n")], T.StructField("head", longs), T.StructField("bits", T.ArrayType(longs)), T.StructField("sketch", longs)]
     marked = stage(docs.mapInArrow(index, T.StructType(fields)), "shingled")
-    nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "head", "bits")]), "shingle-sets")
+    nodes = stage(marked.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "head", "bits", "sketch")]), "shingle-sets")
     by = Window.partitionBy("s").orderBy("n", "key")
     rows = nodes.select(F.posexplode("head").alias("pos", "s"), "key", "n").withColumns({"prev": F.lag("key").over(by), "next": F.lead("key").over(by)})
     shared = stage(rows.filter("prev is not null or next is not null"), "shared-shingles")
@@ -180,19 +217,25 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     roots = stage(components(edges), "near-roots")
 
     def cross(batches):
+        release()
         held = None
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
+            *cols, lists = batch.columns
+            cols = [c.to_numpy() for c in cols]
+            cols += [lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on in the next batch
-            held = [c[last:].copy() for c in cols]
+            word = int(cols[6][:last].sum())
+            cuts = [last] * 5 + [word, last]
+            held = [c[k:].copy() for c, k in zip(cols, cuts, strict=True)]
             if last:
-                yield from _cross(*(c[:last] for c in cols), num, den)
+                yield from _cross(*(c[:k] for c, k in zip(cols, cuts, strict=True)), num, den)
         if held is not None:
             yield from _cross(*held, num, den)
 
-    labelled = shared.join(roots, shared.key == roots.node, "left").select("s", "key", "n", "pos", F.coalesce("root", "key").alias("label"))
+    marks = nodes.join(roots, nodes.key == roots.node, "left").select(F.col("key").alias("k"), F.coalesce("root", "key").alias("label"), "sketch")
+    labelled = shared.join(marks.hint("merge"), shared.key == F.col("k")).select("s", "key", "n", "pos", "label", "sketch")
     dealt = labelled.repartition(partitions(spark), "s").sortWithinPartitions("s", "n", "key")
     edges = edges.union(verified(dealt.mapInArrow(cross, "a long, b long"), "near-pairs"))
     roots = stage(components(edges), "near-roots")
