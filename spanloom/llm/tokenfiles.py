@@ -194,7 +194,8 @@ def with_starts(rows: DataFrame) -> DataFrame:
     """Adds start: ids of all documents before. Sums are taken within files; across files one row a file is summed up."""
     tokens = stage(rows, "token-rows")
     files = tokens.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
-    across = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("int"), "file")  # the writer numbers the ranges.rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")  # the writer numbers the ranges
+    across = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     local = tokens.withColumn("_start", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
