@@ -19,6 +19,8 @@ kept as they are by accept().
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -369,21 +371,26 @@ def train(labelled: DataFrame, *, rows: int = 4000, rounds: int = 3, longest: in
         return Model([], None, np.zeros((0, 0)))
     trie = Trie(vocabulary(tokenizer_path(tokenizer)))
     sample = _sample(labelled, have, max(1, rows // len(languages)))
-    counts: dict[bytes, np.ndarray] = {}
     place = {x: k for k, x in enumerate(languages)}
     words = sample.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    number: dict[bytes, int] = {}
+    at, which, much = array("q"), array("q"), array("d")  # word, language and count: numbers on end, as there are many words
     for lang, word, n in words.toLocalIterator():  # distinct words of the sample
         for part in [bytes(word)] if len(word) <= WORD else stretches(bytes(word), trie):
             if len(part) <= longest:
-                counts.setdefault(part, np.zeros(len(languages)))[place[lang]] += n
+                at.append(number.setdefault(part, len(number)))
+                which.append(place[lang])
+                much.append(n)
+    counts = np.zeros((len(number), len(languages)))
+    np.add.at(counts, (np.array(at, np.int64), np.array(which, np.int64)), np.array(much, float))
     start = 0.02 ** trie.sizes.astype(float)  # long pieces begin as unlikely as random bytes
     probs = np.repeat((start / start.sum())[:, None], len(languages), 1)
-    groups = by_length(counts)
+    groups = by_length(number)
     for _ in range(rounds):
         total = np.full_like(probs, 0.01)  # what is never met in a language keeps a small probability
         for group in groups.values():
             for part in _parts(group, len(languages)):
-                total += expected(part, trie, probs, np.array([counts[w] for w in part]))
+                total += expected(part, trie, probs, counts[[number[w] for w in part]])
         probs = total / total.sum(0)
     return Model(languages, trie, probs)
 
