@@ -147,8 +147,8 @@ def _cross(group, key, n, pos, label, words, size, num: int, den: int):
             held.append((np.maximum(key[a], key[a + lag]), np.minimum(key[a], key[a + lag])))
             waiting += len(a)
         if held and (waiting > 100_000 or not len(at)):
-            x, y = np.unique(np.concatenate([np.stack(p, 1) for p in held]), axis=0).T  # a pair shares many shingles
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], names=["a", "b"])
+            x, y = (np.concatenate(c) for c in zip(*held, strict=True))  # once for each shared shingle; the aggregation behind it makes them distinct before the shuffle
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
             held, waiting = [], 0
 
 
