@@ -5,7 +5,10 @@ sets have the similarity s are joined, so that large groups of copies are one co
 often differ in more bits than can be probed, a prefix filter finds all other pairs: of two sets with similarity s or more,
 the first n - ceil(s n) + 1 members of each, in any order common to all, share one; so each node makes an index row for
 each of these, and only rows that share a shingle go on. The order puts shingles that are frequent in a sample last: it
-changes the cost, not the pairs. Pairs whose components differ are verified. A pair is passed over only by bounds that hold
+changes the cost, not the pairs. Pairs whose components differ are verified in two steps: first, of each shingle's pairs, a
+spanning forest of the likeliest ones, so that their number grows with the rows and not with their square; then, for a shingle
+with a forest edge whose ends are still in two components, all pairs whose components still differ. Elsewhere the forest has
+joined all that its pairs could join, so no link is lost. A pair is passed over only by bounds that hold
 for it: the sizes; the places of the first shared member in both orders, as no more than what follows can be common; and a
 parity of the members in each of 1,024 classes or four a member (coarser ones in the buckets), as sets differ by at least as many members as parities. The rest is
 verified against the whole sets.
@@ -26,7 +29,7 @@ from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from .shared import partitions, release, slices, stage, unstage
-from .simhash import components, links, majority, shingle_hashes
+from .simhash import components, forest, links, majority, shingle_hashes
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -128,12 +131,10 @@ def _differ(a: np.ndarray, b: np.ndarray, words: np.ndarray, first: np.ndarray,
 
 
 def _cross(group, key, n, pos, label, words, size, num: int, den: int):
-    """Pairs of a group (rows sorted by group and n) with different labels whose sizes and sketches allow the similarity."""
+    """Pairs (row, row, classes they differ in) of a group (rows sorted by group and n) with different labels whose sizes and sketches allow the similarity, lag by lag."""
     end = np.searchsorted(group, group, "right")
     first = np.cumsum(size) - size
     at, lag = np.arange(len(group)), 0
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
     while len(at):
         lag += 1
         at = at[at + lag < end[at]]
@@ -142,14 +143,98 @@ def _cross(group, key, n, pos, label, words, size, num: int, den: int):
         b = a + lag
         a = a[np.minimum(n[a] - pos[a], n[b] - pos[b]) * (num + den) >= (n[a] + n[b]) * num]
         if len(a):
-            a = a[_differ(a, a + lag, words, first, size) * (num + den) <= (n[a] + n[a + lag]) * (den - num)]
+            differ = _differ(a, a + lag, words, first, size)
+            some = differ * (num + den) <= (n[a] + n[a + lag]) * (den - num)
+            a, differ = a[some], differ[some]
         if len(a):
-            held.append((np.maximum(key[a], key[a + lag]), np.minimum(key[a], key[a + lag])))
-            waiting += len(a)
-        if held and (waiting > 100_000 or not len(at)):
-            x, y = (np.concatenate(c) for c in zip(*held, strict=True))  # once for each shared shingle; the aggregation behind it makes them distinct before the shuffle
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            yield a, a + lag, differ
+
+
+def _every(group, key, n, pos, label, words, size, num: int, den: int):
+    """All pairs of _cross, as keys."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+    for a, b, _ in _cross(group, key, n, pos, label, words, size, num, den):
+        held.append((np.maximum(key[a], key[b]), np.minimum(key[a], key[b])))
+        waiting += len(a)
+        if waiting > 100_000:
+            yield _batch(("a", "b"), *map(np.concatenate, zip(*held, strict=True)))
             held, waiting = [], 0
+    if held:  # once for each shared shingle; the aggregation behind it makes them distinct before the shuffle
+        yield _batch(("a", "b"), *map(np.concatenate, zip(*held, strict=True)))
+
+
+def _batch(names: tuple[str, ...], *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list(names))
+
+
+def _lightest(start: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the edges a[i] - b[i] make a lightest spanning forest over the components `start` (of each row the first one of its component), by Boruvka's rounds."""
+    label, chosen = start.copy(), []
+    order = np.argsort(weight, kind="stable")
+    a, b = a[order], b[order]
+    left = np.arange(len(order))
+    while len(left := left[label[a[left]] != label[b[left]]]):
+        best = np.full(len(label), len(order))
+        np.minimum.at(best, label[a[left]], left)
+        np.minimum.at(best, label[b[left]], left)
+        take = np.unique(best[best < len(order)])
+        chosen.append(take)
+        label = forest(len(label), a[take], b[take], label)
+    return order[np.concatenate(chosen)] if chosen else left
+
+
+def _trees(group, key, n, pos, label, words, size, num: int, den: int, most: int = 1 << 20):
+    """Of the pairs of _cross those that span the components they make, the likeliest first: fewer than rows. s names the group where there are other pairs as well, else it is null."""
+    by = np.lexsort((label, group))
+    new = np.ones(len(by), bool)
+    new[1:] = (group[by][1:] != group[by][:-1]) | (label[by][1:] != label[by][:-1])
+    start = np.empty(len(by), np.int64)
+    start[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1] if len(by) else by  # lexsort is stable: the first row comes first
+    begin = np.searchsorted(group, group)
+    pairs = np.zeros(len(group), np.int64)
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    waiting = 0
+
+    def spanning():
+        a, b, weight = map(np.concatenate, zip(*held, strict=True))
+        some = _lightest(start, a, b, weight)
+        return a[some], b[some], weight[some]
+
+    for a, b, differ in _cross(group, key, n, pos, label, words, size, num, den):
+        pairs += np.bincount(begin[a], minlength=len(pairs))
+        held.append((a, b, differ / (n[a] + n[b])))
+        waiting += len(a)
+        if waiting > most:
+            held, waiting = [spanning()], 0
+    a, b, _ = spanning()
+    if len(a):
+        more = pairs[begin[a]] > np.bincount(begin[a], minlength=len(pairs))[begin[a]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(key[a], key[b])), pa.array(np.minimum(key[a], key[b])), pa.array(group[a], mask=~more)], names=["a", "b", "s"])
+
+
+def _by_group(pairs, num: int, den: int):
+    """A function of batches (rows sorted by s and n) that gives `pairs` whole groups."""
+
+    def cross(batches):
+        release()
+        held = None
+        for batch in batches:
+            *cols, lists = batch.columns
+            cols = [c.to_numpy() for c in cols]
+            cols += [lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on in the next batch
+            word = int(cols[6][:last].sum())
+            cuts = [last] * 5 + [word, last]
+            held = [c[k:].copy() for c, k in zip(cols, cuts, strict=True)]
+            if last:
+                yield from pairs(*(c[:k] for c, k in zip(cols, cuts, strict=True)), num, den)
+        if held is not None:
+            yield from pairs(*held, num, den)
+
+    return cross
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5), distance: int = 4) -> DataFrame:
@@ -216,29 +301,22 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     edges = verified(linked.union(same).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")), "near-neighbours")
     roots = stage(components(edges), "near-roots")
 
-    def cross(batches):
-        release()
-        held = None
-        for batch in batches:
-            *cols, lists = batch.columns
-            cols = [c.to_numpy() for c in cols]
-            cols += [lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last group may go on in the next batch
-            word = int(cols[6][:last].sum())
-            cuts = [last] * 5 + [word, last]
-            held = [c[k:].copy() for c, k in zip(cols, cuts, strict=True)]
-            if last:
-                yield from _cross(*(c[:k] for c, k in zip(cols, cuts, strict=True)), num, den)
-        if held is not None:
-            yield from _cross(*held, num, den)
-
-    marks = nodes.join(roots, nodes.key == roots.node, "left").select(F.col("key").alias("k"), F.coalesce("root", "key").alias("label"), "sketch")
-    labelled = shared.join(marks.hint("merge"), shared.key == F.col("k")).select("s", "key", "n", "pos", "label", "sketch")
-    dealt = labelled.repartition(partitions(spark), "s").sortWithinPartitions("s", "n", "key")
-    edges = edges.union(verified(dealt.mapInArrow(cross, "a long, b long"), "near-pairs"))
-    roots = stage(components(edges), "near-roots")
+    def crossed(shared: DataFrame, roots: DataFrame, pairs, schema: str) -> DataFrame:
+        marks = nodes.join(roots, nodes.key == roots.node, "left").select(F.col("key").alias("k"), F.coalesce("root", "key").alias("label"), "sketch")
+        labelled = shared.join(marks.hint("merge"), shared.key == F.col("k")).select("s", "key", "n", "pos", "label", "sketch")
+        return labelled.repartition(partitions(spark), "s").sortWithinPartitions("s", "n", "key").mapInArrow(_by_group(pairs, num, den), schema)
+
+    def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+        return stage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges)), "near-roots")
+
+    # a spanning forest of each shingle's pairs; where one of its edges joins nothing, the other pairs of that shingle are asked too
+    trees = stage(crossed(shared, roots, _trees, "a long, b long, s long"), "near-trees")
+    roots = joined(roots, verified(trees.select("a", "b"), "near-pairs"))
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "ab"]
+    apart = ~F.coalesce("_a", "a").eqNullSafe(F.coalesce("_b", "b"))
+    unsettled = stage(trees.filter("s is not null").join(ends[0], "a", "left").join(ends[1], "b", "left").filter(apart).select("s").distinct(), "near-unsettled")
+    if not unsettled.isEmpty():
+        roots = joined(roots, verified(crossed(shared.join(unsettled, "s", "left_semi"), roots, _every, "a long, b long"), "near-pairs"))
     rooted = nodes.join(roots, nodes.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", F.col("root").alias("group"), "component_id")
     return marked.select("doc_id", "text_key", "key").join(stage(named, "near-named"), "key").select("doc_id", "text_key", "group", "component_id")
