@@ -34,7 +34,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens: one row a piece."""
     ship(spark)
-    return packing.pack_documents(docs, with_ids=False)
+    return packing.pack_documents(docs, with_ids=False, spare=True)
 
 
 STAGES = [

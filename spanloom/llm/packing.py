@@ -20,22 +20,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, slices, stage
-from .tokens import encoder, tokenizer_path
+from .tokens import at_once, encoder, tokenizer_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
-    """Token pieces of (doc_id, text): `capacity` ids each, only a document's first piece may be shorter; ids as little-endian 32-bit numbers."""
+def pieces(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = True, spare: bool = False) -> DataFrame:
+    """Token pieces of (doc_id, text): `capacity` ids each, only a document's first piece may be shorter; ids as little-endian 32-bit numbers. spare: workers keep less, beside other operators."""
     schema = PIECES if with_ids else PIECES.removesuffix(", ids binary")
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches):
-        enc = encoder(tokenizer_path(tokenizer))
+        enc = encoder(tokenizer_path(tokenizer), spare)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, at_once(spare)):
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                     ids = np.concatenate((ids, end))
@@ -247,6 +247,6 @@ def pack(cut: DataFrame, *, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
     return ranked.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, *, capacity: int = 2048, end_id: int = 0, tokenizer: str | None = None, with_ids: bool = True, spare: bool = False) -> DataFrame:
     """Cuts, tokenises and packs documents; the pieces are staged once, as both the histogram and the ranking read them."""
-    return pack(stage(pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer, with_ids=with_ids), "pieces"), capacity=capacity)
+    return pack(stage(pieces(docs, capacity=capacity, end_id=end_id, tokenizer=tokenizer, with_ids=with_ids, spare=spare), "pieces"), capacity=capacity)

@@ -33,7 +33,7 @@ _BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not i
 class Encoder:
     """encode(texts): an array of uint32 ids for each text; null counts as empty. Two generations of pieces are kept, `most` of them in all; those met again move to the younger one."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
@@ -110,9 +110,14 @@ class Encoder:
         return [ids[a:b] for a, b in zip(token_ends[:-1], token_ends[1:], strict=True)]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file; what it has learnt stays for the worker's later tasks of this kind."""
-    return keep(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, spare: bool = False) -> Encoder:
+    """The worker's encoder for a file; what it has learnt stays for the worker's later tasks of this kind. spare: a third of the pieces, beside other operators."""
+    return keep(("encoder", path, spare), lambda: Encoder(path, 400_000) if spare else Encoder(path))
+
+
+def at_once(spare: bool = False) -> int:
+    """Bytes of text to encode at once: the more, the fewer pieces are looked up twice."""
+    return 2 << 20 if spare else 8 << 20
 
 
 def tokenizer_path(path: str | None) -> str:
