@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import new_path, partitions, slices, stage
-from .tokens import encoder, tokenizer_path
+from .tokens import at_once, encoder, tokenizer_path
 
 MAGIC = b"SLT1"
 _NULL = np.iinfo(np.int64).min
@@ -89,7 +89,7 @@ def tokenised(docs: DataFrame, *, end_id: int = 2, tokenizer: str | None = None)
         end = np.array([end_id], "<u4")
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, at_once()):
                 found = [np.concatenate((x, end)) for x in enc.encode(part.column(1))]
                 got = np.bincount(np.concatenate(found), minlength=len(total))
                 got[: len(total)] += total
