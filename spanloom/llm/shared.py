@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -14,6 +15,7 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +50,32 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def tidy(spark: SparkSession, every: float = 15, share: float = 0.05) -> None:
+    """Makes the driver's JVM give back what it has freed, once in `every` seconds at most and in no more than a share of the time: native memory of compilers and codecs, which the C library keeps, and a heap grown beyond half of its limit. Operators of many small jobs would hold both until they end."""
+    sc, jvm, began = spark.sparkContext, spark._jvm, time.monotonic()
+    ended, took = getattr(sc, "_spanloom_tidied", (began - every, 0))
+    if began - ended < max(every, took / share):
+        return
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.java.lang.System.gc()
+    with suppress(Py4JError):  # a JVM without this command keeps it
+        lang, new = jvm.java.lang, sc._gateway.new_array
+        kinds, args = new(lang.Class, 4), new(lang.Object, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = lang.Class.forName(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    ended = time.monotonic()
+    sc._spanloom_tidied = ended, ended - began
+
+
 def unstage(df: DataFrame | None) -> None:
     """Deletes the files of a staged table that nothing will read again."""
     if df is not None and hasattr(df, "_staged_at"):

@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -81,20 +81,13 @@ def parities(found: np.ndarray) -> list[list[int]]:
 FILTER = 1 << 22
 
 
-def _filter_of(wanted: DataFrame) -> list[int]:
-    """Words of 64 bits: those of the hashes of wanted ids are set. With very many ids it lets all rows pass, and the join behind it decides."""
+def _in_filter(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose id's hash is that of a wanted id. The bits are broadcast in words of 64 (65,536 rows at most); as a literal they would stand in every text of the plan that the driver keeps. With very many ids all rows pass, and the join behind decides."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    words = wanted.groupBy(F.shiftright(h, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {FILTER}), 64) as int))")).alias("b")).collect()
-    out = [0] * (FILTER >> 6)
-    for r in words:
-        out[r["w"]] = r["b"]
-    return out
-
-
-def _in_filter(doc_id: Column, words: list[int]) -> Column:
-    h = F.pmod(F.xxhash64(doc_id), F.lit(FILTER))
-    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded into one constant
-    return F.call_function("getbit", F.get(table, F.shiftright(h, 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+    word, bit = F.shiftright(h, 6).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+    words = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    found = docs.withColumns({"_at": word, "_bit": bit}).join(F.broadcast(words), F.col("_at") == F.col("_word"))
+    return found.filter(F.call_function("getbit", "_bits", "_bit") == 1).select(*docs.columns)
 
 
 def sketch(bits: list[list[int]], n: int) -> list[int]:
@@ -283,7 +276,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         # sets of n and m members with c in common differ by n + m - 2 c, and c (num + den) >= (n + m) num
         some = stage(pairs.distinct().join(x, "a").join(y, "b").filter(differ * (num + den) <= (F.col("_na") + F.col("_nb")) * (den - num)).select("a", "b", "_leasta", "_leastb"), "near-candidates")
         wanted = some.select(F.col("a").alias("key"), F.col("_leasta").alias("doc_id")).union(some.select("b", "_leastb")).distinct()
-        texts = docs.filter(_in_filter(F.col("doc_id"), _filter_of(wanted))).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "key", "text_key"])  # dealt by id already
+        texts = _in_filter(docs, wanted).join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "key", "text_key"])  # dealt by id already
         sets = stage(texts.select("key", "text").mapInArrow(whole, "key long, members array<long>"), "shingle-members")
         x, y = (sets.select(F.col("key").alias(k), F.col("members").alias(f"_{k}")) for k in "ab")
         common = F.size(F.array_intersect("_a", "_b"))

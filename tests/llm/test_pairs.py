@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from spanloom.llm import similar, simhash
+from spanloom.llm import shared, similar, simhash
 from spanloom.llm.shared import ship
 
 
@@ -55,3 +55,34 @@ def test_trees_span_what_all_pairs_join():
             mine = [x for x in trees if x[0] in inside]
             assert (joined([x[:2] for x in mine], alike) == joined([x for x in every if x[0] in inside], alike)).all()
             assert {x[2] for x in mine} == {g}  # there are other pairs, so they are asked if one of these fails
+
+
+def test_bits_of_ids_stay_out_of_the_plans(spark):
+    r = random.Random(5)
+    words = [[r.choice("abcdefgh") + str(r.randrange(900)) for _ in range(60)] for _ in range(400)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(words)] + [(1000 + k, " ".join(["x", *w[1:]])) for k, w in enumerate(words)]
+    ship(spark)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: x.component_id for x in got.collect()} == {i: i % 1000 for i, _ in rows}
+    plans = [store.executionsList().apply(k).physicalPlanDescription() for k in range(before, store.executionsCount())]
+    assert len(plans) > 10 and max(map(len, plans)) < 100_000
+
+
+def test_filter_of_ids_keeps_the_wanted(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as text")
+    wanted = docs.filter("doc_id % 7 = 0").select("doc_id")
+    kept = [x.doc_id for x in similar._in_filter(docs, wanted).collect()]
+    assert len(kept) == len(set(kept)) < 600 and set(range(0, 3000, 7)) <= set(kept)
+    assert similar._in_filter(docs, wanted.limit(0)).count() == 0
+
+
+def test_tidy_gives_grown_heap_back(spark):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    much = runtime.maxMemory() // 2
+    spark.range(1).selectExpr(f"octet_length(repeat(cast(id as string), {min(much, (1 << 31) - 64)}))").collect()
+    grown = runtime.totalMemory()
+    assert 2 * grown > runtime.maxMemory()
+    shared.tidy(spark, every=0, share=1)
+    assert runtime.totalMemory() < grown
