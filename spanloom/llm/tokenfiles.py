@@ -28,31 +28,32 @@ from .tokens import at_once, encoder, tokenizer_path
 MAGIC = b"SLT1"
 _NULL = np.iinfo(np.int64).min
 #: Data bytes of the four ids of each control byte.
-LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1).astype(np.int64)
+LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1).astype(np.uint8)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of an array of ranks."""
-    ranks = ranks.astype("<u4")
-    n = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    width = 2 if not len(ranks) or ranks.max() <= 0xFFFF else 4
+    whole = ranks.astype(f"<u{width}").view(np.uint8).reshape(-1, width)
+    has = np.ones(whole.shape, bool)
     code = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    code[: len(ranks)] = n - 1
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    whole = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), whole[np.arange(4) < n[:, None]].tobytes()
+    for k in range(1, width):
+        has[:, k] = ranks >= 1 << 8 * k
+        code[: len(ranks)] += has[:, k]
+    control = code[::4] | code[1::4] << 2 | code[2::4] << 4 | code[3::4] << 6
+    return control.tobytes(), whole[has].tobytes()
 
 
 def unpack_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The ranks again: lengths by table, then one gather for each byte place."""
     sizes = LENGTHS[control].ravel()[:n]
-    first = np.cumsum(sizes) - sizes
-    padded = np.concatenate((data, np.zeros(4, np.uint8)))
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = sizes > k
-        if not has.any():
-            break
-        out[has] |= padded[first[has] + k].astype(np.uint32) << np.uint32(8 * k)
+    first = np.cumsum(sizes, dtype=np.int64) - sizes
+    out = data[first].astype(np.uint32)
+    k, at = 1, np.flatnonzero(sizes > 1)
+    while len(at):
+        out[at] |= data[first[at] + k].astype(np.uint32) << np.uint32(8 * k)
+        k += 1
+        at = at[sizes[at] > k]
     return out
 
 

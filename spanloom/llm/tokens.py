@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, at the speed of a dictionary look-up.
 
 The byte-level BPE splits a text into pre-tokens before it merges, and a single space before a non-space, as well as a
-single line feed between non-spaces, always begins a pre-token. So a text is cut there by Arrow, the pieces of a batch
-are reduced to distinct ones, and the tokenizers library sees only pieces that this worker has not met. Texts with other
+single line feed between non-spaces, always begins a pre-token. So a text is cut there, Arrow reduces the pieces of a
+batch to distinct ones, and the tokenizers library sees only pieces that this worker has not met. Texts with other
 white space or with runs of it go to the library whole.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,30 @@ import pyarrow.compute as pc
 
 from .shared import keep
 
-# Anything beyond single spaces and single line feeds, and the byte that marks the cuts.
+# Anything beyond single spaces and single line feeds.
 _ODD = (
     r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 )
 
-#: Letters of Latin scripts, after a space or not, then a punctuation mark or none.
-_LATIN = re.compile("( ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]?)\\Z")
+#: Letters of Latin scripts (in UTF-8, up to U+024F), after a space or not, then up to three punctuation marks: these are one pre-token after a letter.
+_LATIN = re.compile(rb"( ?(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f]|\xc2[\xaa\xb5\xba])++)([.,;:!?#$%&*]{0,3})\Z")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-#: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for code points from 256 on.
-_BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_REST = [b for b in range(256) if b not in _PLAIN]
+#: The byte-level alphabet by byte: printable Latin-1 stands for itself, the other bytes for code points from 256 on.
+_ALPHABET = "".join(chr(b if b in _PLAIN else 256 + _REST.index(b)) for b in range(256))
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of large strings without nulls, and how many there are up to the begin of each text and in all. A piece begins with a text, at a space, at a line feed and after one, so some are empty."""
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(texts) + 1, 8 * texts.offset)
+    data = data or pa.py_buffer(b"")
+    seen = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    spaces, feeds = (np.flatnonzero(seen == c) + bounds[0] for c in (32, 10))
+    starts = np.concatenate((bounds[:-1], spaces, feeds, feeds + 1, bounds[-1:]))
+    starts.sort(kind="stable")  # merges the parts
+    counts = np.arange(len(bounds)) + np.searchsorted(spaces, bounds) + 2 * np.searchsorted(feeds, bounds)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), data]), counts
 
 
 class Encoder:
@@ -40,9 +55,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = {c: array("I", [t.id for t in self.library.model.tokenize(c)]).tobytes() for c in ("", *".,;:!?")}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,52 +77,56 @@ class Encoder:
                 out[i] = ids
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new pieces. A Latin word, alone or with one punctuation mark, is one or two pre-tokens: the library's BPE model takes these as they are; the rest go through the whole library."""
-        known, older, bpe, others = self.known, self.older, self.library.model.tokenize, []
+    def _token(self, pre: bytes) -> bytes:
+        """Ids of one pre-token."""
+        return array("I", [t.id for t in self.library.model.tokenize(charmap_decode(pre, "strict", _ALPHABET)[0])]).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new pieces. A Latin word, alone or with punctuation marks, is one or two pre-tokens: the library's BPE model takes these as they are; the rest go through the whole library."""
+        known, older, marks, token, others = self.known, self.older, self.marks, self._token, []
         for w in words:
             if m := _LATIN.match(w):
                 stem, mark = m.groups()
-                ids = (known.get(stem) or older.get(stem)) if mark else None
-                if ids is None:
-                    plain = stem.replace(" ", _BYTES[32]) if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTES)
-                    ids = array("I", [t.id for t in bpe(plain)]).tobytes()
-                known[w] = ids + self.marks[mark]
+                if not mark:
+                    known[w] = token(w)
+                    continue
+                if mark not in marks:
+                    marks[mark] = token(mark)
+                known[w] = (known.get(stem) or older.get(stem) or token(stem)) + marks[mark]
             else:
                 others.append(w)
         for at in range(0, len(others), 20_000):
             part = others[at : at + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 known[w] = array("I", e.ids).tobytes()
 
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces. When the younger generation is full, it becomes the older one."""
+        blobs = list(map(self.known.get, words))
+        if at := [i for i, ids in enumerate(blobs) if ids is None]:
+            missed = [words[i] for i in at]
+            met = list(map(self.older.get, missed))
+            if len(self.known) + len(missed) > self.most // 2:
+                self.older, self.known = self.known, {}
+            self.known.update((w, ids) for w, ids in zip(missed, met, strict=True) if ids is not None)
+            self._learn([w for w, ids in zip(missed, met, strict=True) if ids is None])
+            for i, w in zip(at, missed, strict=True):
+                blobs[i] = self.known[w]
+        return blobs
+
     def _pieces(self, texts: pa.Array) -> list[np.ndarray]:
-        cut = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
-        lists = pc.split_pattern(cut, "\x00")
-        coded = lists.flatten().dictionary_encode()
-        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        known, older = self.known, self.older
-        if new := [w for w in words if w not in known]:
-            if len(known) + len(new) > self.most // 2:  # the pieces met since the last change stay for one more turn
-                self.older, self.known = known, {}
-                known, older, new = self.known, self.older, words
-            unmet = []
-            for w in new:
-                if (ids := older.get(w)) is None:
-                    unmet.append(w)
-                else:
-                    known[w] = ids
-            self._learn(unmet)
-        blobs = [known[w] for w in words]
+        pieces, counts = cut(texts)
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        blobs = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         pool = np.frombuffer(b"".join(blobs), "<u4")
         first = np.cumsum(sizes) - sizes
         each = sizes[codes]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(first[codes] - (ends - each), each) + np.arange(total)]
-        bounds = lists.offsets.to_numpy()
-        token_ends = np.concatenate(([0], ends))[bounds - bounds[0]]
-        return [ids[a:b] for a, b in zip(token_ends[:-1], token_ends[1:], strict=True)]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        ids = pool[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        bounds = ends[counts]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def encoder(path: str, spare: bool = False) -> Encoder:
