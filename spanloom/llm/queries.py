@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, extract, fingerprint, langid, lexical, packing, sharding, simhash, tokenfiles, urltrust, warc
+from . import decontam, divergence, extract, fingerprint, langid, lexical, packing, sharding, simhash, tokenfiles, toxicity, urltrust, warc
 from .shared import table
 
 
@@ -55,6 +55,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical.build(table(spark, sf_dir, "documents"))
     return lexical.search(index, table(spark, sf_dir, "benchmark"))
@@ -65,7 +71,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_extract, op4_fingerprint, op5_url_trust, op6_simhash, op7_language, op8_shard, op9_warc, op10_token_files, op12_search, op13_divergence)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_extract, op4_fingerprint, op5_url_trust, op6_simhash, op7_language, op8_shard, op9_warc, op10_token_files, op11_toxicity, op12_search, op13_divergence)}
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
