@@ -60,11 +60,15 @@ NEAR = 5
 
 _SPACED = alphabet((0x00, 0x20), (0x7F, 0x7F), lower=False)
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_EDGES = ".,;:!?\"'()[]{}*%&$#-_/\\|~<>"
 _STRETCHED = re.compile(r"(.)\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 _HIT, _INSULT, _HIDDEN, _SECOND, _SHOUTED, _BROKEN, _MIXED, _STRETCH = (1 << k for k in range(8))
 
 
+_CLASSES = [np.isin(np.arange(256), list(x)) for x in (range(65, 91), [*range(65, 91), *range(97, 123), *range(0xC0, 256)], b"!", b"?", b"#$%&*+<=>@^_`{|}~\\")]
+
+
 class Lexicon:
     """Weights of words; what a spelling means is kept for the next time."""
 
@@ -85,6 +89,12 @@ class Lexicon:
 
     def _meaning(self, spelling: str) -> tuple[float, int]:
         small = spelling.lower()
+        inner = small.strip(_EDGES)
+        if inner.isalpha():  # most spellings are one word
+            stretched = _STRETCHED.search(inner) is not None
+            weight = self.weights.get(inner, 0.0)
+            flags = _HIT * (weight > 0) | _INSULT * (inner in INSULTS) | _SECOND * (inner in SECOND_PERSON) | _SHOUTED * (len(small) > 2 and spelling.isupper()) | _STRETCH * stretched
+            return (weight, flags) if not stretched or flags & (_HIT | _INSULT) else self._seen_through(small, inner, weight, flags)
         terms = _TERM.findall(small)
         if not terms:
             return 0.0, 0
@@ -98,18 +108,19 @@ class Lexicon:
             flags |= _SECOND
         if len(small) > 2 and spelling.isupper():
             flags |= _SHOUTED
-        inner = small.strip(".,;:!?\"'()[]{}*%&$#-_/\\|~<>")
         broken = not inner.isalnum() and len(inner) > 2
         mixed = any(c.isdigit() for c in small) and _LETTER.search(small) is not None
         stretched = _STRETCHED.search(inner) is not None
         flags |= _BROKEN * broken | _MIXED * mixed | _STRETCH * stretched
-        if not flags & (_HIT | _INSULT) and (broken or mixed or stretched):
-            for form in {small, inner}:
-                bare = squeezed("".join(_LETTER.findall(form.translate(LOOK_ALIKE))))
-                also = squeezed("".join(_LETTER.findall(form)))
-                for x in (bare, also):
-                    if len(x) > 2 and (x in self.squeezed or x in self.plain):
-                        return max(weight, self.squeezed.get(x, 0.0)), flags | _HIDDEN
+        return (weight, flags) if flags & (_HIT | _INSULT) or not (broken or mixed or stretched) else self._seen_through(small, inner, weight, flags)
+
+    def _seen_through(self, small: str, inner: str, weight: float, flags: int) -> tuple[float, int]:
+        """What a disguised spelling means: look-alikes read as letters, symbols left out, runs of a letter as one."""
+        for form in (small, inner):
+            for read in (form.translate(LOOK_ALIKE), form):
+                x = squeezed("".join(_LETTER.findall(read)))
+                if len(x) > 2 and (x in self.squeezed or x in self.plain):
+                    return max(weight, self.squeezed.get(x, 0.0)), flags | _HIDDEN
         return weight, flags
 
     def joined(self, letters: str) -> tuple[float, int]:
@@ -133,7 +144,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     meant = [lexicon.meaning(s) for s in coded.dictionary.to_pylist()]
     weight = np.fromiter((m[0] for m in meant), float, len(meant))[codes]
     flags = np.fromiter((m[1] for m in meant), np.int64, len(meant))[codes]
-    sizes = np.fromiter((len(s) for s in coded.dictionary.to_pylist()), np.int64, len(meant))[codes]
+    sizes = pa.compute.binary_length(coded.dictionary).to_numpy()[codes]
     _spaced(rows, spelled, sizes, weight, flags, lexicon)
     per = lambda mask: np.bincount(rows[mask], minlength=n).astype(float)
     words = np.bincount(rows, minlength=n).astype(float)
@@ -144,10 +155,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     kinds = np.unique(rows[bad] * max(1, len(meant)) + codes[bad]) // max(1, len(meant))
     near = _near(rows, np.flatnonzero(bad), np.flatnonzero(flags & _SECOND))
     class_of = lambda mask: _sums(mask, offsets)
-    upper = (data >= 65) & (data <= 90)
-    letters = upper | ((data >= 97) & (data <= 122)) | (data >= 0xC0)
-    bang, ask = data == 33, data == 63
-    symbol = np.isin(data, np.frombuffer(b"#$%&*+<=>@^_`{|}~\\", np.uint8))
+    upper, letters, bang, ask, symbol = (table[data] for table in _CLASSES)
     again = np.zeros(len(data), bool)
     again[1:] = (data[1:] == data[:-1]) & (bang | ask | symbol)[1:]
     chars = (offsets[1:] - offsets[:-1]).astype(float)
@@ -166,7 +174,7 @@ def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many bytes of each row are in a class."""
     if len(offsets) < 2:
         return np.zeros(0)
-    out = np.add.reduceat(np.append(mask, False).astype(np.int64), offsets[:-1]).astype(float)
+    out = np.add.reduceat(np.append(mask, False), offsets[:-1], dtype=np.int64).astype(float)
     out[offsets[1:] == offsets[:-1]] = 0
     return out
 
