@@ -24,7 +24,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.cuts import BOTTOM, TOP, Box, Dim, Probe, Span, connected, contains, contains_point, dilated, displaced, eroded, intersects, padded, reflected, scaled, touches, unbounded
+from ..functions.cuts import BOTTOM, TOP, Box, Dim, Probe, Span, contains, contains_point, dilated, displaced, eroded, intersects, padded, reflected, scaled, touches, unbounded
+from . import meeting, tiles
 
 
 def _col(name: str) -> Column:
@@ -32,6 +33,9 @@ def _col(name: str) -> Column:
 
 
 class IntervalFrame:
+    #: Whether keys differ so much in size that the largest are dealt to many tasks: None looks at large tables, see `meeting`.
+    skewed: bool | None = None
+
     def __init__(self, df: DataFrame, dims: Iterable[Dim], values: Iterable[str] = ("value",), keys: Iterable[str] = (), *, hot: tuple = ()):
         self.dims, self.values, self.keys, self.hot = tuple(dims), tuple(values), tuple(keys), tuple(hot)
         self.df = df.select(*self.columns)
@@ -55,7 +59,16 @@ class IntervalFrame:
 
     def _with(self, df: DataFrame, **change) -> IntervalFrame:
         kind = type(self) if change.get("values", self.values) or type(self) is not IntervalFrame else IntervalFrame
-        return kind(df, change.get("dims", self.dims), change.get("values", self.values), change.get("keys", self.keys), hot=change.get("hot", self.hot))
+        return kind(df, change.get("dims", self.dims), change.get("values", self.values), change.get("keys", self.keys), hot=change.get("hot", self.hot)).on_keys(skewed=self.skewed)
+
+    def on_keys(self, *, skewed: bool | None) -> IntervalFrame:
+        """The same frame, of which it is known whether some keys have very many rows."""
+        self.skewed = skewed
+        return self
+
+    def _hot(self, tables: list[tuple[DataFrame, str, str]], *others: IntervalFrame, keys: list[str] | None = None) -> DataFrame | None:
+        said = [x.skewed for x in (self, *others) if x.skewed is not None]
+        return meeting.hot_keys(self.keys if keys is None else keys, self.dims[0], tables, skewed=any(said) if said else None)
 
     def _set(self, spans: Box) -> list[Column]:
         return [c for d, s in zip(self.dims, spans, strict=True) for c in (d.column(s.lo).alias(d.lo), d.column(s.hi).alias(d.hi))]
@@ -221,6 +234,9 @@ class IntervalFrame:
                 segments = ends.withColumn("_to", F.lead("_from").over(Window.partitionBy(*keys).orderBy("_from"))).filter("_to is not null")
                 other = segments.select(*[_col(k).alias(f"_k_{k}") for k in keys], "_from", "_to")
                 covers = [_col(k).eqNullSafe(_col(f"_k_{k}")) for k in keys] + covers
+                if d is self.dims[0] and (hot := self._hot([(grid, d.lo, d.hi)], keys=keys)) is not None:
+                    out, other, meet = meeting.binned(keys, out, (d.lo, d.hi), other, ("_from", "_to"), [f"_k_{k}" for k in keys], d, hot)
+                    covers += meet
             else:
                 other = _segments(ends, d)
                 if (bins := _bins(d, (grid, d.lo, d.hi))) is not None:
@@ -243,9 +259,11 @@ class IntervalFrame:
         grid = reduce(DataFrame.union, [x.df.select(*self.keys, *self.bounds) for x in (self, *others)])
         return self._with(self._split(self.df, grid))
 
-    def _overlay(self, others: list[IntervalFrame], aggs: Callable[[list[Column]], list[Column]], *, universe: bool = False) -> DataFrame:
-        """One row per covered cell of all frames. aggs gets for each frame a Column that is its values' struct where a row of it covers (else null), for use in aggregates."""
+    def _overlay(self, others: list[IntervalFrame], aggs: Callable[[list[Column], Callable[[Column], Column]], list[Column]], *, universe: bool = False, nested: bool = False) -> DataFrame:
+        """One row per covered cell of all frames. aggs gets for each frame a Column that is its values' struct where a row of it covers (else null), and the function by which rows of a cell become one. nested: cells need not lie on the whole grid."""
         frames = [self, *others]
+        if len(self.dims) == 1 and self.keys and not self.hot:
+            return self._swept(frames, aggs, universe=universe)
         rows = [
             f.df.select(*self.keys, *self.bounds, F.lit(i).alias("_of"), *[(F.struct(*f.values, F.lit(True).alias("_here")) if j == i else F.lit(None)).alias(f"_v{j}") for j in range(len(frames))])
             for i, f in enumerate(frames)
@@ -254,8 +272,70 @@ class IntervalFrame:
             whole = [c for d in self.dims for c in (d.column(d.first).alias(d.lo), d.column(d.last).alias(d.hi))]
             known = reduce(DataFrame.union, [f.df.select(*self.keys) for f in frames]).distinct() if self.keys else self.spark.range(1)
             rows.append(known.select(*self.keys, *whole, F.lit(-1).alias("_of"), *[F.lit(None).alias(f"_v{j}") for j in range(len(frames))]))
-        cells = self._split(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows))
-        return cells.groupBy(*self.keys, *self.bounds).agg(*aggs([F.col(f"_v{j}") for j in range(len(frames))]))
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+        cells = self._nested(rows) if nested else self._split(rows)
+        return cells.groupBy(*self.keys, *self.bounds).agg(*aggs([F.col(f"_v{j}") for j in range(len(frames))], F.max))
+
+    def _swept(self, frames: list[IntervalFrame], aggs: Callable, *, universe: bool) -> DataFrame:
+        """_overlay in one dimension by a sweep: what begins and ends at each cut of a key, carried along a window. No join; keys with very many rows are dealt into ranges of cuts, and one row a range is carried over. Rows of a frame with values are disjoint."""
+        d, n = self.dims[0], len(frames)
+        keys = list(self.keys)
+        ends = []
+        for i, f in enumerate(frames):
+            value = F.struct(*f.values, F.lit(True).alias("_here"))
+            two = F.array(F.struct(_col(d.lo).alias("c"), F.lit(1).alias("n"), value.alias("v")), F.struct(_col(d.hi).alias("c"), F.lit(-1).alias("n"), F.lit(None).alias("v")))
+            ends.append(f.df.select(*keys, F.explode(two).alias("e")).select(*keys, F.col("e.c").alias("_c"), *[c for j in range(n) for c in ((F.col("e.n") if j == i else F.lit(0)).alias(f"_n{j}"), (F.col("e.v") if j == i else F.lit(None)).alias(f"_v{j}"))]))
+        if universe:
+            known = reduce(DataFrame.union, [f.df.select(*keys) for f in frames]).distinct()
+            edges = F.explode(F.array(d.column(d.first), d.column(d.last))).alias("_c")
+            ends.append(known.select(*keys, edges, *[c for j in range(n) for c in (F.lit(0).alias(f"_n{j}"), F.lit(None).alias(f"_v{j}"))]))
+        at = reduce(lambda a, b: a.unionByName(b), ends)
+        hot = self._hot([(f.df, d.lo, d.hi) for f in frames], *frames[1:])
+        by = keys if hot is None else [*keys, "_part"]
+        if hot is not None:
+            at = meeting.dealt(at, keys, d, "_c", hot)
+        at = at.groupBy(*by, "_c").agg(*[a for j in range(n) for a in (F.sum(f"_n{j}").alias(f"_n{j}"), F.max(f"_v{j}").alias(f"_v{j}"))])
+        if hot is not None:
+            last = lambda j: F.max_by(F.col(f"_v{j}"), F.when(F.col(f"_v{j}").isNotNull(), F.col("_c")))
+            before = {f"_b{j}": (F.sum(f"_n{j}"), meeting.earlier(F.sum)) for j in range(n)} | {f"_w{j}": (last(j), meeting.earlier(lambda c: F.last(c, ignorenulls=True))) for j in range(n)}
+            at = meeting.carried(at, keys, before | {"_next": (F.min("_c"), meeting.following)})
+        w = Window.partitionBy(*by).orderBy("_c")
+        here, held = (lambda j: F.sum(f"_n{j}").over(w)), (lambda j: F.last(f"_v{j}", ignorenulls=True).over(w))
+        if hot is not None:
+            own_here, own_held = here, held
+            here, held = (lambda j: own_here(j) + F.coalesce(f"_b{j}", F.lit(0))), (lambda j: F.coalesce(own_held(j), F.col(f"_w{j}")))
+        to = F.lead("_c").over(w)
+        run = at.select(*keys, F.col("_c").alias(d.lo), (to if hot is None else F.coalesce(to, F.col("_next"))).alias(d.hi), *[c for j in range(n) for c in (here(j).alias(f"_h{j}"), held(j).alias(f"_u{j}"))])
+        covered = F.lit(True) if universe else reduce(lambda a, b: a | b, [F.col(f"_h{j}") > 0 for j in range(n)])
+        run = run.filter(_col(d.hi).isNotNull() & covered)
+        run = run.select(*keys, d.lo, d.hi, *[F.when(F.col(f"_h{j}") > 0, F.col(f"_u{j}")).alias(f"_v{j}") for j in range(n)])
+        return run.select(*keys, d.lo, d.hi, *aggs([F.col(f"_v{j}") for j in range(n)], lambda c: c))
+
+    def _nested(self, rows: DataFrame) -> DataFrame:
+        """Rows cut only where boxes can meet: a key's rows fall into islands, dimension by dimension, that lie apart; the last dimension is cut on the cuts of an island, and each dimension before it on the cuts of those rows that lie in the same strip. What holds is the same in all of a cell, and coalescing gives the same canonical form as from the whole grid."""
+        if len(self.dims) == 1 or not self.keys or self.hot:
+            return self._split(rows)
+        rows = _short(rows)
+        by, out = list(self.keys), rows
+        for i, d in enumerate(self.dims):
+            out = self._islands(out, d, by, name=f"_i{i}")
+            by.append(f"_i{i}")
+        for d in reversed(self.dims):
+            out = self._sliced(_short(out), d, by)
+            by += [d.lo, d.hi]
+        return out.drop(*[f"_i{i}" for i in range(len(self.dims))])
+
+    def _sliced(self, rows: DataFrame, d: Dim, by: list[str]) -> DataFrame:
+        """Rows on the cuts of their group in one dimension."""
+        rest = [c for c in rows.columns if c not in (d.lo, d.hi)]
+        ends = rows.select(*by, F.explode(F.array(d.lo, d.hi)).alias("_from")).distinct()
+        other = ends.withColumn("_to", F.lead("_from").over(Window.partitionBy(*by).orderBy("_from"))).filter("_to is not null").select(*[_col(k).alias(f"_k_{k}") for k in by], "_from", "_to")
+        on = [_col(k).eqNullSafe(_col(f"_k_{k}")) for k in by] + [_col(d.lo) <= F.col("_from"), F.col("_to") <= _col(d.hi)]
+        return rows.join(other, reduce(lambda a, b: a & b, on)).select(*rest, F.col("_from").alias(d.lo), F.col("_to").alias(d.hi))
+
+    def atoms(self) -> IntervalFrame:
+        """Rows on the whole grid of their key's cuts (overlapping rows then share atoms)."""
+        return self._with(self._split(self.df))
 
     # --- workhorse 2: coalesce ---
     def coalesce(self) -> IntervalFrame:
@@ -267,14 +347,15 @@ class IntervalFrame:
         return self._with(df)
 
     def _islands(self, df: DataFrame, d: Dim, same: list[str], name: str = "_island") -> DataFrame:
-        """df with the number of each row's island among rows of equal `same`: rows that overlap or touch in a dimension. Without keys, and in one dimension, rows are dealt by ranges of their starts, and only what each range reaches and how many islands begin in it is carried over."""
+        """df with the number of each row's island among rows of equal `same`: rows that overlap or touch in a dimension. Without keys and in one dimension, and where keys have very many rows, rows are dealt by ranges of their starts, and only what each range reaches and how many islands begin in it is carried over."""
+        hot = meeting.hot_keys(self.keys, d, [(df, d.lo, d.hi)], skewed=self.skewed) if self.keys else None
         cuts = None if self.keys or len(self.dims) > 1 else _quantiles(df, d, d.lo)
-        if cuts is None:
+        if cuts is None and hot is None:
             order = Window.partitionBy(*same, *([] if same else [F.lit(0)])).orderBy(d.lo, d.hi)
             reach = F.max(d.hi).over(order.rowsBetween(Window.unboundedPreceding, -1))
             marked = df.withColumn("_new", F.when(reach >= _col(d.lo), 0).otherwise(1))
             return marked.withColumn(name, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-        dealt = df.withColumn("_part", _part_of(d, d.lo, cuts))
+        dealt = df.withColumn("_part", _part_of(d, d.lo, cuts)) if hot is None else meeting.dealt(df, self.keys, d, d.lo, hot)
         inside = Window.partitionBy(*same, "_part").orderBy(d.lo, d.hi)
         with_top = _carried(dealt, same, F.max(d.hi), F.max, "_top")
         reach = F.greatest(F.max(d.hi).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_top"))
@@ -299,11 +380,11 @@ class IntervalFrame:
 
     def is_disjoint(self) -> bool:
         """Whether no two rows of a key overlap: no cell is covered twice."""
-        return self._split(self.df).groupBy(*self.keys, *self.bounds).count().filter("count > 1").isEmpty()
+        return self._nested(self.df).groupBy(*self.keys, *self.bounds).count().filter("count > 1").isEmpty()
 
     # --- joins ---
     def _joined(self, that: IntervalFrame, how: str = "inner", test: Callable[[Box, Box], Column] = intersects) -> DataFrame:
-        """Overlap join (or another test that implies meeting ends): equal keys, boxes that pass; that's columns are prefixed by `_r_`. Without keys, rows meet in bins of the first dimension."""
+        """Overlap join (or another test that implies meeting ends): equal keys, boxes that pass; that's columns are prefixed by `_r_`. Rows without keys, and those of keys with very many rows, meet in bins of the first dimension."""
         right = that.df.select(*[_col(c).alias(f"_r_{c}") for c in that.columns])
         on = [_col(k).eqNullSafe(_col(f"_r_{k}")) for k in self.keys] + [test(self.box(), self.box("_r_"))]
         left = self.df
@@ -311,6 +392,9 @@ class IntervalFrame:
         if not self.keys and how == "inner" and (bins := _bins(d, (left, d.lo, d.hi), (that.df, d.lo, d.hi))) is not None:
             left, right, meet = _binned(left, (d.lo, d.hi), right, (f"_r_{d.lo}", f"_r_{d.hi}"), d, bins)
             on += meet
+        if how == "inner" and (hot := self._hot([(left, d.lo, d.hi), (that.df, d.lo, d.hi)], that)) is not None:
+            left, right, meet = meeting.binned(self.keys, left, (d.lo, d.hi), right, (f"_r_{d.lo}", f"_r_{d.hi}"), [f"_r_{k}" for k in self.keys], d, hot)
+            on += meet
         return left.join(right, reduce(lambda a, b: a & b, on), how)
 
     def zip(self, that: IntervalFrame, *, suffix: str = "_2") -> IntervalFrame:
@@ -324,18 +408,18 @@ class IntervalFrame:
         """Outer pairs on the common grid, with defaults for the missing side; not coalesced."""
         names = {v: v if v not in self.values else v + suffix for v in that.values}
 
-        def aggs(v: list[Column]) -> list[Column]:
-            mine = [F.when(F.max(v[0]["_here"]), F.max(v[0][c])).otherwise(F.lit(this_default[c])).alias(c) for c in self.values]
-            return mine + [F.when(F.max(v[1]["_here"]), F.max(v[1][c])).otherwise(F.lit(that_default[c])).alias(n) for c, n in names.items()]
+        def aggs(v: list[Column], one: Callable[[Column], Column]) -> list[Column]:
+            mine = [F.when(one(v[0]["_here"]), one(v[0][c])).otherwise(F.lit(this_default[c])).alias(c) for c in self.values]
+            return mine + [F.when(one(v[1]["_here"]), one(v[1][c])).otherwise(F.lit(that_default[c])).alias(n) for c, n in names.items()]
 
         return IntervalFrame(self._overlay([that], aggs), self.dims, (*self.values, *names.values()), self.keys)
 
     def overlay(self, that: IntervalFrame, handle: Callable[[Column, Column, Column, Column], Column], *, both_missing: bool = False, name: str = "value") -> IntervalFrame:
         """handle(has this, this, has that, that) on each cell of the common grid; null drops the cell. both_missing adds cells that neither covers. Not coalesced. One value column a side."""
 
-        def aggs(v: list[Column]) -> list[Column]:
-            here = [F.coalesce(F.max(x["_here"]), F.lit(False)) for x in v]
-            val = [F.max(x[f.values[0]]) if f.values else F.lit(None) for x, f in zip(v, (self, that), strict=True)]
+        def aggs(v: list[Column], one: Callable[[Column], Column]) -> list[Column]:
+            here = [F.coalesce(one(x["_here"]), F.lit(False)) for x in v]
+            val = [one(x[f.values[0]]) if f.values else F.lit(None) for x, f in zip(v, (self, that), strict=True)]
             return [here[0].alias("_a"), val[0].alias("_x"), here[1].alias("_b"), val[1].alias("_y")]
 
         cells = self._overlay([that], aggs, universe=both_missing)
@@ -345,13 +429,13 @@ class IntervalFrame:
     def _cells_with(self, that: IntervalFrame, *, universe: bool = False) -> DataFrame:
         """Cells with flags _a (this covers), _b (that covers), this's values and that's as _r_*. Rows of either side are disjoint."""
 
-        def aggs(v: list[Column]) -> list[Column]:
+        def aggs(v: list[Column], one: Callable[[Column], Column]) -> list[Column]:
             return [
-                F.coalesce(F.max(v[0]["_here"]), F.lit(False)).alias("_a"), F.coalesce(F.max(v[1]["_here"]), F.lit(False)).alias("_b"),
-                *[F.max(v[0][c]).alias(c) for c in self.values], *[F.max(v[1][c]).alias(f"_r_{c}") for c in that.values],
+                F.coalesce(one(v[0]["_here"]), F.lit(False)).alias("_a"), F.coalesce(one(v[1]["_here"]), F.lit(False)).alias("_b"),
+                *[one(v[0][c]).alias(c) for c in self.values], *[one(v[1][c]).alias(f"_r_{c}") for c in that.values],
             ]
 
-        return self._overlay([that], aggs, universe=universe)
+        return self._overlay([that], aggs, universe=universe, nested=True)
 
     def difference(self, that: IntervalFrame) -> IntervalFrame:
         """What that doesn't cover; values of that are no matter."""
@@ -391,7 +475,7 @@ class IntervalFrame:
         both = self.df.select(*self.keys, *self.bounds, *self.values, F.lit(0).alias("_w"), F.lit(None).alias("_s")).unionByName(
             rows.df_full.select(*self.keys, *self.bounds, *self.values, F.lit(1).alias("_w"), by.alias("_s"))
         )
-        cells = self._split(both).groupBy(*self.keys, *self.bounds).agg(F.max_by(F.struct(*self.values), F.struct("_w", "_s")).alias("_v"))
+        cells = self._nested(both).groupBy(*self.keys, *self.bounds).agg(F.max_by(F.struct(*self.values), F.struct("_w", "_s")).alias("_v"))
         return self._with(cells.select(*self.keys, *self.bounds, *[F.col("_v")[v].alias(v) for v in self.values])).coalesce()
 
     @property
@@ -482,7 +566,7 @@ class IntervalFrame:
 
     def merge_many(self, rows: IntervalFrame, aggregate: dict[str, Callable[[Column], Column]]) -> IntervalFrame:
         """Rows that may overlap one another and this, combined by an aggregate of each value (F.sum, F.max, ...)."""
-        cells = self._split(self.df.unionByName(rows.df))
+        cells = self._nested(self.df.unionByName(rows.df))
         return self._with(cells.groupBy(*self.keys, *self.bounds).agg(*[aggregate[v](_col(v)).alias(v) for v in self.values])).coalesce()
 
     def merge_fold(self, rows: IntervalFrame, op: Callable[[Column, Column], Column], *, order: Column | None = None) -> IntervalFrame:
@@ -490,7 +574,7 @@ class IntervalFrame:
         v = self.values[0]
         by = order if order is not None else F.struct(*[_col(d.lo).alias(f"o{k}") for k, d in enumerate(self.dims)])
         both = self.df.withColumn("_s", F.struct(F.lit(0).alias("w"), F.lit(None).alias("s"))).unionByName(rows.df_full.select(*self.columns, F.struct(F.lit(1).alias("w"), by.alias("s")).alias("_s")))
-        listed = self._split(both).groupBy(*self.keys, *self.bounds).agg(F.transform(F.sort_array(F.collect_list(F.struct("_s", v))), lambda x: x[v]).alias("_l"))
+        listed = self._nested(both).groupBy(*self.keys, *self.bounds).agg(F.transform(F.sort_array(F.collect_list(F.struct("_s", v))), lambda x: x[v]).alias("_l"))
         return self._with(listed.withColumn(v, F.aggregate(F.slice("_l", 2, F.size("_l")), F.element_at("_l", 1), op))).coalesce()
 
     # --- differences as actions ---
@@ -603,6 +687,10 @@ class IntervalFrame:
         """The reduced measures of each key's rows."""
         return self.measured("_m").groupBy(*self.keys).agg(aggregate(f(F.col("_m"))).alias("measure"))
 
+    def covered_measure(self) -> DataFrame:
+        """The measure of what each key's rows cover, however often: of the canonical region."""
+        return Shape(self.df, self.dims, (), self.keys).recompress_all().map_reduce_measure()
+
     def convolved_in(self, name: str, kernel: list[tuple[Span, float]], center, epsilon: float, *, discrete_step: bool = True) -> IntervalFrame:
         """Riemann-sum convolution along a dimension of one numeric value: for each kernel piece and step, the rows moved by the offset from the centre, times value and step, added up."""
         from ..functions.cuts import steps
@@ -643,7 +731,7 @@ class Shape(IntervalFrame):
         return Shape(self.df.unionByName(that.df.select(*self.columns)), self.dims, (), self.keys).recompress_all()
 
     def _split_once(self) -> Shape:
-        return Shape(self._split(self.df).distinct(), self.dims, (), self.keys)
+        return Shape(self._nested(self.df).distinct(), self.dims, (), self.keys)
 
     def recompress_all(self, *grid: IntervalFrame) -> Shape:
         """The canonical region; in one dimension islands alone do it."""
@@ -739,28 +827,10 @@ class Shape(IntervalFrame):
         return names[0] if inner.touches_shape(outer.complement()) else names[1]
 
     def components(self) -> DataFrame:
-        """Rows with `component`, a number for each connected part of a key. In one dimension islands are the parts: windows alone. In several, labels spread along touching pairs and jump to the labels of their labels, so rounds grow with the logarithm of a chain's length; each round is a table in the shared folder."""
-        from ..sources.staging import stage
-
+        """Rows with `component`, a number for each connected part of a key. In one dimension islands are the parts: windows alone. In several, boxes are joined inside tiles, and tiles by the boxes that cross their borders (see `tiles`)."""
         if len(self.dims) == 1:
             return self._islands(self.df, self.dims[0], list(self.keys), name="component")
-        number = F.xxhash64(*self.keys, *self.bounds)  # rows of a key are different boxes
-        rows = stage(self.df.dropDuplicates().withColumn("component", number), "regions")
-        met = Shape(rows, self.dims, (), self.keys)._joined(Shape(rows, self.dims, (), self.keys), test=connected)
-        pairs = stage(met.select(F.xxhash64(*self.keys, *self.bounds).alias("a"), F.xxhash64(*[_col(f"_r_{c}") for c in self.columns]).alias("b")).filter("a <> b"), "touching")
-        labels = stage(rows.select(F.col("component").alias("i"), F.col("component").alias("c")), "labels")
-        while True:
-            near = pairs.join(labels, pairs.b == labels.i).groupBy("a").agg(F.min("c").alias("n"))
-            least = labels.join(near, labels.i == near.a, "left").select("i", "c", F.least("c", F.coalesce("n", "c")).alias("n"))
-            hop = labels.select(F.col("i").alias("_i"), F.col("c").alias("_c"))
-            # the label's own label, and what its neighbours lent it
-            lent = least.groupBy(F.col("c").alias("_l")).agg(F.min("n").alias("_m"))
-            new = least.join(hop, F.col("n") == F.col("_i")).join(lent, F.col("i") == F.col("_l"), "left").select("i", "c", F.least("n", "_c", F.coalesce("_m", "n")).alias("n"))
-            new = stage(new, "labels")
-            labels = new.select("i", F.col("n").alias("c"))
-            if new.filter("n <> c").isEmpty():
-                break
-        return rows.join(labels, F.col("component") == F.col("i")).select(*self.columns, F.col("c").alias("component"))
+        return tiles.components(self.df, list(self.dims), list(self.keys), skewed=self.skewed)
 
     def contiguous_subshapes(self) -> Shape:
         """The connected parts as one table of regions: `component` is a further key."""
@@ -789,6 +859,15 @@ class Shape(IntervalFrame):
     def is_solid(self) -> bool:
         return self.is_contiguous() and self.cavities().isEmpty()
 
+    def topology(self) -> DataFrame:
+        """Per key: whether its region is contiguous, its number of cavities, whether it is solid (contiguous, without cavities) and whether it is bounded."""
+        edge = reduce(lambda a, b: a | b, [s.dim.is_first(s.lo) | s.dim.is_last(s.hi) for s in self.box()])
+        whole = self.components().groupBy(*self.keys).agg((F.count_distinct("component") == 1).alias("contiguous"), (~F.max(edge)).alias("bounded"))
+        holes = self.cavities().groupBy(*[_col(k).alias(f"_h_{k}") for k in self.keys]).agg(F.count_distinct("component").alias("_n"))
+        on = reduce(lambda a, b: a & b, [_col(k).eqNullSafe(_col(f"_h_{k}")) for k in self.keys], F.lit(True))
+        n = F.coalesce("_n", F.lit(0)).alias("cavities")
+        return whole.join(holes, on, "left").select(*self.keys, "contiguous", n, (F.col("contiguous") & (F.coalesce("_n", F.lit(0)) == 0)).alias("solid"), "bounded")
+
     def is_bounded(self) -> bool:
         return self.df.filter(reduce(lambda a, b: a | b, [s.dim.is_first(s.lo) | s.dim.is_last(s.hi) for s in self.box()])).isEmpty()
 
@@ -833,7 +912,7 @@ class Multi(IntervalFrame):
     def from_single(cls, rows: IntervalFrame) -> Multi:
         """From rows of single values that may overlap."""
         v = rows.values[0]
-        cells = rows._split(rows.df).groupBy(*rows.keys, *rows.bounds).agg(F.array_sort(F.collect_set(v)).alias(v))
+        cells = rows._nested(rows.df).groupBy(*rows.keys, *rows.bounds).agg(F.array_sort(F.collect_set(v)).alias(v))
         return cls(cells, rows.dims, rows.values, rows.keys).coalesce()
 
     def single(self) -> IntervalFrame:
@@ -876,7 +955,8 @@ class Monoid(IntervalFrame):
         super().__init__(df, dims, values, keys, hot=hot)
 
     def _with(self, df: DataFrame, **change) -> Monoid:
-        return Monoid(df, change.get("dims", self.dims), change.get("values", self.values), change.get("keys", self.keys), hot=self.hot, aggregate=self.aggregate, identity=self.identity)
+        out = Monoid(df, change.get("dims", self.dims), change.get("values", self.values), change.get("keys", self.keys), hot=self.hot, aggregate=self.aggregate, identity=self.identity)
+        return out.on_keys(skewed=self.skewed)
 
     def union(self, that: IntervalFrame) -> Monoid:
         return self.merge_many(that, {v: self.aggregate for v in self.values})

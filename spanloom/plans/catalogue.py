@@ -343,7 +343,7 @@ SELECT r.o_custkey, s0.a day_lo, s0.b day_hi, s1.qa qty_lo, s1.qb qty_hi, CAST(c
 def cells_2d(spark, d):
     """Cells of overlapping boxes with their depth: the canonical atoms of a two-dimensional monoid."""
     f = _boxes(spark, d)
-    cells = f._split(f.df).groupBy(*f.keys, *f.bounds).agg(F.sum("value").alias("value"))
+    cells = f.atoms().df.groupBy(*f.keys, *f.bounds).agg(F.sum("value").alias("value"))
     return shown(f, df=cells)
 
 
@@ -495,6 +495,6 @@ def decompress_counts(spark, d):
     return cells.agg(F.count("*").alias("cells"), F.count_if(F.expr("_a and _b")).alias("both_sides"))
 
 
-from . import each  # noqa: E402  registers the queries that take the operators one by one
+from . import each, space  # noqa: E402  register the queries that take the operators one by one, and those of many dimensions and large keys
 
-__all__ = ["QUERIES", "SQL", "each"]
+__all__ = ["QUERIES", "SQL", "each", "space"]
