@@ -51,7 +51,7 @@ def fold(frame: IntervalFrame, lift: Column, combine: Callable[[Column, Column],
 
 def _folded(order: str, combine: Callable[[Column, Column], Column]) -> Column:
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, "_s"))), lambda x: x["_s"])
-    return F.aggregate(F.slice(listed, 2, F.size(listed)), F.element_at(listed, 1), combine).alias("_s")
+    return F.aggregate(F.slice(listed, 2, F.size(listed)), F.element_at(listed, 1), lambda a, b: combine(a, b)).alias("_s")
 
 
 def fold_stream(frame: IntervalFrame, start: Callable[[], Any], step: Callable[[Any, dict], Any], finish: Callable[[Any], Any], result: str, *, name: str = "result") -> DataFrame:

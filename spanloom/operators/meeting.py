@@ -45,11 +45,11 @@ def number(d: Dim, c: Column) -> Column:
 
 
 def estimate(*tables: DataFrame) -> int:
-    """Bytes that the optimizer expects of what the tables are read from; sources of unknown size count nothing."""
-    sizes = []
+    """Bytes that the optimizer expects of what the tables are read from, each source once; sources of unknown size count nothing."""
+    sizes = set()
     for t in tables:
         leaves = t._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes += [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        sizes |= {int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())}
     return sum(s for s in sizes if s < 1 << 60)
 
 

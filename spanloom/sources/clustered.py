@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cuts import Box, Dim, Span, contains_point, intersects
+from ..functions.cuts import BOTTOM, TOP, Box, Dim, Span, contains_point, intersects
 from ..operators.frame import IntervalFrame
 from ..operators.meeting import number
 from .staging import shared_folder
@@ -110,7 +110,8 @@ class Clustered:
 
     def get_data_at(self, *point) -> IntervalFrame:
         """The rows that hold at a point."""
-        spans = [Span(d, d.start(p), d.end(p)) for d, p in zip(self.dims, point, strict=True)]
+        edges = lambda d: {BOTTOM: (d.first, d.first), TOP: (d.last, d.last)}
+        spans = [Span(d, *(edges(d)[p] if p in (BOTTOM, TOP) else (d.start(p), d.end(p)))) for d, p in zip(self.dims, point, strict=True)]
         return self._pruned(self._bounds(spans), contains_point(self._box(), point))
 
     def get_intersecting(self, box: Box | Span) -> IntervalFrame:
