@@ -709,6 +709,32 @@ class IntervalFrame:
         return base.merge_many(self._with(rows), {v: F.sum})
 
 
+    def convolved_running(self, name: str, kernel: list[tuple[Span, int]], center) -> IntervalFrame:
+        """convolved_in of a discrete dimension by steps of one, for whole values and weights: a kernel piece is the difference of the signal's running sum at two shifts, so a row makes four events a piece however wide the piece is. Between two events the result is a straight line: one row where it is level, one a step where it climbs."""
+        d = next(x for x in self.dims if x.name == name)
+        v, same = self.values[0], [*self.keys, *[c for x in self.dims if x is not d for c in (x.lo, x.hi)]]
+        events = []
+        for span, k in kernel:
+            first, last = d.minus(span.lo, d.start(center)), d.minus(span.hi, d.start(center))
+            # the kernel's weight at an offset carries the signal from there to the centre
+            for cut, sign in ((d.lo, 1), (d.hi, -1)):
+                for shift, way in ((first, 1), (last, -1)):
+                    moved = displaced(Span(d, _col(cut), _col(cut)), F.lit(-shift)).lo
+                    events.append(F.struct(moved.alias("c"), (_col(v) * (-sign * way * k)).alias("x"), F.lit(-sign * way).alias("n")))
+        at = self.df.select(*same, F.explode(F.array(*events)).alias("e")).groupBy(*same, F.col("e.c").alias("_c")).agg(F.sum("e.x").alias("_x"), F.sum("e.n").alias("_n"))
+        w = Window.partitionBy(*same, *([] if same else [F.lit(0)])).orderBy("_c")
+        run = at.select(*same, "_c", F.lead("_c").over(w).alias("_to"), F.sum("_x").over(w).alias("_x"), F.sum("_n").over(w).alias("_n")).filter("_to is not null")
+        long = d.minus(F.col("_to"), F.col("_c"))
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        run = run.withColumn("_long", long).withColumns({"_y": F.coalesce(F.sum(F.col("_x") * F.col("_long")).over(before), F.lit(0)), "_m": F.coalesce(F.sum(F.col("_n") * F.col("_long")).over(before), F.lit(0))})
+        level = (F.col("_x") == 0) & (F.col("_n") == 0)
+        steps = F.when(level, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), (F.col("_long") - 1).cast("bigint")))
+        out = run.withColumn("_i", F.explode(steps)).withColumn("_at", displaced(Span(d, F.col("_c"), F.col("_c")), F.col("_i")).lo)
+        out = out.withColumns({v: F.col("_y") + F.col("_x") * F.col("_i"), "_m": F.col("_m") + F.col("_n") * F.col("_i")}).filter("_m > 0")
+        end = F.when(level, F.col("_to")).otherwise(displaced(Span(d, F.col("_at"), F.col("_at")), F.lit(1)).lo)
+        return self._with(out.select(*same, F.col("_at").alias(d.lo), end.alias(d.hi), v)).coalesce()
+
+
 class Shape(IntervalFrame):
     """A region: boxes without values, with Boolean algebra, topology and morphology. Keys make it many regions."""
 
@@ -826,6 +852,25 @@ class Shape(IntervalFrame):
         inner, outer, names = (self, that, ("TPP", "NTPP")) if b else (that, self, ("TPPi", "NTPPi"))
         return names[0] if inner.touches_shape(outer.complement()) else names[1]
 
+    def relations(self, that: Shape) -> DataFrame:
+        """(keys, relation): RCC-8 between the two regions of each key that either has. Cells in one, the other and both decide; where they share no cell, or one holds the other, touching rows tell whether edges meet."""
+        flags = self._cells_with(that).groupBy(*self.keys).agg(
+            F.count_if(F.expr("_a and not _b")).alias("_na"), F.count_if(F.expr("_b and not _a")).alias("_nb"), F.count_if(F.expr("_a and _b")).alias("_both"),
+        )
+
+        def touching(x: Shape, y: Shape, name: str) -> DataFrame:
+            return x._joined(y, test=touches).select(*[_col(k).alias(f"_{name}_{k}") for k in self.keys], F.lit(True).alias(name)).distinct()
+
+        for name, x, y in (("edge", self, that), ("inner", self, that.complement()), ("outer", that, self.complement())):
+            more = touching(x, y, name)
+            flags = flags.join(more, reduce(lambda p, q: p & q, [_col(k).eqNullSafe(_col(f"_{name}_{k}")) for k in self.keys], F.lit(True)), "left").drop(*[f"_{name}_{k}" for k in self.keys])
+        relation = (
+            F.when(F.col("_both") == 0, F.when(F.col("edge") & (F.col("_na") > 0) & (F.col("_nb") > 0), "EC").otherwise("DC"))
+            .when((F.col("_na") == 0) & (F.col("_nb") == 0), "EQ").when((F.col("_na") > 0) & (F.col("_nb") > 0), "PO")
+            .when(F.col("_nb") > 0, F.when(F.col("inner"), "TPP").otherwise("NTPP")).otherwise(F.when(F.col("outer"), "TPPi").otherwise("NTPPi"))
+        )
+        return flags.select(*self.keys, relation.alias("relation"))
+
     def components(self) -> DataFrame:
         """Rows with `component`, a number for each connected part of a key. In one dimension islands are the parts: windows alone. In several, boxes are joined inside tiles, and tiles by the boxes that cross their borders (see `tiles`)."""
         if len(self.dims) == 1:
@@ -976,7 +1021,11 @@ class Monoid(IntervalFrame):
         return self.collapse(name, {v: self.aggregate for v in self.values})
 
     @classmethod
-    def universe(cls, spark: SparkSession, dims: Iterable[Dim], identity, value_type: str) -> Monoid:
+    def universe(cls, spark: SparkSession, dims: Iterable[Dim], identity, value_type: str, *, of: DataFrame | None = None) -> Monoid:
+        """The identity everywhere; `of` has the keys of the structures, one without keys by default."""
+        if of is not None:
+            base = IntervalFrame.from_df(of.distinct().withColumn("value", F.lit(identity).cast(value_type)), {d: (BOTTOM, TOP) for d in dims}, keys=of.columns)
+            return cls(base.df, base.dims, keys=base.keys, identity=identity)
         base = IntervalFrame.of_value(spark, dims, identity, value_type)
         return cls(base.df, base.dims, identity=identity)
 

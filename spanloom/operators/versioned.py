@@ -6,11 +6,13 @@ is written as unapproved (the greatest version) waits until it is approved. Cloc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cuts import TOP, Box, Dim, Span, equivalent, interval, interval_from
@@ -137,6 +139,15 @@ class Versioned:
         whole = removed.extrude(0, interval(VERSION, self.current, TOP))
         return out._do(out.frame.difference(whole))
 
+    def approve_rows(self, rows: IntervalFrame) -> Versioned:
+        """approve, row by row and key by key: a row becomes current if the first unapproved row of its key that meets its box is exactly it; all others change nothing."""
+        waiting = self._waiting()
+        met = rows._joined(waiting)
+        first = Window.partitionBy(*rows.keys, *rows.bounds, *rows.values).orderBy(*[f"_r_{d.lo}" for d in rows.dims])
+        same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`")) for c in [*rows.bounds, *rows.values]])
+        exact = met.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") == 1).filter(same)
+        return self.set_many(rows._with(exact.select(*rows.columns)))
+
     # --- whole tables ---
     def merge(self, that: Versioned, combine: dict[str, Callable[[Column, Column], Column]] | None = None) -> Versioned:
         """Merged data; of both logs the later time of a version, comments joined by &."""
@@ -255,3 +266,70 @@ class Variable:
 
     def history(self) -> DataFrame:
         return self.frame.get_all()
+
+
+class Variables:
+    """Many variables, one a key: the table of their histories, one row a value and its time in whole nanoseconds."""
+
+    TIME = Variable.TIME
+
+    def __init__(self, frame: IntervalFrame):
+        self.frame = frame
+
+    @classmethod
+    def from_changes(cls, changes: DataFrame, keys: list[str], *, time: Column, value: Column, order: list[Column], initial: Any) -> Variables:
+        """Each change sets its key's variable, in order; a change whose clock didn't advance since the last one comes ten nanoseconds after it, and setting the value that holds changes nothing. Before the first change the initial value holds. Sorted rows, with the state of a key carried from batch to batch."""
+        rows = changes.select(*keys, time.cast("bigint").alias("_now"), value.alias("value"), F.struct(*order).alias("_o"))
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys, "_o").drop("_o")
+        d = cls.TIME
+        every = rows.select(*keys).distinct()
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_now")
+
+        def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, last, held = None, None, None
+            for batch in batches:
+                kept, at = [], []
+                for i, (*key, now, v) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                    if here != key:
+                        here, last, held = key, None, initial
+                    if v != held:
+                        last, held = now if last is None or now > last else last + 10, v
+                        kept.append(i)
+                        at.append(last)
+                out = batch.take(pa.array(kept, pa.int64()))
+                yield pa.record_batch([*[out.column(k) for k in keys], out.column("value"), pa.array(at, pa.int64())], [*keys, "value", "_at"])
+
+        sets = rows.mapInArrow(timed, f"{kinds}, _at bigint")
+        begins = sets.select(*keys, F.col("_at").alias(d.lo), "value").unionByName(every.select(*keys, F.lit(d.first).alias(d.lo), F.lit(initial).cast(rows.schema["value"].dataType).alias("value")))
+        ends = F.coalesce(F.lead(d.lo).over(Window.partitionBy(*keys).orderBy(d.lo)), F.lit(d.last))
+        return cls(IntervalFrame(begins.withColumn(d.hi, ends), [d], ["value"], keys))
+
+    def history(self) -> DataFrame:
+        return self.frame.get_all()
+
+    def get(self) -> DataFrame:
+        """(keys, value) now."""
+        return self.frame.get_at(TOP)
+
+    def get_at(self, time_ns: int) -> DataFrame:
+        return self.frame.get_at(time_ns)
+
+    def last_changes(self) -> DataFrame:
+        """(keys, changed, prior): when each variable last changed (null if never) and its value before."""
+        d = self.TIME
+        w = Window.partitionBy(*self.frame.keys).orderBy(d.lo)
+        prior = self.frame.df.withColumn("prior", F.lag("value").over(w))
+        return prior.filter(F.col(d.hi) == d.last).select(*self.frame.keys, F.when(F.col(d.lo) != d.first, F.col(d.lo)).alias("changed"), "prior")
+
+    def unset(self) -> Variables:
+        """Undoes each variable's last change; those that never changed stay."""
+        d = self.TIME
+        w = Window.partitionBy(*self.frame.keys).orderBy(d.lo)
+        marked = self.frame.df.withColumns({"_next": F.lead(d.lo).over(w), "_last": F.max(d.lo).over(Window.partitionBy(*self.frame.keys))})
+        kept = marked.filter((F.col(d.lo) < F.col("_last")) | (F.col(d.lo) == d.first)).withColumn(d.hi, F.when(F.col("_next") == F.col("_last"), F.lit(d.last)).otherwise(F.col(d.hi)))
+        return Variables(self.frame._with(kept))
+
+    def reset(self) -> Variables:
+        """Forgets history and keeps the present values."""
+        d = self.TIME
+        return Variables(self.frame._with(self.frame.df.filter(F.col(d.hi) == d.last).withColumn(d.lo, F.lit(d.first))))

@@ -750,16 +750,16 @@ def json_actions(spark, d):
     return shown(codec.upsert_by_start(old, codec.actions_from_json(texts, [DAY], keys=("o_custkey",))))
 
 
-@query("SELECT 'c' AS now, CAST(3 AS BIGINT) AS n, CAST(1 AS BIGINT) AS current, CAST(2 AS BIGINT) AS n_rows, 'path/to/[1]/x/[*]/y/[0:4]/z/[1:]' AS path, 'prefix' AS compared, CAST(5 AS BIGINT) AS monoid FROM range(1)")
+@query("SELECT 'c' AS now, CAST(3 AS BIGINT) AS n, CAST(1 AS BIGINT) AS current, CAST(2 AS BIGINT) AS n_rows, 'orders/[*]/lines/[2:]/parts/[0:3]/[7]' AS path, 'prefix' AS compared, CAST(5 AS BIGINT) AS monoid FROM range(1)")
 def json_documents(spark, d):
     """Variables, versioned data and monoids as JSON documents; parsed paths and their comparison."""
     v = codec.variable_from_json(codec.variable_json(Variable.of(spark, "a").set("b", now=100).set("c", now=100)))
     w = Versioned.from_frame(IntervalFrame.of(spark, [DAY], [(interval(DAY, B1, B2), "x")]), now=0).increment(now=1).set(interval(DAY, B2, TOP), "y")
     back = codec.versioned_from_json(spark, codec.versioned_json(w).first()[0], [DAY])
     m = Shape.of_boxes(spark, [SEC], [interval(SEC, 0, 9)]).with_monoid_value(5)
-    path = codec.parse_path("path/to/1/x[*]/y/[:4]/z/[1:]")
+    path = codec.parse_path("orders[*]/lines[2:]/parts[:3]/7")
     monoid = codec.monoid_from_json(codec.to_json(m), [SEC], "bigint")
-    return one_row(spark, now=v.get(), n=v.history().count(), current=back.current, n_rows=back.selected().size(), path=codec.path_text(path), compared=codec.compare(path, codec.parse_path("path/to")), monoid=int(monoid.get_at(3).first()[0]))
+    return one_row(spark, now=v.get(), n=v.history().count(), current=back.current, n_rows=back.selected().size(), path=codec.path_text(path), compared=codec.compare(path, codec.parse_path("orders")), monoid=int(monoid.get_at(3).first()[0]))
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")

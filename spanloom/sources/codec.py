@@ -223,20 +223,25 @@ def compare(path: list[Step], at: list[str | int | Step]) -> str:
 
 
 def _down(found: Column, s: Step) -> Column:
-    """The nodes one step further down."""
+    """The variants one step further down."""
     if s.key is not None:
-        return F.transform(found, lambda x: F.get_json_object(x, f"$['{s.key}']"))
-    n = F.lit(s.end - s.begin if s.end is not None else (1 << 31) - 1)
-    each = F.transform(found, lambda x: F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>")))
+        return F.transform(found, lambda x: F.try_variant_get(x, f"$['{s.key}']", "variant"))
+    n = F.lit(s.end - s.begin if s.end is not None else (1 << 31) - 2 - s.begin)
+    each = F.transform(found, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>")))
     return F.flatten(F.transform(each, lambda x: F.slice(x, s.begin + 1, n)))
 
 
-def fold_path(text: Column, path: str, zero: Column, op, element_type: str = "string") -> Column:
-    """A fold over the JSON nodes at a path, inside one expression: arrays on the way are sliced and flattened."""
-    found: Any = F.array(text)
+def nodes_at(text: Column, path: str) -> Column:
+    """The JSON nodes at a path as an array of variants: the text is parsed once, arrays on the way are sliced and flattened, and JSON nulls count as absent. Texts that are no JSON have no nodes."""
+    found: Any = F.array(F.try_parse_json(text))
     for s in parse_path(path):
-        found = F.filter(_down(found, s), lambda x: x.isNotNull())
-    return F.aggregate(found, zero, lambda a, x: op(a, x.cast(element_type)))
+        found = _down(found, s)
+    return F.filter(found, lambda x: x.isNotNull() & ~F.is_variant_null(x))
+
+
+def fold_path(text: Column, path: str, zero: Column, op, element_type: str = "string") -> Column:
+    """A fold over the JSON nodes at a path, inside one expression."""
+    return F.aggregate(nodes_at(text, path), zero, lambda a, x: op(a, x.cast(element_type)))
 
 
 # --- for people ---
