@@ -6,8 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions.cuts import Open, interval
+from ..functions.cuts import Dim, Open, interval
 from ..operators.frame import IntervalFrame, Monoid, Shape
+from ..operators.polynomials import PolynomialFrame, polynomial, term, value
 from ..operators.versioned import UNAPPROVED, Variables, Versioned
 from ..sources import bson, codec
 from .catalogue import DAY, SEC, SESSIONS_SQL, TIMELINE, merged, priority, query, read, sessions, shown
@@ -147,3 +148,40 @@ def convolve_wide(spark, d):
     f = IntervalFrame.from_df(daily, {DAY: (F.col("s"), F.col("s"))})
     base = dt.date(2000, 1, 1)
     return shown(f.convolved_running("day", [(interval(DAY, base - dt.timedelta(5000), base + dt.timedelta(4999)), 1)], base))
+
+
+# --- functions as data ---
+_T, _U = Dim("t", "double", "continuous"), Dim("u", "double", "continuous")
+_PIECES_SQL = """
+ln AS (SELECT o_custkey k, CAST(CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS DOUBLE) a, CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS DOUBLE) b, l_quantity q, round(l_discount * 100) c
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CAST(l_shipdate AS DATE) > CAST(o_orderdate AS DATE)),
+cu AS (SELECT k, a t FROM ln UNION SELECT k, b FROM ln), se AS (SELECT k, t a, lead(t) OVER (PARTITION BY k ORDER BY t) b FROM cu),
+ce AS (SELECT se.k, se.a, se.b, sum(q) c0, sum(c * q * q / 2) c1 FROM se JOIN ln ON ln.k = se.k AND ln.a <= se.a AND se.b <= ln.b GROUP BY ALL)"""
+
+
+def _price(spark, d) -> PolynomialFrame:
+    """A function of time and amount for each line: 1 + c * t * u over the line's days and 0 to its quantity."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit(dt.date(1970, 1, 1))).alias("a"))
+    lines = read(spark, d, "lineitem").withColumn("b", F.datediff(F.col("l_shipdate").cast("date"), F.lit(dt.date(1970, 1, 1)))).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).filter("b > a")
+    rows = lines.select("o_custkey", F.col("a").cast("double"), F.col("b").cast("double"), F.col("l_quantity").alias("q"), polynomial(term(F.lit(1.0), 0, 0), term(F.round(F.col("l_discount") * 100), 1, 1)).alias("value"))
+    return PolynomialFrame(IntervalFrame.from_df(rows, {_T: (F.col("a"), Open(F.col("b"))), _U: (F.lit(0.0), Open(F.col("q")))}, keys=["o_custkey"]))
+
+
+@query(f"WITH {_PIECES_SQL}, {merged('ce', 'k', value=', c0, c1')} SELECT k AS o_custkey, a AS t_from, b AS t_to, c0, c1 FROM out")
+def function_collapse(spark, d):
+    """collapseDimension of functions: the amount integrated away, pieces over one another added, as polynomials in time."""
+    f = _price(spark, d).collapse("u").frame
+    at = lambda x: value(F.col("value"), F.lit(x))
+    return f.df.select("o_custkey", F.col("t_lo.v").alias("t_from"), F.col("t_hi.v").alias("t_to"), at(0.0).alias("c0"), (at(1.0) - at(0.0)).alias("c1"))
+
+
+@query(f"WITH {_PIECES_SQL}, {merged('ce', 'k', value=', c0, c1')} SELECT k AS o_custkey, CAST(count(*) AS BIGINT) AS n, sum(c0 + 3 * c1) AS total, CAST(count(*) FILTER (c1 <> 0) AS BIGINT) AS changed FROM out GROUP BY 1")
+def function_documents(spark, d):
+    """Functions through JSON and back, and the actions that turn every slope round: equal pieces are equal values, so level ones need none."""
+    f = _price(spark, d).collapse("u")
+    back = PolynomialFrame.from_json(f.to_json(), f)
+    # with the slope turned round, only level pieces stay as they are
+    turned = f._do(f.frame._with(f.frame.df.withColumn("value", F.transform("value", lambda t: F.struct(t["p"].alias("p"), F.when(F.get(t["p"], F.lit(0)) == 1, -t["c"]).otherwise(t["c"]).alias("c"))))))
+    acts = turned.diff_actions_from(back).groupBy("o_custkey").agg(F.count("*").alias("changed"))
+    sums = back.frame.df.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(value(F.col("value"), F.lit(3.0))).alias("total"))
+    return sums.join(acts, "o_custkey", "left").select("o_custkey", "n", "total", F.coalesce("changed", F.lit(0)).alias("changed"))
