@@ -89,7 +89,7 @@ def _rows(df):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_catalogue_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "orders", "lineitem", "events", "part"):
+    for t in ("customer", "orders", "lineitem", "events", "part", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     a, b = QUERIES[name](spark, DATA).toPandas(), con.sql(SQL[name]).df()
     (na, ra), (nb, rb) = _rows(a), _rows(b)
