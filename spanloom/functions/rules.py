@@ -79,11 +79,22 @@ class Rule:
 ANYTHING = Rule(lambda a: F.lit(True))
 
 
+class Own:
+    """A value to compare with that comes from the fact itself: an attribute of a name and kind (the first, if it has several), changed by a function of Columns. A fact without it passes no comparison."""
+
+    def __init__(self, name: str, kind: str, change: Callable[[Column], Column] = lambda v: v):
+        self.name, self.kind, self.change = name, kind, change
+
+    def of(self, attrs: Column) -> Column:
+        return self.change(F.get(F.filter(attrs, lambda x: (x["name"] == self.name) & (x["type"] == self.kind)), F.lit(0))[self.kind])
+
+
 def _match(name: str, value, compare: Callable[[Column, Column], Column], kinds: tuple[str, ...]) -> Rule:
-    kind = kind_of(value)
+    kind = value.kind if isinstance(value, Own) else kind_of(value)
     if kind not in kinds:
         raise TypeError(f"{kind} attributes can't be compared that way")
-    return Rule(lambda a: F.exists(a, lambda x: (x["name"] == name) & (x["type"] == kind) & F.coalesce(compare(x[kind], F.lit(value)), F.lit(False))))
+    to = value.of if isinstance(value, Own) else lambda a: F.lit(value)
+    return Rule(lambda a: F.exists(a, lambda x: (x["name"] == name) & (x["type"] == kind) & F.coalesce(compare(x[kind], to(a)), F.lit(False))))
 
 
 def equals(name: str, value) -> Rule:
@@ -148,12 +159,17 @@ def select(rule: Rule) -> Filter:
     return lambda f: f.filter(rule())
 
 
+def _changed(change: Callable[[Column], Column]) -> Filter:
+    """Attributes are named once, as the variable of a function: else each step of a chain would repeat all steps before it, wherever filters are pushed down."""
+    return lambda f: f.withColumn("attributes", F.get(F.transform(F.array("attributes"), change), F.lit(0)))
+
+
 def augment(rule: Rule, more: Column, style: str = "keeping_all") -> Filter:
-    return lambda f: f.withColumn("attributes", F.when(rule(), merge(F.col("attributes"), more, style)).otherwise(F.col("attributes")))
+    return _changed(lambda a: F.when(rule(a), merge(a, more, style)).otherwise(a))
 
 
 def redact(rule: Rule, names: list[str]) -> Filter:
-    return lambda f: f.withColumn("attributes", F.when(rule(), F.filter("attributes", lambda a: ~a["name"].isin(names))).otherwise(F.col("attributes")))
+    return _changed(lambda a: F.when(rule(a), F.filter(a, lambda x: ~x["name"].isin(names))).otherwise(a))
 
 
 def exclude(ids: list[str]) -> Filter:
@@ -167,3 +183,12 @@ def either(*filters: Filter, style: str = "keeping_all") -> Filter:
 
 def chain(*filters: Filter) -> Filter:
     return lambda f: reduce(lambda a, g: g(a), filters, f)
+
+
+# --- facts over time ---
+def progress(facts: DataFrame, recorded: str) -> DataFrame:
+    """(id, name, value, at): each attribute of facts as text with the day that the fact was recorded on (its date attribute of that name, which is no row itself). Facts without that day are left out."""
+    at = F.get(F.filter("attributes", lambda x: (x["name"] == recorded) & (x["type"] == "date")), 0)["date"]
+    each = facts.select("id", at.alias("at"), F.explode("attributes").alias("a")).filter((F.col("a.name") != recorded) & F.col("at").isNotNull())
+    text = F.coalesce(*[F.col(f"a.{k}").cast("string") for k in _KINDS])
+    return each.select("id", F.col("a.name").alias("name"), text.alias("value"), "at")

@@ -589,6 +589,28 @@ class IntervalFrame:
         action = F.when(F.col("_o").isNull(), "Create").when(F.col("_n").isNull(), "Delete").when(~same, "Update")
         return both.select(action.alias("action"), *[F.coalesce(_col(c), _col(f"_o_{c}")).alias(c) if c in start else _col(c) for c in self.columns]).filter("action is not null")
 
+    def signed_changes_from(self, old: IntervalFrame, *, sign: str = "sign") -> DataFrame:
+        """What came (1) and what went (-1) since old, by start: (keys, bounds, values, sign). A new row came, a deleted one went, one of another value did both; of a row of one dimension that only got another end, the stretch between both ends. Measures by value of what came, less of what went, are those of this less those of old."""
+        start = [*self.keys, *[d.lo for d in self.dims]]
+        rest = [c for c in self.columns if c not in start]
+        new = self.df.select(*[_col(c) for c in start], F.struct(*[_col(c) for c in self.columns]).alias("_new"))
+        was = old.df.select(*[_col(c).alias(f"_o_{c}") for c in start], F.struct(*[_col(c) for c in self.columns]).alias("_old"))
+        both = new.join(was, reduce(lambda a, b: a & b, [_col(c).eqNullSafe(_col(f"_o_{c}")) for c in start]), "full_outer")
+        a, b = F.col("_new"), F.col("_old")
+
+        def row(x: Column, n: int, **change: Column) -> Column:
+            return F.struct(*[change.get(c, x[c]).alias(c) for c in self.columns], F.lit(n).alias(sign))
+
+        def alike(names: Iterable[str]) -> Column:
+            return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in names], F.lit(True))
+
+        rows = F.when(b.isNull(), F.array(row(a, 1))).when(a.isNull(), F.array(row(b, -1))).when(~alike(rest), F.array(row(b, -1), row(a, 1)))
+        if len(self.dims) == 1:
+            d = self.dims[0]
+            longer = F.when(a[d.hi] > b[d.hi], F.array(row(a, 1, **{d.lo: b[d.hi]}))).when(a[d.hi] < b[d.hi], F.array(row(b, -1, **{d.lo: a[d.hi]})))
+            rows = F.when(a.isNotNull() & b.isNotNull() & alike(self.values), longer).otherwise(rows)
+        return both.select(F.explode(rows).alias("_r")).select("_r.*")
+
     def apply_diff_actions(self, actions: DataFrame) -> IntervalFrame:
         """Upserts and deletes by start, as they are."""
         start = [*self.keys, *[d.lo for d in self.dims]]
@@ -960,6 +982,15 @@ class Multi(IntervalFrame):
         cells = rows._nested(rows.df).groupBy(*rows.keys, *rows.bounds).agg(F.array_sort(F.collect_set(v)).alias(v))
         return cls(cells, rows.dims, rows.values, rows.keys).coalesce()
 
+    @classmethod
+    def from_writes(cls, rows: IntervalFrame, add: Column, order: Column) -> Multi:
+        """addOne and removeOne of single values, many at once: rows (which may overlap) add their value where `add` holds and take it away otherwise, in order. add and order are Columns over rows' table; rows that it doesn't say to add take away."""
+        v = rows.values[0]
+        done = rows.df_full.select(*rows.keys, *rows.bounds, v, F.coalesce(add, F.lit(False)).alias("_in"), F.struct(order.alias("o")).alias("_at"))
+        flags = IntervalFrame(done, rows.dims, ("_in",), (*rows.keys, v))
+        last = flags._with(flags.df.select(*flags.columns).limit(0)).set_many(flags.carrying(done), order=F.col("_at"))
+        return cls.from_single(IntervalFrame(last.df.filter("_in"), rows.dims, (v,), rows.keys))
+
     def single(self) -> IntervalFrame:
         """One row per element, coalesced."""
         v = self.values[0]

@@ -495,6 +495,6 @@ def decompress_counts(spark, d):
     return cells.agg(F.count("*").alias("cells"), F.count_if(F.expr("_a and _b")).alias("both_sides"))
 
 
-from . import each, outcomes, space  # noqa: E402  register the queries that take the operators one by one, and those of many dimensions and large keys
+from . import each, outcomes, space, worked  # noqa: E402  register the queries that take the operators one by one, those of many dimensions and large keys, and worked examples
 
-__all__ = ["QUERIES", "SQL", "each", "outcomes", "space"]
+__all__ = ["QUERIES", "SQL", "each", "outcomes", "space", "worked"]
