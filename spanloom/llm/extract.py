@@ -9,10 +9,12 @@ from the rest: the containers with more than half of all text of a layout form a
 that are made alike on all pages, with the same number of blocks each time, are fields of the template (menus, adverts,
 notices, footers), while those whose number of blocks varies are slots for text and stay, unless half of their text is
 links. Headings, paragraphs and lists that stand in the chain itself stay. On pages with content elements the slots in
-these are the article, whatever their names. Two guards keep copies of an article on a host: a text is only fixed if pages
-that differ in their candidate text hold it, and if over half of a content element would be fixed, all of it stays.
-Elements that HTML sets apart by meaning (nav, aside, footer, forms, scripts, comments as articles in articles, what is
-hidden) are no article; of class names only whole names that mean adverts or comments count, and on containers only.
+these are the article, whatever their names. Labels repeat by nature: a heading on all pages of a host stays with what it
+stands over, and so do heads of table columns, terms and captions. Two guards keep copies of an article on a host: a text
+is only fixed if pages that differ in their candidate text hold it, and if over half of what a content element has beside
+the template's fields would be fixed, it stays. Elements that HTML sets apart by meaning (nav, aside, footer, forms,
+scripts, comments as articles in articles, what is hidden) are no article, and neither are blocks inside such inline
+elements; of class names only those count that consist of names for adverts or comments alone, and on plain containers only.
 
 Vectors are never gathered: a token's vector is compared by the sum over its pages of a random number of the page times
 the token's count there, so one aggregation by (host, token) finds classes however many pages a host has, with partial
@@ -58,17 +60,22 @@ CONTENT = {"article", "main"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that hold parts of a page; body and html are the root.
 CONTAINERS = {"div", "section", "center", "table", "tbody", "tr", "td", "main", "article", "header"}
-#: Whole class names, ids and roles of containers that hold adverts or what readers write.
-NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "comment", "comments", "contentinfo", "disqus_thread", "navigation", "replies", "search", "sponsored"}
+#: Elements whose class or id sets them apart, if it consists of such names alone; roles do on any container.
+NAMED = {"div", "section", "center", "ul", "ol", "ins"}
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "comment", "comments", "disqus_thread", "navigation", "replies", "sponsored"}
+ROLES = {"banner", "contentinfo", "navigation", "search"}
+#: Elements that name parts of an article, and repeat by nature.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LABELS = {"caption", "dt", "figcaption", "th"}
 
 
 class Block:
-    """A text block: its words, a number for the elements around it, its container, whether it is in a content element or set apart, and how much of it is links."""
+    """A text block: its words, a number for the elements around it, its container, whether it is in a content element or set apart, how much of it is links, and the element that it is the text of (inline ones don't count)."""
 
-    __slots__ = ("apart", "container", "content", "links", "path", "text")
+    __slots__ = ("apart", "container", "content", "links", "name", "path", "text")
 
-    def __init__(self, text: str, path: int, container: int, content: bool, apart: bool, links: int):
-        self.text, self.path, self.container, self.content, self.apart, self.links = text, path, container, content, apart, links
+    def __init__(self, text: str, path: int, container: int, content: bool, apart: bool, links: int, name: str):
+        self.text, self.path, self.container, self.content, self.apart, self.links, self.name = text, path, container, content, apart, links, name
 
 
 def _signature(name: str, attributes: str) -> tuple[str, bool]:
@@ -78,7 +85,8 @@ def _signature(name: str, attributes: str) -> tuple[str, bool]:
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if key in ("class", "id", "role"):
             sig += {"class": ".", "id": "#", "role": "@"}[key] + re.sub(r"\d+", "0", value.strip())
-            apart |= name in CONTAINERS | {"ul", "ol", "ins"} and any(w in NAMES for w in value.lower().split())
+            words = value.lower().split()
+            apart |= bool(words) and (name in CONTAINERS | NAMED and words[0] in ROLES if key == "role" else name in NAMED and all(w in NAMES for w in words))
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             apart |= name not in ("html", "body")
     return sig, apart
@@ -96,7 +104,7 @@ class Page:
         self.blocks: list[Block] = []
         self.tags: Counter = Counter()
         self.containers: list[tuple[int, int, str]] = [(-1, 0, "")]
-        stack: list[tuple[str, int, int, bool, bool, str]] = []  # name, path, container, in content, apart, nearest content element
+        stack: list[tuple[str, int, int, bool, bool, str, int]] = []  # name, path, container, in content, apart, nearest content element, place of the nearest element that isn't inline
         places: Counter = Counter()
         depth: Counter = Counter()  # open elements by name
         held: list[str] = []
@@ -108,8 +116,8 @@ class Page:
                 text = " ".join(html.unescape("".join(held)).split())
                 held.clear()
                 if text:
-                    _, path, container, content, apart, _ = stack[-1] if stack else ("", 0, 0, False, False, "")
-                    self.blocks.append(Block(text, path, container, content, apart, min(linked, len(text))))
+                    _, path, container, content, apart, _, block = stack[-1] if stack else ("", 0, 0, False, False, "", -1)
+                    self.blocks.append(Block(text, path, container, content, apart, min(linked, len(text)), stack[block][0] if block >= 0 else ""))
             linked = 0
 
         at = 0
@@ -137,14 +145,18 @@ class Page:
                 continue
             if name not in INLINE:
                 flush()
-                while stack and (stack[-1][0] in INLINE or name in CLOSES and stack[-1][0] in CLOSES[name]):  # a block ends inline elements left open, a paragraph the one before
-                    depth[gone := stack.pop()[0]] -= 1
-                    if gone not in INLINE:
-                        break
+                # a paragraph ends the one before, with what is open in it; other blocks end inline elements left open, but not those that are set apart: what these hold is set apart too
+                block = stack[-1][6] if stack else -1
+                if block >= 0 and stack[block][0] in CLOSES.get(name, ()):
+                    until = block
+                else:
+                    until = len(stack) if stack and stack[-1][4] else block + 1
+                while len(stack) > until:
+                    depth[stack.pop()[0]] -= 1
             elif name == "br":
                 held.append(" ")
             sig, apart = _signature(name, m[3])
-            _, path, container, content, above, article = stack[-1] if stack else ("", 0, 0, False, False, "")
+            _, path, container, content, above, article, block = stack[-1] if stack else ("", 0, 0, False, False, "", -1)
             if name == "header" and not content or name == "article" and article == "article":  # a site's header; comments are articles in an article
                 apart = True
             if name not in INLINE or apart:
@@ -160,7 +172,7 @@ class Page:
             elif name not in VOID:  # a slash at the end closes nothing in HTML
                 if apart and name in INLINE:
                     flush()
-                stack.append((name, path, container, content or name in CONTENT, above or apart, name if name in CONTENT else article))
+                stack.append((name, path, container, content or name in CONTENT, above or apart, name if name in CONTENT else article, block if name in INLINE else len(stack)))
                 depth[name] += 1
         flush()
 
@@ -256,18 +268,53 @@ def templates(pages: DataFrame, *, least_pages: int = 3, **cols) -> DataFrame:
 Known = tuple[frozenset[int], dict[int, frozenset[int]]]  # fixed texts; fields by layout
 
 
+def _without_fixed(page: Page, some: list[Block], fixed: frozenset[int]) -> list[Block]:
+    """Blocks without the template's fixed texts.
+
+    Labels name what differs from page to page: a heading only goes with all that it stands over, up to the next one, and
+    other labels stay; without content elements a first-level heading that all pages share is the site's. A container in
+    the content element in which everything is fixed is a field of the template. If over half of what is left would be
+    fixed nevertheless, or there is nothing else at all, the pages are copies of one article, and that stays.
+    """
+    hit = [_token("x", b.path, b.text) in fixed for b in some]
+    if not any(hit):
+        return some
+    content = some[0].content
+    for k, b in enumerate(some):
+        hit[k] = hit[k] and b.name not in LABELS
+    over = kept = False  # of the blocks behind, up to the next heading: whether there are any, whether any stays
+    for k in range(len(some) - 1, -1, -1):
+        if some[k].name in HEADINGS:
+            if hit[k] and (content or some[k].name != "h1"):
+                hit[k] = not kept and (over or not content)
+            over = kept = False
+        else:
+            over, kept = True, kept or not hit[k]
+    if all(hit):
+        return some if content else []
+    if not content:
+        return [b for b, h in zip(some, hit, strict=True) if not h]
+    alive = [False] * len(page.containers)  # containers with a block that stays, in them or below
+    for b, h in zip(some, hit, strict=True):
+        alive[b.container] |= not h
+    for k in range(len(alive) - 1, 0, -1):
+        alive[page.containers[k][0]] |= alive[k]
+    rest = [(b, h) for b, h in zip(some, hit, strict=True) if alive[b.container]]
+    left = [b for b, h in rest if not h]
+    if 2 * sum(len(b.text) for b in left) < sum(len(b.text) for b, _ in rest):
+        return [b for b, _ in rest]
+    return left
+
+
 def main_text(text: str | None, known: Known = (frozenset(), {})) -> str:
-    """The article of a page: its candidate blocks without fixed texts and fields. Over half of a content element's text is never fixed: that is a copy."""
+    """The article of a page: its candidate blocks without fixed texts and fields."""
     page = Page(text or "")
     some = page.candidates()
     fixed, layouts = known
-    left = [b for b in some if _token("x", b.path, b.text) not in fixed]
     if not some:
         return ""
-    if some[0].content:
-        if 2 * sum(len(b.text) for b in left) < sum(len(b.text) for b in some):
-            left = some
-    else:
+    left = _without_fixed(page, some, fixed)
+    if not some[0].content:
         fields = layouts.get(_signed(page.layout))
         if fields is None:  # a layout of its own
             fields = fields_of([(_signed(p), _signed(up), chars, links, True) for p, up, chars, links, _ in page.masses()])

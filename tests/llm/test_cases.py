@@ -168,6 +168,68 @@ def test_article_text_is_never_lost():
     assert deep == "deep" and text("<p>" + "w " * 600_000).count("w") == 600_000 and text("<a b=" * 100_000) == ""
 
 
+def _extracted(spark, pages):
+    """{page: text} of {page: html}, all on one host each by the first letter of the page."""
+    rows = [(p, f"http://{p[0]}.org/{p}", h) for p, h in pages.items()]
+    return {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+
+
+def test_labels_that_repeat_stay(spark):
+    """Headings, heads of columns, terms and captions that all pages of a host share are the article's; a heading goes with all that it stands over."""
+    page = lambda k: f"<body><article><h1>Story {k}</h1><h2>Introduction</h2><p>Words of {k}.</p><table><caption>Figures</caption><tr><th>Name</th><th>Price</th></tr><tr><td>n{k}</td><td>{k}</td></tr></table><dl><dt>Author</dt><dd>A{k}</dd></dl><h2>References</h2><h3>Books</h3><p>Book {k}</p><h2>Newsletter</h2><p>Subscribe to our letter today</p></article></body>"
+    bare = lambda k: f"<body><h1>The site</h1><div>{'Text of %d. ' % k * 20}<h2>Summary</h2><p>Sum {k}</p><h2>Menu</h2><p>Home and more</p></div></body>"
+    out = _extracted(spark, {f"a{k}": page(k) for k in range(6)} | {f"b{k}": bare(k) for k in range(6)})
+    for k in range(6):
+        assert out[f"a{k}"].split("\n") == [f"Story {k}", "Introduction", f"Words of {k}.", "Figures", "Name", "Price", f"n{k}", f"{k}", "Author", f"A{k}", "References", "Books", f"Book {k}"]
+        assert out[f"b{k}"].split("\n") == [("Text of %d. " % k * 20).strip(), "Summary", f"Sum {k}"]
+
+
+def test_notices_go_and_copies_stay(spark):
+    """A long notice in a container of its own goes however short the article; pages that are copies keep what they share."""
+    notice = lambda k: f"<body><article><div><p>{'We use cookies. ' * 70}</p><p>Accept all of them</p></div><p>Short {k}.</p></article></body>"
+    near = lambda k: f"<body><article><p>A long text that is copied</p><i>v{k}</i></article></body>"
+    whole = "<body><article><div><p>One</p></div><p>Two</p></article></body>"
+    out = _extracted(spark, {f"a{k}": notice(k) for k in range(5)} | {f"b{k}": near(k) for k in range(5)} | {f"c{k}": whole for k in range(5)})
+    for k in range(5):
+        assert out[f"a{k}"] == f"Short {k}." and out[f"b{k}"] == f"A long text that is copied\nv{k}" and out[f"c{k}"] == "One\nTwo"
+
+
+def test_blocks_in_inline_elements_that_are_set_apart():
+    text = extract.main_text
+    assert text('<article><p>a</p><ins class="ad"><div>BUY</div></ins><span style="display:none"><div>SECRET</div></span><p>b</p></article>') == "a\nb"
+    assert text("<article><p>a<ins class=ad>BUY<p>b</article>") == "a\nb"  # a paragraph ends the one before, with what is open in it
+    assert text("<article><b>x<div>y</div>z</article>") == "x\ny\nz"
+    assert text('<article><div class="search results">s</div><table class="comments"><tr><td>c</table><div role=search>r</div></article>') == "s\nc"
+    assert text("<span hidden>" * 50_000 + "<div>" * 50_000 + "no") == "" and text("<p><b>" * 50_000 + "yes") == "yes"
+
+
+def test_templates_equal_vectors_side_by_side(spark):
+    """The classes that one aggregation finds are those of occurrence vectors written out, page by page; nulls and repeated rows are pages too."""
+    dice = random.Random(8)
+    bits = ["<p>Common one</p>", "<p>Common two</p>", "<div class=x><p>Common one</p></div>", "<ul><li>Item</ul>", "<h2>Head</h2>", "<section>Legal</section>"]
+    pages = [(dice.choice([None, *range(9)]), f"http://h{dice.randrange(4)}.org/", "<body>" + "".join(dice.sample(bits, dice.randrange(4))) + f"<p>Own {dice.randrange(8)}</p></body>") for _ in range(60)]
+    pages += [(None, None, None), pages[0], pages[0], (1, "http://h1.org/", "")]
+    made = extract.templates(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {r["host"]: set(r["fixed"]) for r in made.collect() if r["fixed"]}
+    want = {}
+    for host in {u and u.split("/")[2] or "" for _, u, _ in pages}:
+        mine = [extract.Page(h or "") for _, u, h in pages if (u and u.split("/")[2] or "") == host]
+        vectors = collections.defaultdict(list)
+        bodies = [tuple(b.text for b in p.candidates()) for p in mine]
+        for k, p in enumerate(mine):
+            for t, n in p.tags.items():
+                vectors["t", t].append((k, n))
+            for t, n in collections.Counter((b.path, b.text) for b in p.candidates()).items():
+                vectors["x", t].append((k, n))
+        classes = collections.defaultdict(list)
+        for t, v in vectors.items():
+            classes[tuple(v)].append(t)
+        fixed = {extract._token("x", *t) for v, ts in classes.items() if len(v) >= 3 and any(kind == "t" for kind, _ in ts) and len({bodies[k] for k, _ in v}) > 1 for kind, t in ts if kind == "x"}
+        if fixed:
+            want[host] = fixed
+    assert got == want and got
+
+
 def test_fields_and_slots_of_a_layout(spark):
     page = lambda k: f"<body><div>Advert {k}</div><div><ul><li><a href=/{k}>One {k}</a><li><a href=/x>Two</a></ul></div><div><h1>Head {k}</h1>{''.join(f'<p>Text {j} of {k}, some words.' for j in range(k % 4 + 1))}</div><div>{'<p>Aside. ' * (k % 3)}</div></body>"
     rows = [(k, "http://a.org/", page(k)) for k in range(12)] + [(None, None, None), (0, "http://a.org/", page(0))]
