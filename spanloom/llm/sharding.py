@@ -6,8 +6,9 @@ shard's capacity is the mean load rounded up or down, so that loads differ by on
 
 A sequential process would place documents one by one. Here only the loads of arcs (the stretch before a point: at most
 shards x nodes numbers) reach the driver, which lets whole stretches of ranks overflow at once; a document then finds its
-shard by its arc and its rank there. Ranks come from counts of fine cells of the ring, so that neither a window nor a
-task holds more than a cell's rows; the fullest cells of more than `cell_rows` rows are ranked in parts. Adding or removing documents changes capacities by few rows and moves few of them.
+shard by its arc and its rank there. Ranks come from counts of fine cells of the ring, as many as there are rows for, so
+that a window holds some `cell_rows` rows at most; all cells with more are ranked in parts by checksum, and equal rows there
+are counted first. Adding or removing documents changes capacities by few rows and moves few of them.
 
 Cases: null texts have size 8 and checksum 0; null ids share one place; repeated rows are separate rows of the same
 place. An empty table gives an empty result.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .shared import partitions
@@ -80,29 +81,29 @@ def flow(loads: dict[int, int], ring: list[tuple[int, int]], shards: int) -> lis
     return out
 
 
-def shard(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, nodes: int = 64, cells: int | None = None,
-    cell_rows: int = 1 << 17, most_split: int = 256,
-) -> DataFrame:
+def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, nodes: int = 64, cells: int | None = None, cell_rows: int = 1 << 17) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row; slots of a shard run from 0 without gaps."""
     spark = docs.sparkSession
     ring = points(shards, nodes)
-    n = cells or max(256, 1 << (4 * partitions(spark) - 1).bit_length())
+    total = docs.count()
+    n = 1 << ((cells or max(256, 4 * partitions(spark), 2 * total // cell_rows)) - 1).bit_length()  # half of cell_rows a cell, on average
+    n = min(n, RING)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
     ).withColumn("_place", place(F.col("doc_id")))
     # the arc of a place: how many points lie before it, found by halving
-    rows = rows.withColumn("_arc", _search([p for p, _ in ring], F.col("_place")) % len(ring)).withColumn("_cell", F.shiftright("_place", 32 - n.bit_length() + 1).cast("int"))
-    rows = rows.withColumn("_sub", F.lit(0))
-    counted = rows.groupBy("_arc", "_cell", "_sub").agg(F.count("*").alias("_n"))
-    full = [(r[0], r[1], r[2]) for r in counted.filter(F.col("_n") > cell_rows).orderBy(F.desc("_n")).limit(most_split).select("_arc", "_cell", "_n").collect()]
-    if full:  # rows that share an id, or have none, share a place: such cells are ranked in parts by checksum
-        parts = F.lit(1)
-        for arc, cell, many in full:
-            parts = F.when((F.col("_arc") == arc) & (F.col("_cell") == cell), F.lit(-(-many // cell_rows))).otherwise(parts)
-        rows = rows.withColumn("_sub", F.pmod("text_crc32", parts).cast("int"))
-        counted = rows.groupBy("_arc", "_cell", "_sub").agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_arc", _search([p for p, _ in ring], F.col("_place")) % len(ring)).withColumn("_cell", F.shiftright("_place", 32 - n.bit_length() + 1))
+    counted = rows.groupBy("_arc", "_cell").agg(F.count("*").alias("_n")).withColumn("_sub", F.lit(0))
+    full = counted.filter(F.col("_n") > cell_rows).select("_arc", "_cell", F.ceil(F.col("_n") / cell_rows).cast("int").alias("_parts"))
+    hot = None
+    if full.limit(1).count():  # rows that share an id, or have none, share a place
+        if total // cell_rows < 1 << 20:  # no more cells than that can be full: some 24 MB
+            full = F.broadcast(full)
+        hot = rows.join(full, ["_arc", "_cell"]).withColumn("_sub", F.pmod("text_crc32", "_parts").cast("int")).drop("_parts")
+        rows = rows.join(full, ["_arc", "_cell"], "left_anti")
+        parts = hot.groupBy("_arc", "_cell", "_sub").agg(F.count("*").alias("_n"))
+        counted = counted.join(full, ["_arc", "_cell"], "left_anti").unionByName(parts)
     loads = {r[0]: r[1] for r in counted.groupBy("_arc").agg(F.sum("_n")).collect()}  # at most shards x nodes
     ranges = sorted(flow(loads, ring, shards))
     # the arc after the last point begins the ring anew: its cells of small places come after those of large ones
@@ -110,7 +111,10 @@ def shard(
     before = Window.partitionBy("_arc").orderBy(turn, "_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("_arc", "_cell", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_arc", "_cell", "_sub").orderBy("_place", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(bases, ["_arc", "_cell", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    ranked = rows.withColumn("_sub", F.lit(0)).withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
+    if hot is not None:
+        ranked = ranked.unionByName(_ranked_copies(hot, inside, cell_rows))
+    ranked = ranked.join(bases, ["_arc", "_cell", "_sub"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     # (arc, rank) as one number finds its range by halving too; there are at most shards x nodes + shards of those
     starts = [(arc << 40) | a for arc, a, *_ in ranges]
     at = _search(starts, F.shiftleft(F.col("_arc").cast("long"), 40) + F.col("_rank") + 1) - 1
@@ -122,6 +126,16 @@ def shard(
     )
 
 
+def _ranked_copies(rows: DataFrame, inside: WindowSpec, chunk: int) -> DataFrame:
+    """rows with _rank inside their part of a cell. Equal rows are counted before they are shuffled, so that a window holds different rows only, and told out again in chunks, each by a task of its own."""
+    counted = rows.groupBy("_arc", "_cell", "_sub", "_place", "doc_id", "text_crc32", "size").agg(F.count("*").alias("_n"))
+    first = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = counted.withColumn("_first", first).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))))
+    dealt = chunks.repartition("_arc", "_cell", "_sub", "doc_id", "text_crc32", "_from")
+    each = dealt.withColumn("_i", F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + chunk) - 1)))
+    return each.withColumn("_rank", F.col("_first") + F.col("_i")).drop("_first", "_from", "_i", "_n")
+
+
 def _search(values: list[int], x: Column) -> Column:
     """How many of the sorted values are less than x: a binary search with a fixed number of steps in one literal array."""
     if not values:

@@ -263,6 +263,21 @@ def test_languages(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"}
 
 
+def test_full_cells_are_ranked_in_parts(spark):
+    """A third of all rows are equal, a third share an id: all are ranked in parts of a few rows, none twice, and slots stay gapless."""
+    rows = [(None, "same")] * 300 + [(7, f"text {k}") for k in range(300)] + [(k, f"own {k}") for k in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = sharding.shard(df, cell_rows=16).collect()
+    assert collections.Counter((r.doc_id, r.text_crc32) for r in out) == collections.Counter((d, zlib.crc32(t.encode())) for d, t in rows)
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 24 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {len(s) for s in slots.values()} <= {37, 38}
+    few = sharding.shard(df.filter("doc_id is null"), cell_rows=16).collect()
+    assert len(few) == 300 and len({(r.shard, r.slot) for r in few}) == 300
+
+
 def test_sharding(spark, docs, odd, none):
     for df in (table(spark, DATA, "documents"), odd):
         out = sharding.shard(df).collect()
