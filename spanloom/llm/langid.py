@@ -8,8 +8,8 @@ trie over the whole vocabulary; the forward variables are rescaled as they go, s
 over `WORD` bytes are first cut where no piece reaches across, which leaves the sum as it is.
 
 Training: pieces are counted in `rows` labelled documents at most (a documented bound; about as many from each language,
-those of the smallest hashes of their ids), by expectation-maximisation over all segmentations of the stretches of at most
-`longest` bytes that no piece leaves. Nothing but text enters a prediction.
+those of the smallest hashes of their ids), by expectation-maximisation over all segmentations of the stretches that no
+piece leaves, however long. Nothing but text enters a prediction.
 
 Cases: null texts and texts without a letter are `und` with score 0. Ties go to the alphabetically first language. Null
 labels and null ids teach nothing. Without any labelled row everything is `und`. Repeated rows are predicted one by one.
@@ -228,6 +228,33 @@ def expected(words: list[bytes], trie: Trie, probs: np.ndarray, counts: np.ndarr
     return out
 
 
+def expected_long(word: bytes, trie: Trie, probs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """expected for one word of any length, with logarithms, in time and memory linear in its length; counts: languages."""
+    starts, sizes, pieces = spans(word, trie)
+    ends, logs, n = starts + sizes, np.log(probs), len(word)
+
+    def sums(at: np.ndarray, other: np.ndarray, order: np.ndarray, first: int, steps) -> np.ndarray:
+        """Log sums over segmentations from `first` to each position; at: a piece's end that is asked for, other: its other end."""
+        out = np.zeros((n + 1, probs.shape[1]))
+        bounds = np.searchsorted(at[order], np.arange(n + 2)).tolist()
+        for pos in steps:
+            here = order[bounds[pos] : bounds[pos + 1]]
+            if pos != first:
+                x = logs[pieces[here]] + out[other[here]]
+                top = x.max(0)
+                out[pos] = top + np.log(np.exp(x - top).sum(0))
+        return out
+
+    alpha = sums(ends, starts, np.argsort(ends, kind="stable"), 0, range(n + 1))
+    beta = sums(starts, ends, np.arange(len(starts)), n, range(n, -1, -1))
+    out = np.zeros_like(probs)
+    for k in range(0, len(pieces), 1 << 16):
+        p = pieces[k : k + (1 << 16)]
+        share = np.exp(alpha[starts[k : k + (1 << 16)]] + logs[p] + beta[ends[k : k + (1 << 16)]] - alpha[n])
+        np.add.at(out, p, share * counts)
+    return out
+
+
 def by_length(words) -> dict[int, list[bytes]]:
     out: dict[int, list[bytes]] = {}
     for w in words:
@@ -362,7 +389,7 @@ def _sample(labelled: DataFrame, have: dict[str, int], each: int) -> DataFrame:
     return first.filter(dice < last).select("lang", "text")
 
 
-def train(labelled: DataFrame, *, rows: int = 4000, rounds: int = 3, longest: int = 256, tokenizer: str | None = None) -> Model:
+def train(labelled: DataFrame, *, rows: int = 4000, rounds: int = 3, tokenizer: str | None = None) -> Model:
     """A model from (doc_id, text, lang): `rows` rows at most (whole texts); only counts of their distinct words reach the driver."""
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     have = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}  # one row a language
@@ -377,10 +404,9 @@ def train(labelled: DataFrame, *, rows: int = 4000, rounds: int = 3, longest: in
     at, which, much = array("q"), array("q"), array("d")  # word, language and count: numbers on end, as there are many words
     for lang, word, n in words.toLocalIterator():  # distinct words of the sample
         for part in [bytes(word)] if len(word) <= WORD else stretches(bytes(word), trie):
-            if len(part) <= longest:
-                at.append(number.setdefault(part, len(number)))
-                which.append(place[lang])
-                much.append(n)
+            at.append(number.setdefault(part, len(number)))
+            which.append(place[lang])
+            much.append(n)
     counts = np.zeros((len(number), len(languages)))
     np.add.at(counts, (np.array(at, np.int64), np.array(which, np.int64)), np.array(much, float))
     start = 0.02 ** trie.sizes.astype(float)  # long pieces begin as unlikely as random bytes
@@ -388,7 +414,11 @@ def train(labelled: DataFrame, *, rows: int = 4000, rounds: int = 3, longest: in
     groups = by_length(number)
     for _ in range(rounds):
         total = np.full_like(probs, 0.01)  # what is never met in a language keeps a small probability
-        for group in groups.values():
+        for length, group in groups.items():
+            if length > 4 * WORD:
+                for word in group:
+                    total += expected_long(word, trie, probs, counts[number[word]])
+                continue
             for part in _parts(group, len(languages)):
                 total += expected(part, trie, probs, counts[[number[w] for w in part]])
         probs = total / total.sum(0)

@@ -168,6 +168,24 @@ def test_article_text_is_never_lost():
     assert deep == "deep" and text("<p>" + "w " * 600_000).count("w") == 600_000 and text("<a b=" * 100_000) == ""
 
 
+def test_long_words_teach(spark):
+    """Expected counts of a word of any length are those of the short form; a stretch of a thousand bytes is learned from."""
+    pieces = sorted({bytes([b]) for b in range(256)} | {b"ab", b"ba", b"aba", b"bab", b"abab" * 8, b"cab"})
+    trie, dice = langid.Trie(pieces), np.random.default_rng(3)
+    probs = dice.random((len(pieces), 3))
+    probs /= probs.sum(0)
+    for size in (1, 2, 40, 300):
+        word = bytes(dice.choice(list(b"aabbc"), size).tolist())
+        counts = np.array([1.0, 0.0, 2.5])
+        got = langid.expected_long(word, trie, probs, counts)
+        assert np.allclose(got, langid.expected([word], trie, probs, counts[None]))
+        assert np.allclose((got * trie.sizes[:, None]).sum(0), size * counts)  # every byte lies in one piece
+    long = "xyxyxyyx" * 125  # pieces reach across everywhere, or stretches are short: both ways it teaches
+    rows = [(k, long if k % 2 else "plain words of text", "q" if k % 2 else "p") for k in range(30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [langid.Model.predict(model, pa.array(["xyxyxyyx", "plain words"]))[0]] == [["q", "p"]]
+
+
 def _extracted(spark, pages):
     """{page: text} of {page: html}, all on one host each by the first letter of the page."""
     rows = [(p, f"http://{p[0]}.org/{p}", h) for p, h in pages.items()]
