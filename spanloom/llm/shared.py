@@ -45,11 +45,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage ends at files that outlive any executor."""
+def stage(df: DataFrame, label: str, *, wide: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: its lineage ends at files that outlive any executor. wide: rows of megabytes get a file each, as Parquet's writer looks at its buffer once in a hundred rows and its reader decodes up to 4,096 rows of a file at once."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **({"maxRecordsPerFile": 1} if wide else {})).parquet(path)
     tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path

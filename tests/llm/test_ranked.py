@@ -195,3 +195,10 @@ def test_toxicity_in_odd_cases(spark):
         rows = toxicity.score(docs, toxicity.train(docs, labels, trees=3)).collect()
         assert len(rows) == 46 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0))).collect() == []
+
+
+def test_a_shard_has_a_file_of_its_own(spark):
+    docs = spark.createDataFrame([(i, f"cat dog w{i} " * 20) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    shards, n = lexical.build(docs, shard_bytes=1000)
+    files = shards.groupBy(F.input_file_name()).count()
+    assert n == 60 and shards.count() > 10 and files.agg(F.max("count")).first()[0] == 1
