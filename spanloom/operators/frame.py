@@ -66,9 +66,19 @@ class IntervalFrame:
         self.skewed = skewed
         return self
 
+    def _said(self, others: Iterable[IntervalFrame]) -> bool | None:
+        """Whether some keys of the frames have very many rows, if that is known of all of them or of one that has."""
+        said = [x.skewed for x in (self, *others)]
+        return True if True in said else None if None in said else False
+
     def _hot(self, tables: list[tuple[DataFrame, str, str]], *others: IntervalFrame, keys: list[str] | None = None) -> DataFrame | None:
-        said = [x.skewed for x in (self, *others) if x.skewed is not None]
-        return meeting.hot_keys(self.keys if keys is None else keys, self.dims[0], tables, skewed=any(said) if said else None)
+        """The keys of very many rows, as `meeting.hot_keys`. A frame whose keys were found small hands that on to those made of it."""
+        found = meeting.counted(self.keys if keys is None else keys, self.dims[0], tables, skewed=self._said(others))
+        if found is meeting.CALM:
+            for x in (self, *others):
+                x.skewed = False
+            return None
+        return found
 
     def _set(self, spans: Box) -> list[Column]:
         return [c for d, s in zip(self.dims, spans, strict=True) for c in (d.column(s.lo).alias(d.lo), d.column(s.hi).alias(d.hi))]
@@ -102,7 +112,7 @@ class IntervalFrame:
     # --- conversions ---
     def as_kind(self, kind: type, **how) -> IntervalFrame:
         """The same rows with another flavour's operators."""
-        return kind(self.df, self.dims, self.values, self.keys, **how)
+        return kind(self.df, self.dims, self.values, self.keys, **how).on_keys(skewed=self.skewed)
 
     def copy(self) -> IntervalFrame:
         return self._with(self.df)
@@ -179,7 +189,10 @@ class IntervalFrame:
 
     def domain(self) -> Shape:
         """The covered region, values left out."""
-        return Shape(self.df, self.dims, (), self.keys).coalesce()
+        return self._region().coalesce()
+
+    def _region(self) -> Shape:
+        return Shape(self.df, self.dims, (), self.keys).on_keys(skewed=self.skewed)
 
     def bounding_interval(self) -> DataFrame:
         """The hull of each key's rows."""
@@ -197,7 +210,7 @@ class IntervalFrame:
     def map_values(self, **exprs: Column) -> IntervalFrame:
         """New values, then coalesced."""
         df = self.df.select(*self.keys, *self.bounds, *[e.alias(n) for n, e in exprs.items()])
-        return IntervalFrame(df, self.dims, tuple(exprs), self.keys).coalesce()
+        return IntervalFrame(df, self.dims, tuple(exprs), self.keys).on_keys(skewed=self.skewed).coalesce()
 
     def map_intervals(self, dims: dict[Dim, tuple[Column, Column]], *, coalesce: bool = True) -> IntervalFrame:
         """New cuts (perhaps of other dimensions) from Columns; empty boxes are dropped; then coalesced."""
@@ -220,12 +233,24 @@ class IntervalFrame:
         return self._with(df).coalesce()
 
     # --- workhorse 1: cells ---
-    def _split(self, rows: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    def _split(self, rows: DataFrame, grid: DataFrame | None = None, *, others: Iterable[IntervalFrame] = ()) -> DataFrame:
         """Rows (keys, bounds, anything) on the grid of their own cuts, or those of a larger table with the same keys and bounds."""
         rows = _short(rows)
-        keys, out, grid = list(self.keys), rows, rows if grid is None else _short(grid)
+        keys, out, grid = list(self.keys), rows, None if grid is None else _short(grid)
         if self.hot:
-            out, grid, keys = self._dealt(out), self._dealt(grid), [*keys, "_part"]
+            out, grid, keys = self._dealt(out), grid if grid is None else self._dealt(grid), [*keys, "_part"]
+        hot = self._hot([(out if grid is None else grid, self.dims[0].lo, self.dims[0].hi)], *others, keys=keys) if keys else None
+        if keys and hot is None:
+            if grid is not None:
+                mine, cuts = out.withColumn("_mine", F.lit(True)), grid.select(*keys, *self.bounds).distinct().withColumn("_mine", F.lit(False))
+                out = mine.unionByName(cuts, allowMissingColumns=True)
+            out = meeting.together(out, keys)
+            out = out.withColumns({f"_c{i}": _cuts(d, keys) for i, d in enumerate(self.dims)})
+            out = out if grid is None else out.filter("_mine").drop("_mine")
+            for i, d in enumerate(self.dims):
+                out = _on_cuts(out, d, f"_c{i}")
+            return out.drop("_part")
+        grid = out if grid is None else grid
         for d in self.dims:
             ends = grid.select(*keys, F.explode(F.array(d.lo, d.hi)).alias("_from")).distinct()
             rest = [c for c in out.columns if c not in (d.lo, d.hi)]
@@ -234,7 +259,7 @@ class IntervalFrame:
                 segments = ends.withColumn("_to", F.lead("_from").over(Window.partitionBy(*keys).orderBy("_from"))).filter("_to is not null")
                 other = segments.select(*[_col(k).alias(f"_k_{k}") for k in keys], "_from", "_to")
                 covers = [_col(k).eqNullSafe(_col(f"_k_{k}")) for k in keys] + covers
-                if d is self.dims[0] and (hot := self._hot([(grid, d.lo, d.hi)], keys=keys)) is not None:
+                if d is self.dims[0]:
                     out, other, meet = meeting.binned(keys, out, (d.lo, d.hi), other, ("_from", "_to"), [f"_k_{k}" for k in keys], d, hot)
                     covers += meet
             else:
@@ -257,7 +282,7 @@ class IntervalFrame:
     def decompressed(self, *others: IntervalFrame) -> IntervalFrame:
         """Rows split on their own cuts and those of others."""
         grid = reduce(DataFrame.union, [x.df.select(*self.keys, *self.bounds) for x in (self, *others)])
-        return self._with(self._split(self.df, grid))
+        return self._with(self._split(self.df, grid, others=others))
 
     def _overlay(self, others: list[IntervalFrame], aggs: Callable[[list[Column], Callable[[Column], Column]], list[Column]], *, universe: bool = False, nested: bool = False) -> DataFrame:
         """One row per covered cell of all frames. aggs gets for each frame a Column that is its values' struct where a row of it covers (else null), and the function by which rows of a cell become one. nested: cells need not lie on the whole grid."""
@@ -273,7 +298,7 @@ class IntervalFrame:
             known = reduce(DataFrame.union, [f.df.select(*self.keys) for f in frames]).distinct() if self.keys else self.spark.range(1)
             rows.append(known.select(*self.keys, *whole, F.lit(-1).alias("_of"), *[F.lit(None).alias(f"_v{j}") for j in range(len(frames))]))
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-        cells = self._nested(rows) if nested else self._split(rows)
+        cells = self._nested(rows, others=others) if nested else self._split(rows, others=others)
         return cells.groupBy(*self.keys, *self.bounds).agg(*aggs([F.col(f"_v{j}") for j in range(len(frames))], F.max))
 
     def _swept(self, frames: list[IntervalFrame], aggs: Callable, *, universe: bool) -> DataFrame:
@@ -311,22 +336,28 @@ class IntervalFrame:
         run = run.select(*keys, d.lo, d.hi, *[F.when(F.col(f"_h{j}") > 0, F.col(f"_u{j}")).alias(f"_v{j}") for j in range(n)])
         return run.select(*keys, d.lo, d.hi, *aggs([F.col(f"_v{j}") for j in range(n)], lambda c: c))
 
-    def _nested(self, rows: DataFrame) -> DataFrame:
+    def _nested(self, rows: DataFrame, *, others: Iterable[IntervalFrame] = ()) -> DataFrame:
         """Rows cut only where boxes can meet: a key's rows fall into islands, dimension by dimension, that lie apart; the last dimension is cut on the cuts of an island, and each dimension before it on the cuts of those rows that lie in the same strip. What holds is the same in all of a cell, and coalescing gives the same canonical form as from the whole grid."""
         if len(self.dims) == 1 or not self.keys or self.hot:
-            return self._split(rows)
+            return self._split(rows, others=others)
         rows = _short(rows)
         by, out = list(self.keys), rows
+        hot = self._hot_rows(rows, *others)
+        out = rows if hot is not None else meeting.together(rows, by)
         for i, d in enumerate(self.dims):
-            out = self._islands(out, d, by, name=f"_i{i}")
+            out = self._islands(out, d, by, name=f"_i{i}", even=hot is None)
             by.append(f"_i{i}")
         for d in reversed(self.dims):
-            out = self._sliced(_short(out), d, by)
+            out = self._sliced(out, d, by) if hot is None else self._met(_short(out), d, by)
             by += [d.lo, d.hi]
         return out.drop(*[f"_i{i}" for i in range(len(self.dims))])
 
     def _sliced(self, rows: DataFrame, d: Dim, by: list[str]) -> DataFrame:
         """Rows on the cuts of their group in one dimension."""
+        return _on_cuts(rows.withColumn("_cuts", _cuts(d, by)), d, "_cuts")
+
+    def _met(self, rows: DataFrame, d: Dim, by: list[str]) -> DataFrame:
+        """_sliced by a join, for groups that may have very many cuts."""
         rest = [c for c in rows.columns if c not in (d.lo, d.hi)]
         ends = rows.select(*by, F.explode(F.array(d.lo, d.hi)).alias("_from")).distinct()
         other = ends.withColumn("_to", F.lead("_from").over(Window.partitionBy(*by).orderBy("_from"))).filter("_to is not null").select(*[_col(k).alias(f"_k_{k}") for k in by], "_from", "_to")
@@ -341,14 +372,21 @@ class IntervalFrame:
     def coalesce(self) -> IntervalFrame:
         """Merges rows of equal value that are adjacent (or overlap) in one dimension and equal in the others, dimension by dimension."""
         df = self.df
+        even = len(self.dims) > 1 and bool(self.keys) and self._hot_rows(df) is None
+        if even:
+            df = meeting.together(df, self.keys)
         for d in self.dims:
             same = [*self.keys, *self.values, *[c for x in self.dims if x is not d for c in (x.lo, x.hi)]]
-            df = self._islands(df, d, same).groupBy(*same, "_island").agg(F.min(d.lo).alias(d.lo), F.max(d.hi).alias(d.hi)).select(*self.columns)
+            df = self._islands(df, d, same, even=even).groupBy(*same, "_island").agg(F.min(d.lo).alias(d.lo), F.max(d.hi).alias(d.hi)).select(*self.columns)
         return self._with(df)
 
-    def _islands(self, df: DataFrame, d: Dim, same: list[str], name: str = "_island") -> DataFrame:
-        """df with the number of each row's island among rows of equal `same`: rows that overlap or touch in a dimension. Without keys and in one dimension, and where keys have very many rows, rows are dealt by ranges of their starts, and only what each range reaches and how many islands begin in it is carried over."""
-        hot = meeting.hot_keys(self.keys, d, [(df, d.lo, d.hi)], skewed=self.skewed) if self.keys else None
+    def _hot_rows(self, df: DataFrame, *others: IntervalFrame) -> DataFrame | None:
+        """_hot of a table with this frame's bounds; which keys they are is the same in all dimensions."""
+        return self._hot([(df, self.dims[0].lo, self.dims[0].hi)], *others) if self.keys else None
+
+    def _islands(self, df: DataFrame, d: Dim, same: list[str], name: str = "_island", *, even: bool = False) -> DataFrame:
+        """df with the number of each row's island among rows of equal `same`: rows that overlap or touch in a dimension. even: no key has very many rows. Without keys and in one dimension, and where keys have very many rows, rows are dealt by ranges of their starts, and only what each range reaches and how many islands begin in it is carried over."""
+        hot = self._hot([(df, d.lo, d.hi)]) if self.keys and not even else None
         cuts = None if self.keys or len(self.dims) > 1 else _quantiles(df, d, d.lo)
         if cuts is None and hot is None:
             order = Window.partitionBy(*same, *([] if same else [F.lit(0)])).orderBy(d.lo, d.hi)
@@ -402,7 +440,7 @@ class IntervalFrame:
         names = [v if v not in self.values else v + suffix for v in that.values]
         cut = [c for d in self.dims for c in (F.greatest(d.lo, f"_r_{d.lo}").alias(d.lo), F.least(d.hi, f"_r_{d.hi}").alias(d.hi))]
         df = self._joined(that).select(*self.keys, *cut, *self.values, *[_col(f"_r_{v}").alias(n) for v, n in zip(that.values, names, strict=True)])
-        return IntervalFrame(df, self.dims, (*self.values, *names), self.keys)
+        return IntervalFrame(df, self.dims, (*self.values, *names), self.keys).on_keys(skewed=self._said([that]))
 
     def zip_all(self, that: IntervalFrame, this_default: dict, that_default: dict, *, suffix: str = "_2") -> IntervalFrame:
         """Outer pairs on the common grid, with defaults for the missing side; not coalesced."""
@@ -439,7 +477,7 @@ class IntervalFrame:
 
     def difference(self, that: IntervalFrame) -> IntervalFrame:
         """What that doesn't cover; values of that are no matter."""
-        return self._with(self._cells_with(Shape(that.df, self.dims, (), self.keys).recompress_all()).filter("_a and not _b")).coalesce()
+        return self._with(self._cells_with(that._region().recompress_all()).filter("_a and not _b")).coalesce()
 
     def intersection_shape(self, that: IntervalFrame) -> Shape:
         """The region in which both are valid."""
@@ -475,7 +513,7 @@ class IntervalFrame:
         both = self.df.select(*self.keys, *self.bounds, *self.values, F.lit(0).alias("_w"), F.lit(None).alias("_s")).unionByName(
             rows.df_full.select(*self.keys, *self.bounds, *self.values, F.lit(1).alias("_w"), by.alias("_s"))
         )
-        cells = self._nested(both).groupBy(*self.keys, *self.bounds).agg(F.max_by(F.struct(*self.values), F.struct("_w", "_s")).alias("_v"))
+        cells = self._nested(both, others=[rows]).groupBy(*self.keys, *self.bounds).agg(F.max_by(F.struct(*self.values), F.struct("_w", "_s")).alias("_v"))
         return self._with(cells.select(*self.keys, *self.bounds, *[F.col("_v")[v].alias(v) for v in self.values])).coalesce()
 
     @property
@@ -566,7 +604,7 @@ class IntervalFrame:
 
     def merge_many(self, rows: IntervalFrame, aggregate: dict[str, Callable[[Column], Column]]) -> IntervalFrame:
         """Rows that may overlap one another and this, combined by an aggregate of each value (F.sum, F.max, ...)."""
-        cells = self._nested(self.df.unionByName(rows.df))
+        cells = self._nested(self.df.unionByName(rows.df), others=[rows])
         return self._with(cells.groupBy(*self.keys, *self.bounds).agg(*[aggregate[v](_col(v)).alias(v) for v in self.values])).coalesce()
 
     def merge_fold(self, rows: IntervalFrame, op: Callable[[Column, Column], Column], *, order: Column | None = None) -> IntervalFrame:
@@ -574,7 +612,7 @@ class IntervalFrame:
         v = self.values[0]
         by = order if order is not None else F.struct(*[_col(d.lo).alias(f"o{k}") for k, d in enumerate(self.dims)])
         both = self.df.withColumn("_s", F.struct(F.lit(0).alias("w"), F.lit(None).alias("s"))).unionByName(rows.df_full.select(*self.columns, F.struct(F.lit(1).alias("w"), by.alias("s")).alias("_s")))
-        listed = self._nested(both).groupBy(*self.keys, *self.bounds).agg(F.transform(F.sort_array(F.collect_list(F.struct("_s", v))), lambda x: x[v]).alias("_l"))
+        listed = self._nested(both, others=[rows]).groupBy(*self.keys, *self.bounds).agg(F.transform(F.sort_array(F.collect_list(F.struct("_s", v))), lambda x: x[v]).alias("_l"))
         return self._with(listed.withColumn(v, F.aggregate(F.slice("_l", 2, F.size("_l")), F.element_at("_l", 1), op))).coalesce()
 
     # --- differences as actions ---
@@ -711,7 +749,7 @@ class IntervalFrame:
 
     def covered_measure(self) -> DataFrame:
         """The measure of what each key's rows cover, however often: of the canonical region."""
-        return Shape(self.df, self.dims, (), self.keys).recompress_all().map_reduce_measure()
+        return self._region().recompress_all().map_reduce_measure()
 
     def convolved_in(self, name: str, kernel: list[tuple[Span, float]], center, epsilon: float, *, discrete_step: bool = True) -> IntervalFrame:
         """Riemann-sum convolution along a dimension of one numeric value: for each kernel piece and step, the rows moved by the offset from the centre, times value and step, added up."""
@@ -779,7 +817,7 @@ class Shape(IntervalFrame):
         return Shape(self.df.unionByName(that.df.select(*self.columns)), self.dims, (), self.keys).recompress_all()
 
     def _split_once(self) -> Shape:
-        return Shape(self._nested(self.df).distinct(), self.dims, (), self.keys)
+        return self._with(self._nested(self.df).distinct())
 
     def recompress_all(self, *grid: IntervalFrame) -> Shape:
         """The canonical region; in one dimension islands alone do it."""
@@ -797,7 +835,7 @@ class Shape(IntervalFrame):
         if len(self.dims) == 1:
             return self._gaps()
         cells = self._cells_with(self, universe=True).filter("not _a")
-        return Shape(cells, self.dims, (), self.keys).coalesce()
+        return self._with(cells).coalesce()
 
     def _gaps(self) -> Shape:
         """One dimension: gaps between islands by a window, and the two outer ends."""
@@ -1045,7 +1083,7 @@ class Monoid(IntervalFrame):
 
     def complement(self) -> Monoid:
         """The void with the identity as its value."""
-        void = Shape(self.df, self.dims, (), self.keys).complement()
+        void = self._region().complement()
         return self._with(void.df.withColumn(self.values[0], F.lit(self.identity).cast(dict(self.df.dtypes)[self.values[0]])))
 
     def flatten(self, name: str) -> Monoid:
@@ -1162,6 +1200,21 @@ def _binned(left: DataFrame, a: tuple[str, str], right: DataFrame, b: tuple[str,
     return x, y, [F.col("_l_bin") == F.col("_s_bin"), F.col("_l_stay") == F.col("_s_stay"), F.col("_l_bin") == F.greatest("_l_first", "_s_first")]
 
 
+def _cuts(d: Dim, by: list[str]) -> Column:
+    """The cuts of a row's group in one dimension, gathered by a window: rows are shuffled by key once and not joined with themselves."""
+    w = Window.partitionBy(*by)
+    return F.concat(F.collect_set(d.lo).over(w), F.collect_set(d.hi).over(w))
+
+
+def _on_cuts(rows: DataFrame, d: Dim, cuts: str) -> DataFrame:
+    """Each row in pieces between those of the cuts that lie in it."""
+    own = rows.withColumn(cuts, F.array_sort(F.array_distinct(F.filter(cuts, lambda c: (_col(d.lo) <= c) & (c <= _col(d.hi))))))
+    rest = [c for c in rows.columns if c not in (d.lo, d.hi, cuts)]
+    n = F.size(cuts) - 1
+    pieces = F.arrays_zip(F.slice(cuts, 1, n).alias("a"), F.slice(cuts, 2, n).alias("b"))
+    return own.select(*rest, F.explode(pieces).alias("_p")).select(*rest, F.col("_p")["a"].alias(d.lo), F.col("_p")["b"].alias(d.hi))
+
+
 def _short(df: DataFrame, most: int = 8) -> DataFrame:
     """df, staged if its plan reads more than `most` tables: a split uses its input once for each dimension and once more, so plans of chained writes would grow by powers."""
     from ..sources.staging import stage

@@ -31,6 +31,15 @@ CHECK_BYTES = 16 << 20
 _QUANTILES = 128
 
 
+class Calm:
+    """What a count of keys says that found none with more than a sixteenth of `HOT_ROWS` rows."""
+
+
+CALM = Calm()
+#: Bytes of input (as estimated) for a task of plans that keep a key's rows in one place.
+TASK_BYTES = 4 << 20
+
+
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -55,6 +64,12 @@ def estimate(*tables: DataFrame) -> int:
 
 def hot_keys(keys: Iterable[str], d: Dim, tables: list[tuple[DataFrame, str, str]], *, most: int | None = None, skewed: bool | None = None) -> DataFrame | None:
     """(keys as `_h_*`, `_q` quantiles of their bounded cuts, `_n` cuts) of the keys with over `most` rows in all tables together, as a table in the shared folder; None if there are none."""
+    found = counted(keys, d, tables, most=most, skewed=skewed)
+    return None if found is CALM else found
+
+
+def counted(keys: Iterable[str], d: Dim, tables: list[tuple[DataFrame, str, str]], *, most: int | None = None, skewed: bool | None = None) -> DataFrame | Calm | None:
+    """hot_keys, or CALM if a count found all keys so small that frames made of them need no count of their own."""
     from ..sources.staging import stage
 
     keys, most = list(keys), most or HOT_ROWS
@@ -62,11 +77,12 @@ def hot_keys(keys: Iterable[str], d: Dim, tables: list[tuple[DataFrame, str, str
         return None
     named = [_col(k).alias(f"_h_{k}") for k in keys]
     hs = [f"_h_{k}" for k in keys]
+    sizes = reduce(DataFrame.union, [t.select(*named) for t, *_ in tables]).groupBy(*hs).agg((2 * F.count("*")).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= 2 * most:
+        return CALM if 16 * largest <= 2 * most else None
+    counts = stage(sizes.filter(F.col("_n") > 2 * most), "hot")
     rows = reduce(DataFrame.union, [t.select(*named, F.explode(F.array(number(d, _col(lo)), number(d, _col(hi)))).alias("_x")) for t, lo, hi in tables])
-    counts = rows.groupBy(*hs).agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * most)
-    counts = stage(counts, "hot")
-    if counts.isEmpty():
-        return None
     other = counts.select(*[_col(h).alias(f"_{h}") for h in hs], "_n")
     of = rows.join(other, reduce(lambda a, b: a & b, [_col(h).eqNullSafe(_col(f"_{h}")) for h in hs]))
     marks = [k / (_QUANTILES - 1) for k in range(_QUANTILES)]
@@ -75,6 +91,14 @@ def hot_keys(keys: Iterable[str], d: Dim, tables: list[tuple[DataFrame, str, str
     return stage(found.withColumn("_q", F.array_distinct(F.coalesce("_q", F.array().cast("array<double>")))).filter(F.size("_q") > 1), "scales")
 
 
+def together(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """rows dealt by key once, for all windows and aggregates by key and more that follow; more tasks for more input, so that one task's memory doesn't grow with it. Small inputs are left to Spark."""
+    if (size := estimate(rows)) < CHECK_BYTES:
+        return rows
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    return rows.repartition(n, *[_col(k) for k in keys])
+
+
 def placed(x: Column) -> Column:
     """About how many cuts of the row's key (`_q`, `_n`) lie before a number: monotone in it, from 0 to `_n`; null for null."""
     q, n = F.col("_q"), F.col("_n")

@@ -131,3 +131,13 @@ def test_cells_grow_with_overlaps_not_with_the_grid(spark):
     cut = f._nested(f.df)
     assert cut.filter("k = 1").count() == 300
     assert cut.filter("k = 2").count() < 300 * 10
+
+
+def test_cells_shuffle_their_rows_once_and_join_nothing(spark):
+    """What large inputs take: rows are dealt by key, and windows gather the cuts of a key."""
+    f = IntervalFrame(spark.range(200).selectExpr("id % 20 k", "id % 9 x_lo", "id % 9 + 3 x_hi", "id % 5 y_lo", "id % 5 + 2 y_hi", "id value"), [D, Dim("y")], ("value",), ("k",))
+    for nested in (f._nested(f.df), f._split(f.df), f.decompressed(f).df):
+        plan = nested.groupBy("k", *f.bounds).count()._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan
+    plan = f._nested(f.df).groupBy("k", *f.bounds).count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
