@@ -17,6 +17,7 @@ of a key is worked on in many tasks.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
@@ -1216,10 +1217,12 @@ def _on_cuts(rows: DataFrame, d: Dim, cuts: str) -> DataFrame:
 
 
 def _short(df: DataFrame, most: int = 8) -> DataFrame:
-    """df, staged if its plan reads more than `most` tables: a split uses its input once for each dimension and once more, so plans of chained writes would grow by powers."""
+    """df, staged if its plan reads more than `most` tables or has more than `most` windows and aggregates: they run in few stages, as rows are dealt by key once, and a task holds memory for each, so chains of writes would grow."""
     from ..sources.staging import stage
 
-    return stage(df, "cells") if df._jdf.queryExecution().logical().collectLeaves().size() > most else df
+    plan = df._jdf.queryExecution().logical()
+    steps = re.findall(r"^[\s:+|-]*(?:Window|Aggregate) ", str(plan.toString()), re.M)
+    return stage(df, "cells") if plan.collectLeaves().size() > most or len(steps) > most else df
 
 
 def _boxed(box: Box | Span) -> Box:

@@ -141,3 +141,13 @@ def test_cells_shuffle_their_rows_once_and_join_nothing(spark):
         assert "Join" not in plan
     plan = f._nested(f.df).groupBy("k", *f.bounds).count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_long_chains_of_windows_are_staged(spark):
+    from spanloom.operators.frame import _short
+
+    df = spark.range(5).selectExpr("id k", "id % 3 v")
+    assert _short(df) is df
+    for _ in range(10):
+        df = df.groupBy("k").agg(F.max("v").alias("v")).selectExpr("k", "v + 1 v")
+    assert _short(df).inputFiles()
