@@ -55,7 +55,10 @@ def components(df: DataFrame, dims: list[Dim], keys: list[str], *, skewed: bool
         tiled = there.withColumn("_tile", F.explode(F.when(F.col("_q").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(first, F.greatest(first, last))))).drop("_q", "_n")
     tiled = tiled.drop(d.lo, d.hi)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
-    local = stage(tiled.groupBy(*by, "_tile").applyInArrow(_joined(len(dims), by), f"{kinds}, _id bigint, _part bigint"), "parts")
+    # small keys by the thousand in one call, which costs more than the work on a few boxes
+    calls = max(1, -(-rows.count() // TILE_ROWS))
+    tiled = tiled.withColumn("_group", F.xxhash64(*by, "_tile")).withColumn("_call", F.pmod("_group", F.lit(calls)))
+    local = stage(tiled.groupBy("_call").applyInArrow(_joined(len(dims), by), f"{kinds}, _id bigint, _part bigint"), "parts")
     if hot is None:
         return rows.join(local.select(F.col("_id").alias("_i"), F.col("_part").alias("component")), F.col("_id") == F.col("_i")).select(*keys, *bounds, "component")
     # a row's parts are one part
@@ -93,7 +96,7 @@ def _joined(dims: int, by: list[str]) -> Callable[[pa.Table], pa.Table]:
             rank = np.empty(len(v), np.int64)
             rank[order] = np.cumsum(new)
             spans.append((rank[: len(ids)], rank[len(ids) :]))
-        part = parts(spans)
+        part = parts(spans, t.column("_group").to_numpy())
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, part, ids)
         return pa.table([*[t.column(k) for k in by], pa.array(ids), pa.array(least[part])], names=[*by, "_id", "_part"])
@@ -101,8 +104,8 @@ def _joined(dims: int, by: list[str]) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def parts(spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each box (its two cuts in every dimension) the number of a box of the same connected part: boxes that overlap or touch. A sweep along the first dimension compares each box with those that reach it."""
+def parts(spans: list[tuple[np.ndarray, np.ndarray]], group: np.ndarray | None = None) -> np.ndarray:
+    """For each box (its two cuts in every dimension) the number of a box of the same connected part: boxes of a group that overlap or touch. A sweep along the first dimension, group by group, compares each box with those that reach it."""
     a, b = spans[0]
     root = list(range(len(a)))
 
@@ -111,9 +114,12 @@ def parts(spans: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             root[i] = i = root[root[i]]
         return i
 
-    active = np.empty(0, np.int64)
-    for n, i in enumerate(np.lexsort((b, a)).tolist()):
-        if n % 64 == 0:
+    group = np.zeros(len(a), np.int64) if group is None else group
+    active, here = np.empty(0, np.int64), None
+    for n, i in enumerate(np.lexsort((b, a, group)).tolist()):
+        if group[i] != here:
+            active, here = np.empty(0, np.int64), group[i]
+        elif n % 64 == 0:
             active = active[b[active] >= a[i]]
         near = b[active] >= a[i]
         for x, y in spans[1:]:
