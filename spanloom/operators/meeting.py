@@ -77,11 +77,13 @@ def counted(keys: Iterable[str], d: Dim, tables: list[tuple[DataFrame, str, str]
         return None
     named = [_col(k).alias(f"_h_{k}") for k in keys]
     hs = [f"_h_{k}" for k in keys]
-    sizes = reduce(DataFrame.union, [t.select(*named) for t, *_ in tables]).groupBy(*hs).agg((2 * F.count("*")).alias("_n"))
+    # dealt by key in as many tasks as the input asks for: where keys have few rows, a task's table of counts is as long as its input
+    all_rows = together(reduce(DataFrame.union, [t.select(*named) for t, *_ in tables]), hs)
+    sizes = stage(all_rows.groupBy(*hs).agg((2 * F.count("*")).alias("_n")).filter(16 * F.col("_n") > 2 * most), "sizes")
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= 2 * most:
-        return CALM if 16 * largest <= 2 * most else None
-    counts = stage(sizes.filter(F.col("_n") > 2 * most), "hot")
+        return None if largest else CALM
+    counts = sizes.filter(F.col("_n") > 2 * most)
     rows = reduce(DataFrame.union, [t.select(*named, F.explode(F.array(number(d, _col(lo)), number(d, _col(hi)))).alias("_x")) for t, lo, hi in tables])
     other = counts.select(*[_col(h).alias(f"_{h}") for h in hs], "_n")
     of = rows.join(other, reduce(lambda a, b: a & b, [_col(h).eqNullSafe(_col(f"_{h}")) for h in hs]))
@@ -99,6 +101,11 @@ def together(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
     return rows.repartition(n, *[_col(k) for k in keys])
 
 
+def told_small(t: DataFrame) -> bool:
+    """Whether a table is marked to be broadcast: rows of any number meet it where they are."""
+    return "strategy=broadcast" in t._jdf.queryExecution().analyzed().toString()
+
+
 def placed(x: Column) -> Column:
     """About how many cuts of the row's key (`_q`, `_n`) lie before a number: monotone in it, from 0 to `_n`; null for null."""
     q, n = F.col("_q"), F.col("_n")
