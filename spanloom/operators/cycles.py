@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cuts import Dim, measure
+from ..sources.staging import stage
 from .frame import IntervalFrame, timeline
 
 CYCLE = "cycle"
@@ -48,6 +49,7 @@ def transactions(known: IntervalFrame, cycles: list[Cycle], rates: IntervalFrame
     knows as the one before it did gives no transaction.
     """
     *keys, cycle = known.keys
+    known = known._with(stage(known.df, "known"))  # both sides of the differences
     (value,), (rate,), (tier,), d = known.values, rates.values, rates.keys, known.dims[0]
     after = F.create_map(*[F.lit(x) for c, n in pairwise(cycles) for x in (c.number, n.number)])
     prior = known.df.filter(F.col(cycle) != cycles[-1].number).withColumn(cycle, F.element_at(after, F.col(cycle)))
