@@ -76,8 +76,13 @@ def applied(x: Column, i: int, at: Column) -> Column:
 
 def integrated(x: Column, i: int, lo: Column, hi: Column) -> Column:
     """The definite integral along one coordinate."""
+    return normal(_integrals(x, i, lo, hi))
+
+
+def _integrals(x: Column, i: int, lo: Column, hi: Column) -> Column:
+    """The integral of each term: not in normal form."""
     whole = lambda t, at: F.pow(at, t["p"][i] + 1) / (t["p"][i] + 1)
-    return normal(F.transform(x, lambda t: F.struct(_without(t["p"], i).alias("p"), (t["c"] * (whole(t, hi) - whole(t, lo))).alias("c"))))
+    return F.transform(x, lambda t: F.struct(_without(t["p"], i).alias("p"), (t["c"] * (whole(t, hi) - whole(t, lo))).alias("c")))
 
 
 def derived(x: Column, i: int) -> Column:
@@ -159,7 +164,7 @@ class PolynomialFrame:
         """A coordinate integrated away, each piece over its own extent; pieces that then lie over one another add up, cell by cell."""
         i = [d.name for d in self.frame.dims].index(name)
         d = self.frame.dims[i]
-        df = self.frame.df.withColumn(self.name, integrated(self._piece, i, number(d, _col(d.lo)), number(d, _col(d.hi))))
+        df = self.frame.df.withColumn(self.name, _integrals(self._piece, i, number(d, _col(d.lo)), number(d, _col(d.hi))))
         flat = self.frame._with(df.filter(number(d, _col(d.lo)).isNotNull() & number(d, _col(d.hi)).isNotNull())).drop_dimension(name)
         # coefficients add up by power, so that what is gathered is a term a power, however many pieces lie over one another
         by = [*flat.keys, *flat.bounds]

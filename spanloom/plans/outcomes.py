@@ -11,6 +11,7 @@ from ..operators.frame import IntervalFrame, Monoid, Shape
 from ..operators.polynomials import PolynomialFrame, polynomial, term, value
 from ..operators.versioned import UNAPPROVED, Variables, Versioned
 from ..sources import bson, codec
+from ..sources.staging import stage
 from .catalogue import DAY, SEC, SESSIONS_SQL, TIMELINE, merged, priority, query, read, sessions, shown
 from .space import X, Y
 
@@ -179,6 +180,7 @@ def function_collapse(spark, d):
 def function_documents(spark, d):
     """Functions through JSON and back, and the actions that turn every slope round: equal pieces are equal values, so level ones need none."""
     f = _price(spark, d).collapse("u")
+    f = f._do(f.frame._with(stage(f.frame.df, "functions")))  # read three times
     back = PolynomialFrame.from_json(f.to_json(), f)
     # with the slope turned round, only level pieces stay as they are
     turned = f._do(f.frame._with(f.frame.df.withColumn("value", F.transform("value", lambda t: F.struct(t["p"].alias("p"), F.when(F.get(t["p"], F.lit(0)) == 1, -t["c"]).otherwise(t["c"]).alias("c"))))))
