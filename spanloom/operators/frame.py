@@ -245,12 +245,7 @@ class IntervalFrame:
             if grid is not None:
                 mine, cuts = out.withColumn("_mine", F.lit(True)), grid.select(*keys, *self.bounds).distinct().withColumn("_mine", F.lit(False))
                 out = mine.unionByName(cuts, allowMissingColumns=True)
-            out = meeting.together(out, keys)
-            out = out.withColumns({f"_c{i}": _cuts(d, keys) for i, d in enumerate(self.dims)})
-            out = out if grid is None else out.filter("_mine").drop("_mine")
-            for i, d in enumerate(self.dims):
-                out = _on_cuts(out, d, f"_c{i}")
-            return out.drop("_part")
+            return _gridded(meeting.together(out, keys), keys, self.dims, None if grid is None else "_mine").drop("_part")
         grid = out if grid is None else grid
         for d in self.dims:
             ends = grid.select(*keys, F.explode(F.array(d.lo, d.hi)).alias("_from")).distinct()
@@ -306,6 +301,7 @@ class IntervalFrame:
         """_overlay in one dimension by a sweep: what begins and ends at each cut of a key, carried along a window. No join; keys with very many rows are dealt into ranges of cuts, and one row a range is carried over. Rows of a frame with values are disjoint."""
         d, n = self.dims[0], len(frames)
         keys = list(self.keys)
+        frames = [f._with(self._settled(f.df)) for f in frames]
         ends = []
         for i, f in enumerate(frames):
             value = F.struct(*f.values, F.lit(True).alias("_here"))
@@ -372,7 +368,7 @@ class IntervalFrame:
     # --- workhorse 2: coalesce ---
     def coalesce(self) -> IntervalFrame:
         """Merges rows of equal value that are adjacent (or overlap) in one dimension and equal in the others, dimension by dimension."""
-        df = self.df
+        df = self._settled(self.df)
         even = len(self.dims) > 1 and bool(self.keys) and self._hot_rows(df) is None
         if even:
             df = meeting.together(df, self.keys)
@@ -381,6 +377,11 @@ class IntervalFrame:
             df = self._islands(df, d, same, even=even).groupBy(*same, "_island").agg(F.min(d.lo).alias(d.lo), F.max(d.hi).alias(d.hi)).select(*self.columns)
         return self._with(df)
 
+    def _settled(self, df: DataFrame) -> DataFrame:
+        """df, staged if its plan is long, or if it does more than read and its keys are to be counted first: it would run once for the counts and once more."""
+        counts = bool(self.keys) and self.skewed is not False and (self.skewed is True or meeting.estimate(df) >= meeting.CHECK_BYTES)
+        return _short(df, most=0 if counts else 8)
+
     def _hot_rows(self, df: DataFrame, *others: IntervalFrame) -> DataFrame | None:
         """_hot of a table with this frame's bounds; which keys they are is the same in all dimensions."""
         return self._hot([(df, self.dims[0].lo, self.dims[0].hi)], *others) if self.keys else None
@@ -431,7 +432,7 @@ class IntervalFrame:
         if not self.keys and how == "inner" and (bins := _bins(d, (left, d.lo, d.hi), (that.df, d.lo, d.hi))) is not None:
             left, right, meet = _binned(left, (d.lo, d.hi), right, (f"_r_{d.lo}", f"_r_{d.hi}"), d, bins)
             on += meet
-        if how == "inner" and (hot := self._hot([(left, d.lo, d.hi), (that.df, d.lo, d.hi)], that)) is not None:
+        if how == "inner" and not meeting.told_small(that.df) and (hot := self._hot([(left, d.lo, d.hi), (that.df, d.lo, d.hi)], that)) is not None:
             left, right, meet = meeting.binned(self.keys, left, (d.lo, d.hi), right, (f"_r_{d.lo}", f"_r_{d.hi}"), [f"_r_{k}" for k in self.keys], d, hot)
             on += meet
         return left.join(right, reduce(lambda a, b: a & b, on), how)
@@ -613,6 +614,9 @@ class IntervalFrame:
         v = self.values[0]
         by = order if order is not None else F.struct(*[_col(d.lo).alias(f"o{k}") for k, d in enumerate(self.dims)])
         both = self.df.withColumn("_s", F.struct(F.lit(0).alias("w"), F.lit(None).alias("s"))).unionByName(rows.df_full.select(*self.columns, F.struct(F.lit(1).alias("w"), by.alias("s")).alias("_s")))
+        if self.keys:
+            # a place for each row in its key's order: pieces are then put in order by a number, not by structs in structs
+            both = meeting.together(both, self.keys).withColumn("_s", F.row_number().over(Window.partitionBy(*self.keys).orderBy("_s", v)))
         listed = self._nested(both, others=[rows]).groupBy(*self.keys, *self.bounds).agg(F.transform(F.sort_array(F.collect_list(F.struct("_s", v))), lambda x: x[v]).alias("_l"))
         return self._with(listed.withColumn(v, F.aggregate(F.slice("_l", 2, F.size("_l")), F.element_at("_l", 1), op))).coalesce()
 
@@ -1019,7 +1023,7 @@ class Multi(IntervalFrame):
         """From rows of single values that may overlap."""
         v = rows.values[0]
         cells = rows._nested(rows.df).groupBy(*rows.keys, *rows.bounds).agg(F.array_sort(F.collect_set(v)).alias(v))
-        return cls(cells, rows.dims, rows.values, rows.keys).coalesce()
+        return cls(cells, rows.dims, rows.values, rows.keys).on_keys(skewed=rows.skewed).coalesce()
 
     @classmethod
     def from_writes(cls, rows: IntervalFrame, add: Column, order: Column) -> Multi:
@@ -1033,7 +1037,7 @@ class Multi(IntervalFrame):
     def single(self) -> IntervalFrame:
         """One row per element, coalesced."""
         v = self.values[0]
-        return IntervalFrame(self.df.withColumn(v, F.explode(v)), self.dims, self.values, self.keys).coalesce()
+        return IntervalFrame(self.df.withColumn(v, F.explode(v)), self.dims, self.values, self.keys).on_keys(skewed=self.skewed).coalesce()
 
     def values_one(self) -> DataFrame:
         return self.df.select(F.explode(self.values[0]).alias(self.values[0])).distinct()
@@ -1207,9 +1211,31 @@ def _cuts(d: Dim, by: list[str]) -> Column:
     return F.concat(F.collect_set(d.lo).over(w), F.collect_set(d.hi).over(w))
 
 
+def _gridded(rows: DataFrame, by: list[str], dims: tuple[Dim, ...], mine: str | None = None) -> DataFrame:
+    """Rows on the grid of their group's cuts. A group is gathered, so that its cuts are put in order once and not for each row. mine: a flag of the rows that are wanted; the others give cuts only."""
+    rest = [c for c in rows.columns if c not in by and c != mine]
+    row = F.struct(*[_col(c) for c in rest])
+    cuts = [F.concat(F.collect_set(d.lo), F.collect_set(d.hi)).alias(f"_c{i}") for i, d in enumerate(dims)]
+    groups = rows.groupBy(*by).agg(F.collect_list(row if mine is None else F.when(_col(mine), row)).alias("_rows"), *cuts)
+    groups = groups.select(*by, "_rows", *[_in_order(f"_c{i}").alias(f"_c{i}") for i in range(len(dims))])
+    out = groups.select(*by, F.explode("_rows").alias("_r"), *[f"_c{i}" for i in range(len(dims))]).select(*by, *[F.col("_r")[c].alias(c) for c in rest], *[f"_c{i}" for i in range(len(dims))])
+    for i, d in enumerate(dims):
+        first, last = (F.array_position(f"_c{i}", _col(c)).cast("int") for c in (d.lo, d.hi))
+        kept = [c for c in out.columns if c not in (d.lo, d.hi, f"_c{i}")]
+        pieces = F.arrays_zip(F.slice(f"_c{i}", first, last - first).alias("a"), F.slice(f"_c{i}", first + 1, last - first).alias("b"))
+        out = out.select(*kept, F.explode(pieces).alias("_p")).select(*kept, F.col("_p")["a"].alias(d.lo), F.col("_p")["b"].alias(d.hi))
+    return out
+
+
+def _in_order(cuts: str) -> Column:
+    """Different cuts in order; neighbours are compared, as Spark compares structs each with each to tell which are different."""
+    return F.get(F.transform(F.array(F.sort_array(cuts)), lambda s: F.filter(s, lambda c, i: (i == 0) | (c != F.get(s, i - 1)))), F.lit(0))
+
+
 def _on_cuts(rows: DataFrame, d: Dim, cuts: str) -> DataFrame:
     """Each row in pieces between those of the cuts that lie in it."""
-    own = rows.withColumn(cuts, F.array_sort(F.array_distinct(F.filter(cuts, lambda c: (_col(d.lo) <= c) & (c <= _col(d.hi))))))
+    own = rows.withColumn(cuts, F.filter(cuts, lambda c: (_col(d.lo) <= c) & (c <= _col(d.hi))))
+    own = own.withColumn(cuts, F.sort_array(F.array_distinct(cuts)) if d.discrete else _in_order(cuts))
     rest = [c for c in rows.columns if c not in (d.lo, d.hi, cuts)]
     n = F.size(cuts) - 1
     pieces = F.arrays_zip(F.slice(cuts, 1, n).alias("a"), F.slice(cuts, 2, n).alias("b"))
@@ -1217,12 +1243,12 @@ def _on_cuts(rows: DataFrame, d: Dim, cuts: str) -> DataFrame:
 
 
 def _short(df: DataFrame, most: int = 8) -> DataFrame:
-    """df, staged if its plan reads more than `most` tables or has more than `most` windows and aggregates: they run in few stages, as rows are dealt by key once, and a task holds memory for each, so chains of writes would grow."""
+    """df, staged if its plan reads more than `most` tables or has more than `most` windows and aggregates: they run in few stages, as rows are dealt by key once, and a task holds memory for each, so chains of writes would grow. most=0: if it joins, sorts or aggregates at all."""
     from ..sources.staging import stage
 
     plan = df._jdf.queryExecution().logical()
-    steps = re.findall(r"^[\s:+|-]*(?:Window|Aggregate) ", str(plan.toString()), re.M)
-    return stage(df, "cells") if plan.collectLeaves().size() > most or len(steps) > most else df
+    steps = re.findall(r"^[\s:+|-]*(?:Window|Aggregate" + ("" if most else "|Join") + ") ", str(plan.toString()), re.M)
+    return stage(df, "cells") if plan.collectLeaves().size() > (most or 8) or len(steps) > most else df
 
 
 def _boxed(box: Box | Span) -> Box:
